@@ -29,4 +29,39 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(coalesce(c.m, d.d
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-ORACLES = {"op6_minhash_dedup": OP6}
+OP5 = rf"""
+WITH w AS (SELECT doc_id, {_words("text")} AS ws FROM documents
+), p AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)
+), f AS (SELECT k, min({{'d': doc_id, 'i': i}}) AS f FROM p GROUP BY k
+), g AS (
+  SELECT DISTINCT doc_id, i + j AS at FROM (SELECT doc_id, i FROM p JOIN f ON p.k = f.k WHERE (doc_id, i) <> (f.f.d, f.f.i)), range(0, 20) t(j)
+), u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at FROM w
+), k AS (
+  SELECT u.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY u.at) AS t FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.at = u.at WHERE g.at IS NULL GROUP BY u.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+OP10 = """
+WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM w)
+), f AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1
+), s AS (SELECT doc_id, i FROM p WHERE k IN (SELECT k FROM f)
+), e AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS new FROM s
+), r AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e
+), x AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY ALL
+), y AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM x
+), z AS (
+  SELECT y.doc_id, sum(b - a)::BIGINT AS gone, count(*) AS n, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS kept, max(b) AS last
+  FROM y JOIN w ON w.doc_id = y.doc_id GROUP BY y.doc_id
+)
+SELECT w.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM w LEFT JOIN z ON z.doc_id = w.doc_id
+"""
+
+ORACLES = {"op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}
