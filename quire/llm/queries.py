@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash_dedup import near_duplicates
+from .mixing import mix_sources
 from .substring_dedup import remove_repeated_passages
 from .suffix_dedup import remove_repeated_bytes
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents"), digest=True)
 
@@ -25,4 +30,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op5_substring_dedup, op6_minhash_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_entropy_mixing, op5_substring_dedup, op6_minhash_dedup, op10_suffix_dedup)}
