@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .substring_dedup import remove_repeated_passages
+from .shared import Tables
 from .suffix_dedup import remove_repeated_bytes
+from .transport_stream import media_features, text_to_media
+from .warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +29,17 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = Tables(spark).keep(text_to_media(table(spark, sf_dir, "documents")), "media")
+    return media_features(stored).drop("times", "random_access").withColumnRenamed("id", "doc_id")
+
+
+def op9_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mixing, op5_substring_dedup, op6_minhash_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op3_entropy_mixing, op5_substring_dedup, op6_minhash_dedup, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}
