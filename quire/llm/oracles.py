@@ -72,4 +72,16 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND
 FROM m
 """
 
-ORACLES = {"op9_warc_dictionary": OP9, "op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a AS vec_id, min(b) AS m FROM r GROUP BY a
+), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(coalesce(m, e.vec_id), e.vec_id) AS component_id, least(coalesce(m, e.vec_id), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id
+"""
+
+ORACLES = {"op1_epsilon_grid": OP1, "op9_warc_dictionary": OP9, "op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .epsilon_grid import link_embeddings
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .substring_dedup import remove_repeated_passages
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,4 +47,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op3_entropy_mixing, op5_substring_dedup, op6_minhash_dedup, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op3_entropy_mixing, op5_substring_dedup, op6_minhash_dedup, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}

@@ -31,18 +31,18 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}", []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{len(self.paths)}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths.append((out, path))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(t)])
+        for name in (path for t, path in self.paths if any(t is x for x in tables)):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
