@@ -84,4 +84,16 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(coalesce(m, e.vec_id),
 FROM embeddings e LEFT JOIN c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id
 """
 
-ORACLES = {"op1_epsilon_grid": OP1, "op9_warc_dictionary": OP9, "op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}
+# For pages of the tables' make: one article element with headings and paragraphs.
+OP7 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(t, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '</?b>', '', 'g'), '&quot;?', '"', 'g'),
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS l
+  FROM a
+), c AS (SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
+ORACLES = {"op7_html_text": OP7, "op1_epsilon_grid": OP1, "op9_warc_dictionary": OP9, "op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}

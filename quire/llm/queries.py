@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .epsilon_grid import link_embeddings
+from .html_text import extract_articles
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .substring_dedup import remove_repeated_passages
@@ -34,6 +35,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(table(spark, sf_dir, "pages"))
+
+
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = Tables(spark).keep(text_to_media(table(spark, sf_dir, "documents")), "media")
     return media_features(stored).drop("times", "random_access").withColumnRenamed("id", "doc_id")
@@ -47,4 +52,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op3_entropy_mixing, op5_substring_dedup, op6_minhash_dedup, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op3_entropy_mixing, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}
