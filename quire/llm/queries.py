@@ -9,6 +9,7 @@ from .html_text import extract_articles
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .substring_dedup import remove_repeated_passages
+from .quality import classify
 from .shared import Tables
 from .suffix_dedup import remove_repeated_bytes
 from .transport_stream import media_features, text_to_media
@@ -27,6 +28,10 @@ def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents"), digest=True)
 
@@ -52,4 +57,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op3_entropy_mixing, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}
