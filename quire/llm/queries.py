@@ -10,6 +10,7 @@ from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
 from .substring_dedup import remove_repeated_passages
 from .quality import classify
+from .segmentation import sample_segmentations
 from .shared import Tables
 from .suffix_dedup import remove_repeated_bytes
 from .transport_stream import media_features, text_to_media
@@ -24,6 +25,10 @@ def op1_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -57,4 +62,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op2_sentencepiece_sampling, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup)}
