@@ -193,26 +193,42 @@ class Scorers:
     toxic: tuple[np.ndarray, float] | None
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def score(words: Words, scorers: Scorers) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of low quality and of toxicity of each text."""
+    n = len(words.n)
+    w, bias = scorers.shape
+    low = _logistic(_per_text(w[words.shapes()], words.first) / np.maximum(words.n, 1) * SHARE_SCALE + bias)
+    toxic = np.zeros(n)
+    if scorers.toxic:
+        w, bias = scorers.toxic
+        features = words.toxic_features()
+        telling = w[features] != 0
+        text = np.repeat(np.arange(n), words.n)
+        key = np.unique((text[:, None] << WORD_BITS | features)[telling])  # presence, not counts
+        toxic = _logistic(np.bincount(key >> WORD_BITS, w[key & (1 << WORD_BITS) - 1], n) + bias)
+    low[words.n == 0], toxic[words.n == 0] = 1, 0
+    return low, toxic
+
+
 def _scored(batches: Iterator[pa.RecordBatch], scorers: Scorers) -> Iterator[pa.RecordBatch]:
-    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(1)):
             words = Words(data, offsets)
-            w, bias = scorers.shape
-            low = logistic(_per_text(w[words.shapes()], words.first) / np.maximum(words.n, 1) * SHARE_SCALE + bias)
-            toxic = np.zeros(b - a)
-            if scorers.toxic:
-                w, bias = scorers.toxic
-                features = words.toxic_features()
-                telling = w[features] != 0
-                text = np.repeat(np.arange(b - a), words.n)
-                key = np.unique((text[:, None] << WORD_BITS | features)[telling])  # presence, not counts
-                toxic = logistic(np.bincount(key >> WORD_BITS, w[key & (1 << WORD_BITS) - 1], b - a) + bias)
-                toxic[words.n == 0] = 0
-            low[words.n == 0] = 1
+            low, toxic = score(words, scorers)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words.n.astype(np.int64)), pa.array(low), pa.array(toxic)], ["id", "n_words", "low_quality", "toxicity"])
 
 
+def _good(batches: Iterator[pa.RecordBatch], scorers: Scorers, text: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, offsets in slices(batch.column(text)):
+            low, toxic = score(Words(data, offsets), scorers)
+            yield batch.slice(a, b - a).filter(pa.array((low < threshold) & (toxic < threshold)))
+
+
 def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, labelled_rows: int = 8_000) -> tuple[LabelModel, Scorers]:
     """The label model and the scorers; see the module.  ``labels`` has the id and ``toxic`` (0, 1 or null).
 
@@ -260,3 +276,9 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = base.mapInArrow(functools.partial(_scored, scorers=scorers), "id long, n_words long, low_quality double, toxicity double")
     return out.withColumn("kept", (F.col("low_quality") < threshold) & (F.col("toxicity") < threshold)).withColumnRenamed("id", id_col)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **limits: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``classify`` keeps; none is shuffled."""
+    _, scorers = fit(docs, labels, id_col, text_col, **limits)
+    return docs.mapInArrow(functools.partial(_good, scorers=scorers, text=docs.columns.index(text_col), threshold=threshold), docs.schema)
