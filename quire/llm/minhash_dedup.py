@@ -7,7 +7,8 @@
    candidate edges are at most as many as bucket rows.  Edges are confirmed on full sets.
 3. A star misses links between members that its hub isn't similar to.  So buckets whose
    members are still in several components are compared once more across components, in
-   blocks of bounded size on short sketches; pairs that may be similar are confirmed too.
+   blocks of bounded size.  A block's task counts shared shingles and returns, for each
+   member and other component, one pair that links them at most.
 
 Two texts at the threshold share no band with probability (1 - 0.75**6)**64 = 4e-6.
 """
@@ -26,9 +27,8 @@ from .rolling import slices
 from .shared import Tables, broadcast_if_small, components, runs
 from .sketches import band_keys, one_permutation, set_digests, shingle_sets
 
-#: Low bytes of signature values that a sketch holds, and the share of them that a pair
-#: must agree in to be confirmed.  At similarity 0.75 that is 6.5 standard deviations off.
-SKETCH, AGREE = 128, 0.5
+#: Items whose columns are held in memory at once when two blocks are compared.
+COLUMNS = 16_384
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -43,7 +43,6 @@ def _profiles(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
                 part, begin = at[lo - a : hi - a + 1], at[lo - a]
                 signature = one_permutation(hashes[begin : part[-1]], np.append(part[:-1][own], part[-1]) - begin, bands * rows)
                 keys = band_keys(signature, rows)
-                sketch = np.ascontiguousarray(signature[:, :SKETCH].astype(np.uint8))
                 n = np.zeros(hi - lo + 1, np.int32)
                 n[1:][own] = 1
                 n = np.cumsum(n, dtype=np.int32)
@@ -53,10 +52,9 @@ def _profiles(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
                         pa.array(size[lo - a : hi - a], pa.int64()),
                         pa.array(one[lo - a : hi - a].view(np.int64)),
                         pa.array(two[lo - a : hi - a].view(np.int64)),
-                        pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(n * np.int32(sketch.shape[1])), pa.py_buffer(sketch)]),
                         pa.ListArray.from_arrays(pa.array(n * np.int32(bands)), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    ["id", "n_shingles", "d1", "d2", "sketch", "bands"],
+                    ["id", "n_shingles", "d1", "d2", "bands"],
                 )
 
 
@@ -68,33 +66,44 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sets], ["id", "items"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose sketches agree enough, from runs that each hold one pair of blocks."""
-    out: list[tuple[int, int]] = []
-    names = ["a", "b"]
+def _shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``one`` with every set of ``two``."""
+    items = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    total = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(items), COLUMNS):
+        part, sides = items[at : at + COLUMNS], []
+        for sets in (one, two):
+            flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            place = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[place] == flat
+            sides.append(np.zeros((len(sets), len(part)), np.float32))
+            sides[-1][row[hit], place[hit]] = 1
+        total += sides[0] @ sides[1].T
+    return total
 
-    def flush() -> pa.RecordBatch:
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names)
 
+def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of different components from runs that each hold one pair of blocks.
+
+    Each member gets one partner of each other component at most.
+    """
     for run in runs(batches, ["key", "left", "right"]):
         ids, comp, side = (run[c].to_numpy() for c in ("id", "comp", "side"))
-        sketch = np.frombuffer(b"".join(run["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        items = [x.values.to_numpy() for x in run["items"]]
         one = np.flatnonzero(side == 0)
         two = np.flatnonzero(side == 1) if (side == 1).any() else one
-        for i in one.tolist():
-            other = two[(comp[two] != comp[i]) & ((two is not one) | (two > i))]
-            if len(other):
-                agree = (sketch[other] == sketch[i]).mean(1) >= AGREE
-                out.extend((int(ids[i]), int(x)) for x in ids[other[agree]])
-        if len(out) > 10_000:
-            yield flush()
-    yield flush()
+        size = np.array([len(x) for x in items])
+        shared = _shared_counts([items[i] for i in one], [items[i] for i in two])
+        near = (100 * shared >= percent * (size[one][:, None] + size[two] - shared)) & (comp[one][:, None] != comp[two])
+        i, j = np.nonzero(near)
+        if len(i):
+            _, first = np.unique(np.stack([i, comp[two][j]]), axis=1, return_index=True)
+            a, b = ids[one[i[first]]], ids[two[j[first]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _block_rows(crowd: DataFrame, block: int) -> DataFrame:
-    """Rows of ``crowd`` (key, id, comp, sketch) once for each pair of blocks they take part in.
+    """Rows of ``crowd`` (key, id, comp) once for each pair of blocks they take part in.
 
     A component with ``block`` or more members in a bucket gets blocks of its own, the
     others share some; pairs of blocks of one such component are left out.
@@ -108,7 +117,7 @@ def _block_rows(crowd: DataFrame, block: int) -> DataFrame:
     pairs = blocks.join(other, "key").where("block < right or (block = right and own is null)").where("own is null or own2 is null or own <> own2").select("key", F.col("block").alias("left"), "right")
     sides = pairs.select("key", "left", "right", F.explode(F.when(F.col("left") == F.col("right"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right")))
-    return placed.join(sides, ["key", "block"]).select("key", "left", "right", "side", "id", "comp", "sketch")
+    return placed.join(sides, ["key", "block"]).select("key", "left", "right", "side", "id", "comp")
 
 
 def near_duplicates(
@@ -129,11 +138,11 @@ def near_duplicates(
     tables = Tables(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = tables.keep(
-        base.mapInArrow(functools.partial(_profiles, shingle=shingle, bands=bands, rows=rows), "id long, n_shingles long, d1 long, d2 long, sketch binary, bands array<long>"), "profiles"
+        base.mapInArrow(functools.partial(_profiles, shingle=shingle, bands=bands, rows=rows), "id long, n_shingles long, d1 long, d2 long, bands array<long>"), "profiles"
     )
     some = profile.where("n_shingles > 0 and id is not null")
     classes = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    reps = some.join(classes.withColumnRenamed("rep", "id"), ["d1", "d2", "id"]).select("id", "sketch", "bands").dropDuplicates(["id", "bands"])
+    reps = some.join(classes.withColumnRenamed("rep", "id"), ["d1", "d2", "id"]).select("id", "bands").dropDuplicates(["id", "bands"])
     members = reps.select("id", F.explode("bands").alias("key"))
     hubs = members.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     crowded = tables.keep(members.join(hubs, "key"), "crowded")
@@ -151,8 +160,11 @@ def near_duplicates(
     first = tables.keep(components(stars, tables), "components")
     placed = crowded.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    crowd = tables.keep(placed.join(mixed, "key", "left_semi").join(reps.select("id", "sketch"), "id"), "crowd")
-    compared = _block_rows(crowd, block).repartition("key", "left", "right").sortWithinPartitions("key", "left", "right").mapInArrow(_alike, "a long, b long").distinct()
+    crowd = tables.keep(placed.join(mixed, "key", "left_semi"), "crowd")
+    # Half of each hash is enough to find pairs; they are confirmed on whole hashes.
+    halves = sets.select("id", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("items"))
+    blocks = _block_rows(crowd, block).join(halves, "id").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    compared = blocks.select("key", "left", "right", "side", "id", "comp", "items").mapInArrow(functools.partial(_alike, percent=percent), "a long, b long").distinct()
     late = tables.keep(confirmed(compared), "late")
     parts = tables.keep(components(stars.union(late), tables), "components")
 
