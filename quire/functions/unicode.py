@@ -8,19 +8,20 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import ROMAN_EXCLUDED, TITLE_CASE_EXCEPTIONS
 
 
 def normalised(c: Column, form: str = "NFKC") -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def to_form(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
 
     return to_form(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sort_key(name: pd.Series) -> pd.Series:
     """Trimmed, lower-cased, without combining marks."""
 
@@ -30,7 +31,7 @@ def sort_key(name: pd.Series) -> pd.Series:
     return name.map(key, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def mac_roman(text: pd.Series) -> pd.Series:
     """Characters that Mac Roman lacks as <0xXXXX>."""
 
@@ -71,6 +72,6 @@ def title_case_text(text: str) -> str:
     return "".join(parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(text: pd.Series) -> pd.Series:
     return text.map(title_case_text, na_action="ignore")
