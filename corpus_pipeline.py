@@ -3,23 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.minhash_dedup import near_duplicates
+from quire.llm.mixing import mix_sources
+from quire.llm.quality import good_documents
 from quire.llm.queries import table
-from quire.llm.shared import Tables
+from quire.llm.segmentation import sample_segmentations
+from quire.llm.shared import Tables, broadcast_if_small
+from quire.llm.substring_dedup import rewritten_documents
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(broadcast_if_small(Tables(spark).keep(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand earlier go; n_chars follows the text."""
+    return rewritten_documents(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mix takes it."""
+    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    copies = broadcast_if_small(Tables(spark).keep(copies, "copies").withColumnRenamed("doc_id", "copied_id"))
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("copied_id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document."""
+    return sample_segmentations(docs)
 
 
-STAGES = [("minhash near-dedup", drop_near_duplicates)]
+STAGES = [
+    ("quality classifier", keep_good_documents),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("substring dedup", drop_repeated_passages),
+    ("entropy mixing", mix),
+    ("sentencepiece sampling", encode),
+]
 
-#: SQL can't express the expectation-maximisation, the sampling and the mixing.
+#: SQL can't express the expectation-maximisation, the scorers and the sampling.
 ORACLE_SQL = None
 
 

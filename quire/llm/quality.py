@@ -258,7 +258,9 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
         return model, Scorers(shape, None)
-    marked = base.join(marks, "id").where(part < F.when(F.col("toxic") == 1, F.lit(labelled_rows / 2 / sizes[1])).otherwise(F.lit(labelled_rows / 2 / sizes[0])))
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    marks = marks.where(share < F.when(F.col("toxic") == 1, F.lit(labelled_rows / 2 / sizes[1])).otherwise(F.lit(labelled_rows / 2 / sizes[0])))
+    marked = base.join(F.broadcast(marks), "id")  # about labelled_rows ids
     ids, _, ties = collected(marked.select((F.xxhash64("tie", F.lit(2)).bitwiseAND(F.lit(-2)) + F.col("toxic")).alias("tie"), "text"), True)
     toxic = fit_logistic(ids, [np.ones(len(x)) for x in ids], (ties & 1).astype(float), 1 << WORD_BITS, 1e-4, 150, rare=5)
     return model, Scorers(shape, toxic)

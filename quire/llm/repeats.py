@@ -8,7 +8,8 @@ every window of a corpus would move many times its size, so windows are grouped
 * The windows with one owner are consecutive; the units they span are its block.  Equal
   blocks hold equal windows, so all occurrences of a block but one need no closer look.
 * Only where a seed stands in several different blocks can single windows of them agree.
-  Those blocks, once each, are taken apart into windows.
+  Those blocks, once each, are taken apart: into windows, or first into parts of ``PART``
+  windows, which are sorted out in the same way by the units all their windows share.
 
 Rows travel with hashes, so hot seeds and blocks are counted before a shuffle.  A seed's
 and a block's or window's 64 bits are compared together.
@@ -21,15 +22,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import BYTE_CODE, U, mix, prefix_sums, sampled_owners, slices, span_hash, word_spans
-from .shared import Tables, broadcast_if_small
 
 _SALT = U(0xA0761D6478BD642F)
-#: Windows that one owner can have, in the packed column ``span`` = first start * SPAN + windows - 1.
-SPAN = 4096
+#: Windows in a part of a block.
+PART = 8
+#: ``span`` packs a block: first start << 24 | (windows - 1) << 12 | units from there to the owner.
+WINDOWS_MOST = 4096
 
 ANCHORS = "rid long, id long, span long, seed long, block long, n int"
 
@@ -69,7 +71,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, width: int, see
                 [
                     batch.column(0).slice(a, b - a).take(pa.array(text)),
                     batch.column(1).slice(a, b - a).take(pa.array(text)),
-                    pa.array((lo - first[text]) * SPAN + (hi - lo)),
+                    pa.array((lo - first[text]) << 24 | (hi - lo) << 12 | place - lo),
                     pa.array(order[place].view(np.int64)),
                     pa.array(block.view(np.int64)),
                     pa.array(n_each),
@@ -86,27 +88,38 @@ def anchors(base: DataFrame, units: Callable, width: int, seed: int) -> DataFram
     return base.mapInArrow(functools.partial(_anchors, units=units, width=width, seed=seed), ANCHORS)
 
 
+def span_start(span: Column) -> Column:
+    return F.shiftright(span, 24)
+
+
+def span_end(span: Column, width: int) -> Column:
+    """The place after the last unit of the block's windows."""
+    return F.shiftright(span, 24) + F.shiftright(span, 12).bitwiseAND(4095) + width
+
+
+def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return span >> 24, (span >> 12 & 4095) + 1, span & 4095
+
+
 def _windows(batches: Iterator[pa.RecordBatch], units: Callable, width: int, halves: bool) -> Iterator[pa.RecordBatch]:
-    """Windows of the blocks whose packed spans stand beside each text: (rid, id, start, weight, one, two).
+    """Windows of the spans beside each text (rid, id, text, from, spans): (rid, id, start, weight, one, two).
 
-    Without ``halves``, a window that the text has had before has weight 0.
+    ``from`` is the place of the text's first unit.  Without ``halves``, a window that the
+    text has had before has weight 0.
     """
     for batch in batches:
-        spans = batch.column(3)
         for a, b, data, offsets in slices(batch.column(2)):
             sums, first = units(data, offsets)
-            own = spans.slice(a, b - a)
-            packed = own.flatten()
-            count = np.diff(own.offsets.to_numpy())
+            own = batch.column(4).slice(a, b - a)
+            packed, count = own.flatten(), np.diff(own.offsets.to_numpy())
             span, weight = packed.field(0).to_numpy(), packed.field(1).to_numpy()
             text = np.repeat(np.arange(b - a), count)
-            size = span % SPAN + 1
-            begin = np.repeat(first[text] + span // SPAN, size)
-            begin += np.arange(len(begin)) - np.repeat(np.cumsum(size) - size, size)
-            text = np.repeat(text, size)
+            start, size, _ = _unpack(span)
+            shift = first[text] - batch.column(3).slice(a, b - a).to_numpy()[text]
+            begin = np.repeat(start + shift, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            text, shift, weight = np.repeat(text, size), np.repeat(shift, size), np.repeat(weight, size)
             middle = begin + (width // 2 if halves else width)
             one, two = span_hash(sums, begin, middle), span_hash(sums, middle, begin + width)
-            weight = np.repeat(weight, size)
             if not halves:  # spans may come in any order
                 by_start = np.argsort(begin, kind="stable")
                 _, at = np.unique((one + text.astype(U) * _SALT)[by_start], return_index=True)
@@ -116,7 +129,7 @@ def _windows(batches: Iterator[pa.RecordBatch], units: Callable, width: int, hal
                 [
                     batch.column(0).slice(a, b - a).take(pa.array(text)),
                     batch.column(1).slice(a, b - a).take(pa.array(text)),
-                    pa.array(begin - first[text]),
+                    pa.array(begin - shift),
                     pa.array(weight.astype(np.int32)),
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
@@ -125,30 +138,87 @@ def _windows(batches: Iterator[pa.RecordBatch], units: Callable, width: int, hal
             )
 
 
-def windows_of(base: DataFrame, blocks: DataFrame, units: Callable, width: int, halves: bool) -> DataFrame:
-    """The single windows of ``blocks`` (rid, span, weight), read from the texts of ``base``.
+def windows_of(texts: DataFrame, units: Callable, width: int, halves: bool) -> DataFrame:
+    """The single windows of ``texts`` (rid, id, text, from, spans).
 
     ``one`` and ``two`` are ranks of a window's halves, or of the whole and of nothing.
     """
+    return texts.select("rid", "id", "text", "from", "spans").mapInArrow(functools.partial(_windows, units=units, width=width, halves=halves), "rid long, id long, start long, weight int, one long, two long")
+
+
+def with_spans(base: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Texts of ``base`` (rid, id, text) that have ``blocks`` (rid, span, weight), with their list."""
     wanted = blocks.groupBy("rid").agg(F.collect_list(F.struct("span", F.col("weight").cast("long").alias("weight"))).alias("spans"))
-    if blocks.limit(1_000_001).count() <= 1_000_000:
-        wanted = F.broadcast(wanted)
-    joined = base.join(wanted, "rid").select("rid", "id", "text", "spans")
-    return joined.mapInArrow(functools.partial(_windows, units=units, width=width, halves=halves), "rid long, id long, start long, weight int, one long, two long")
+    return base.join(wanted, "rid").select("rid", "id", "text", F.lit(0).cast("long").alias("from"), "spans")
+
+
+def _snippets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rids, spans, weights, parts, held = [], [], [], [], 0
+        for rid, text, own in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(4)):
+            data = text.as_buffer().to_pybytes()
+            for span, weight in zip(own.values.field(0).to_pylist(), own.values.field(1).to_pylist()):
+                rids.append(rid)
+                spans.append(span)
+                weights.append(weight)
+                parts.append(data[span >> 24 : (span >> 24) + (span >> 12 & 4095) + width])
+                held += len(parts[-1])
+            if held > 1 << 23:
+                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(spans, pa.int64()), pa.array(weights, pa.int32()), pa.array(parts, pa.binary())], ["rid", "span", "weight", "text"])
+                rids, spans, weights, parts, held = [], [], [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(spans, pa.int64()), pa.array(weights, pa.int32()), pa.array(parts, pa.binary())], ["rid", "span", "weight", "text"])
+
+
+def snippets(texts: DataFrame, width: int) -> DataFrame:
+    """The bytes of each block of ``with_spans``: (rid, span, weight, text)."""
+    return texts.mapInArrow(functools.partial(_snippets, width=width), "rid long, span long, weight int, text binary")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the blocks in snippets, cut at multiples of PART units before the owner."""
+    for batch in batches:
+        spans = batch.column(1).to_numpy()
+        for a, b, data, offsets in slices(batch.column(3)):
+            sums = prefix_sums(BYTE_CODE[data])
+            start, size, place = _unpack(spans[a:b])
+            low, high = (place - size + 1) // PART, place // PART  # parts are numbered by units before the owner
+            count = high - low + 1
+            row = np.repeat(np.arange(b - a), count)
+            part = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            far, near = part * PART + PART - 1, part * PART
+            first, last = place[row] - np.minimum(far, place[row]), place[row] - np.maximum(near, (place - size + 1)[row])
+            at = offsets[row]
+            inner = span_hash(sums, at + place[row] - near, at + place[row] - far + width)
+            outer = mix(span_hash(sums, at + first, at + last + width) ^ ((place[row] - first).astype(U) * _SALT))
+            inner = mix(inner + part.astype(np.int64).view(U))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(a, b - a).take(pa.array(row)),
+                    batch.column(1).slice(a, b - a).take(pa.array(row)),
+                    pa.array((start[row] + first) << 24 | (last - first) << 12 | place[row] - first),
+                    pa.array(inner.view(np.int64)),
+                    pa.array(outer.view(np.int64)),
+                    batch.column(2).slice(a, b - a).take(pa.array(row)),
+                ],
+                ["rid", "block_span", "span", "seed", "block", "n"],
+            )
+
+
+def parts_of(found: DataFrame, width: int) -> DataFrame:
+    """Parts of blocks from ``snippets``: (rid, block_span, span, seed, block, n), seed and block as in ``ANCHORS``."""
+    return found.mapInArrow(functools.partial(_parts, width=width), "rid long, block_span long, span long, seed long, block long, n int")
 
 
 def repeated_seeds(found: DataFrame) -> DataFrame:
     """Anchors whose seed stands anywhere else too, in a block that may be another."""
     seeds = found.where("n > 0").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
-    return found.where("n > 0").join(broadcast_if_small(seeds), "seed", "left_semi")
+    return found.where("n > 0").join(seeds, "seed", "left_semi")
 
 
 def apply_spans(base: DataFrame, spans: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """Run ``function`` over batches (id, text, starts, ends): each text with its (rid, start, end) spans, unmerged."""
+    """Run ``function`` over batches (id, text, spans, carry): each text with its (start, end) spans, unmerged."""
     grouped = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    if spans.limit(1_000_001).count() <= 1_000_000:
-        grouped = F.broadcast(grouped)
-    return base.join(grouped, "rid", "left").select("id", "text", "spans").mapInArrow(function, schema)
+    return base.join(grouped, "rid", "left").select("id", "text", "spans", *(["carry"] if "carry" in base.columns else [])).mapInArrow(function, schema)
 
 
 def covered(spans: pa.StructArray | None, n: int) -> np.ndarray:

@@ -37,6 +37,7 @@ class Tables:
         path = f"{self.root}/{len(self.paths)}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        self.spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is now written
         self.paths.append((out, path))
         return out
 

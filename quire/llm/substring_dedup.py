@@ -19,26 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import SPAN, anchors, apply_spans, covered, repeated_seeds, windows_of, word_units
+from .repeats import anchors, apply_spans, covered, repeated_seeds, span_end, span_start, windows_of, with_spans, word_units
 from .shared import Tables
 
 #: Words of a seed; any value up to the window's width gives the same result.
 SEED_WORDS = 4
 
 
-def duplicate_spans(docs: DataFrame, tables: Tables, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """The table of texts (rid, id, text), and spans (rid, start, end) of words with an earlier copy."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.select(F.xxhash64("id", "text").alias("rid"), "id", "text")
-    found = tables.keep(anchors(base.where("id is not null"), word_units, width, SEED_WORDS), "anchors")
+def duplicate_spans(docs: DataFrame, tables: Tables, id_col: str, text_col: str, width: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The table of texts (rid, id, text and, with ``carry``, a struct of those columns), and spans (rid, start, end) of words with an earlier copy."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([F.struct(*carry).alias("carry")] if carry else []))
+    base = base.withColumn("rid", F.xxhash64("id", "text"))
+    found = tables.keep(anchors(base.where("id is not null").select("rid", "id", "text"), word_units, width, SEED_WORDS), "anchors")
     shared = tables.keep(repeated_seeds(found), "shared")
     index = tables.keep(shared.groupBy("seed", "block").agg(F.min("id").alias("first")), "index")
     unclear = index.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     placed = tables.keep(shared.join(index, ["seed", "block"]).select("rid", "id", "span", "seed", "first"), "parse")
-    span = [F.expr(f"span div {SPAN}").alias("start"), F.expr(f"span div {SPAN} + span % {SPAN} + {width}").alias("end")]
+    span = [span_start(F.col("span")).alias("start"), span_end(F.col("span"), width).alias("end")]
     factors = placed.where("id > first").select("rid", *span).union(found.where("n = 0").select("rid", *span))
     open_blocks = tables.keep(placed.where("id = first").join(unclear, "seed", "left_semi").select("rid", "span", F.lit(1).alias("weight")).distinct(), "boundaries")
-    single = tables.keep(windows_of(base, open_blocks, word_units, width, False), "windows")
+    single = tables.keep(windows_of(with_spans(base, open_blocks), word_units, width, False), "windows")
     earliest = single.where("weight = 1").groupBy("one").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     late = single.where("weight = 1").join(earliest, "one").where("id > first").select("rid", "start").union(single.where("weight = 0").select("rid", "start"))
     runs = late.select("rid", "start", (F.col("start") + width).alias("end"))
@@ -58,6 +58,32 @@ def _apply(batches: Iterator[pa.RecordBatch], separator: bytes) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
 
+def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Carried columns, removed words and texts; those without removals stay as they are."""
+    for batch in batches:
+        rows = []
+        for text, spans in zip(batch.column(1), batch.column(2)):
+            data = text.as_buffer().to_pybytes()
+            words = data.split() if spans.is_valid else ()
+            gone = covered(spans.values, len(words)) if spans.is_valid else None
+            removed = 0 if gone is None else int(gone.sum())
+            rows.append((removed, data if not removed else b" ".join(compress(words, (~gone).tolist()))))
+        yield pa.RecordBatch.from_arrays([batch.column(3), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string())], ["carry", "n_removed", "text"])
+
+
+def rewritten_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, their texts without the repeated passages.
+
+    Texts from which nothing is removed stay as they are, in others the kept words are
+    joined by one space.  Rows that lose all their words go.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    base, spans = duplicate_spans(docs, Tables(docs.sparkSession), id_col, text_col, width, others)
+    out = apply_spans(base, spans, _rewritten, base.select("carry").withColumns({"n_removed": F.lit(0).cast("long"), "text": F.lit("")}).schema)
+    out = out.where("n_removed = 0 or text <> ''")
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("carry")[c].alias(c) for c in docs.columns))
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kept in _apply(batches, b" "):
         digest = [hashlib.sha256(x.as_buffer()).hexdigest() for x in kept.column(3)]
@@ -77,7 +103,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     as each other's copies; nor do rows of one id with different texts.  Texts shorter than
     a window stay whole.  Other columns are ignored; an empty table gives an empty result.
     """
-    base, spans = duplicate_spans(docs, Tables(docs.sparkSession), id_col, text_col, width)
+    base, spans = duplicate_spans(docs, Tables(docs.sparkSession), id_col, text_col, width, [])
     last = "kept_sha256" if digest else "kept_text"
     out = apply_spans(base, spans, _digest if digest else functools.partial(_apply, separator=b" "), f"id long, n_words long, n_removed long, {last} string")
     return out.withColumnRenamed("id", id_col)

@@ -6,7 +6,8 @@ Here the positions of the first round are a sample that equal strings of ``width
 are sure to share (see ``repeats``), ranked by their first 32 bytes.  Positions with a
 unique rank drop out.  The second round ranks pairs of that rank and the rank of all bytes
 that the strings around the position span.  Where one first rank has several such pairs, the
-last round ranks every single string there by the pair of ranks of its two halves.
+third round does the same with runs of eight strings, whose first rank spans ``width`` - 7
+bytes, and the last ranks what is left, single strings, by the ranks of their two halves.
 
 Ranks are 64-bit fingerprints: two positions have equal ranks if their bytes are equal, and
 counting a rank's positions needs a grouping and no total order.
@@ -14,6 +15,7 @@ counting a rank's positions needs a grouping and no total order.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import SPAN, anchors, apply_spans, byte_units, covered, repeated_seeds, windows_of
+from .repeats import anchors, apply_spans, byte_units, covered, parts_of, repeated_seeds, snippets, span_end, span_start, windows_of, with_spans
 from .shared import Tables
 
 #: Bytes of the first ranks; any value up to the width gives the same result.
@@ -34,17 +36,31 @@ def duplicate_spans(docs: DataFrame, tables: Tables, id_col: str, text_col: str,
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select(F.xxhash64("id", "text").alias("rid"), "id", "text")
     found = tables.keep(anchors(base, byte_units, width, min(SEED_BYTES, width)), "anchors")
-    shared = tables.keep(repeated_seeds(found), "round1")
-    index = tables.keep(shared.groupBy("seed", "block").agg(F.sum("n").alias("n"), F.min("rid").alias("first")), "round2")
-    unclear = index.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    placed = tables.keep(shared.drop("n").join(index, ["seed", "block"]).select("rid", "span", "seed", "n", "first"), "placed")
-    span = [F.expr(f"span div {SPAN}").alias("start"), F.expr(f"span div {SPAN} + span % {SPAN} + {width}").alias("end")]
-    whole = placed.where("n > 1").select("rid", *span).union(found.where("n = 0").select("rid", *span))
-    open_blocks = placed.where("rid = first").join(unclear, "seed", "left_semi").select("rid", "span", F.least("n", F.lit(2)).alias("weight")).distinct()
-    single = tables.keep(windows_of(base, tables.keep(open_blocks, "open"), byte_units, width, True), "round3")
+    span = [span_start(F.col("span")).alias("start"), span_end(F.col("span"), width).alias("end")]
+    whole = [found.where("n = 0").select("rid", *span)]
+
+    def next_round(rows: DataFrame, name: str) -> DataFrame:
+        """Sorts rows out by (seed, block); returns those to take apart, one of each block, with weight 2 if it repeats."""
+        shared = tables.keep(repeated_seeds(rows), f"{name}-shared")
+        index = tables.keep(shared.groupBy("seed", "block").agg(F.sum("n").alias("total"), F.min("rid").alias("first")), f"{name}-index")
+        placed = tables.keep(shared.join(index, ["seed", "block"]), f"{name}-placed")
+        tables.drop(shared, index)
+        whole.append(placed.where("total > 1").select("rid", *span))
+        unclear = placed.where("rid = first").select("seed", "block").distinct().groupBy("seed").agg(F.count("*").alias("blocks")).where("blocks > 1")
+        open_rows = placed.where("rid = first").join(unclear.select("seed"), "seed", "left_semi")
+        return open_rows.withColumn("weight", F.least("total", F.lit(2)).cast("int"))
+
+    blocks = next_round(found, "round2").select("rid", "span", "weight").distinct()
+    pieces = tables.keep(snippets(with_spans(base, blocks), width), "pieces")
+    parts = next_round(tables.keep(parts_of(pieces, width), "parts"), "round3").select("rid", "block_span", "span", "weight").distinct()
+    listed = parts.groupBy("rid", F.col("block_span").alias("s")).agg(F.collect_list(F.struct("span", F.col("weight").cast("long").alias("weight"))).alias("spans"))
+    texts = pieces.select("rid", F.col("span").alias("s"), "text").join(listed, ["rid", "s"])
+    texts = texts.select("rid", F.lit(0).cast("long").alias("id"), "text", span_start(F.col("s")).alias("from"), "spans")
+    single = tables.keep(windows_of(texts, byte_units, width, True), "round4")
     again = single.groupBy("one", "two").agg(F.sum("weight").alias("n")).where("n > 1").select("one", "two")
     late = single.where("weight = 1").join(again, ["one", "two"], "left_semi")
-    return base, tables.keep(whole.union(late.select("rid", "start", (F.col("start") + width).alias("end"))), "spans")
+    whole.append(late.select("rid", "start", (F.col("start") + width).alias("end")))
+    return base, tables.keep(functools.reduce(DataFrame.union, whole), "spans")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,7 +115,7 @@ def duck():
 
 
 def rows_of(frame):
-    clean = lambda v: None if v is None or v is pd.NaT or v != v else str(v) if not isinstance(v, float) else (str(int(v)) if v.is_integer() else repr(v))
+    clean = lambda v: None if pd.isna(v) else str(v) if not isinstance(v, float) else (str(int(v)) if v.is_integer() else repr(v))
     return sorted(repr([clean(v) for v in r]) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
