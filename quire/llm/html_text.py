@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 #: Lines in a window, characters that a window needs on a page without a marked article,
 #: and the share of the longest stretch that others need to be kept there.
 WIDTH, SURGE, SHARE = 3, 60, 0.25
@@ -198,6 +200,7 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     URLs and repeated rows pass through; other columns are ignored; an empty table gives an
     empty result.
     """
+    bound_batches(pages.sparkSession)
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     out = base.mapInArrow(_extract, "id long, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

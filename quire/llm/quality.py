@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import BYTE_CODE, LOWER, U, mix, prefix_sums, slices, span_hash, word_spans
+from .shared import bound_batches
 
 #: Each labeller: a trait of a text, and the least value at which it fires.
 LABELLERS = (("symbols", 0.05), ("capitals", 0.4), ("bare", 0.05), ("repeats", 0.2), ("sameness", 0.6), ("length", 2.0), ("marks", 0.02))
@@ -235,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     Samples are taken by a hash of id and text, so reruns agree.  Votes are counted over all
     documents; only the samples' features come to the driver.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.xxhash64(id_col, text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     counted = base.select("tie", "text").mapInArrow(_votes, "tie long, pattern int").groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     patterns, counts = counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(float)

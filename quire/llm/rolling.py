@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; temporary arrays hold about 100 bytes for each.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _POWERS = [np.ones(1, U), np.ones(1, U)]

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import BYTE_CODE, U, mix, prefix_sums, slices, span_hash
+from .shared import bound_batches
 
 _SALT = U(0x8EBC6AF09C88C6E3)
 #: Bytes of texts whose distinct words get their lattices together.
@@ -364,6 +365,7 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
     it has fewer segmentations.  Characters that no piece has become bytes.  Null ids pass
     through; other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = SAMPLES + (", ids_sha256 string, round_trip boolean" if digest else ", ids array<int>")
     return base.mapInArrow(functools.partial(_encode, path=model or default_model(), k=k, seed=seed, digest=digest), schema).withColumnRenamed("id", id_col)

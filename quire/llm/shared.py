@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of 8 to 24 bytes up to which a side may be broadcast after it was counted.
 BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of an Arrow batch between the JVM and Python, where the session allows more.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, so whole texts don't pile up in a task."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, str(most + 1)).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
 class Tables:
     """Intermediate tables of one operator call, written below the shared folder.
 
@@ -31,6 +41,7 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}", []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

@@ -36,13 +36,16 @@ def duplicate_spans(docs: DataFrame, tables: Tables, id_col: str, text_col: str,
     unclear = index.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     placed = tables.keep(shared.join(index, ["seed", "block"]).select("rid", "id", "span", "seed", "first"), "parse")
     span = [span_start(F.col("span")).alias("start"), span_end(F.col("span"), width).alias("end")]
+    tables.drop(shared)
     factors = placed.where("id > first").select("rid", *span).union(found.where("n = 0").select("rid", *span))
     open_blocks = tables.keep(placed.where("id = first").join(unclear, "seed", "left_semi").select("rid", "span", F.lit(1).alias("weight")).distinct(), "boundaries")
     single = tables.keep(windows_of(with_spans(base, open_blocks), word_units, width, False), "windows")
     earliest = single.where("weight = 1").groupBy("one").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     late = single.where("weight = 1").join(earliest, "one").where("id > first").select("rid", "start").union(single.where("weight = 0").select("rid", "start"))
     runs = late.select("rid", "start", (F.col("start") + width).alias("end"))
-    return base, tables.keep(factors.union(runs), "spans")
+    spans = tables.keep(factors.union(runs), "spans")
+    tables.drop(found, index, placed, open_blocks, single)
+    return base, spans
 
 
 def _apply(batches: Iterator[pa.RecordBatch], separator: bytes) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bound_batches
+
 PACKET, UNIT, RAP_EVERY, TICKS = 188, 6144, 8, 3600
 PAT_PID, PMT_PID, STREAM_PID, PROGRAM = 0, 0x1000, 0x100, 1
 #: Stream type and id of private data in elementary packets.
@@ -184,6 +186,7 @@ def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The payload is the text's UTF-8 bytes (null: none) and spaces up to a positive multiple
     of 192.  Null ids, repeated rows and empty tables pass through; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return base.mapInArrow(_written, "id long, n_bytes long, media binary")
 
