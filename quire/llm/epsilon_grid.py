@@ -66,18 +66,27 @@ def _cells(batches: Iterator[pa.RecordBatch], axes: np.ndarray, epsilon: float)
             yield pa.RecordBatch.from_arrays([*batch.columns, cells], ["id", "n", "vector", "cells"])
 
 
-def _intervals(batches: Iterator[pa.RecordBatch], axes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Cut a sorted partition into intervals and project its vectors."""
+def _numbered(batches: Iterator[pa.RecordBatch], axes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Number the vectors of a sorted partition and project them."""
     from pyspark import TaskContext
 
-    done, part = 0, TaskContext.get().partitionId() << 32
+    done, part = 0, TaskContext.get().partitionId()
     for batch in batches:
         if batch.num_rows:
-            at = np.arange(done, done + batch.num_rows) // INTERVAL + part
+            at = np.arange(done, done + batch.num_rows)
             done += batch.num_rows
             lead = _matrix(batch.column(2))[:, : len(axes)] @ axes
             lead = pa.FixedSizeListArray.from_arrays(pa.array(lead.ravel()), lead.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns[:3], lead], ["interval", "id", "n", "vector", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(at), *batch.columns[:3], lead], ["part", "at", "id", "n", "vector", "lead"])
+
+
+def _in_sequence(numbered: DataFrame) -> DataFrame:
+    """Places in the whole sequence, and its intervals, from places in partitions; one row a partition reaches the driver."""
+    parts = numbered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
+    starts = np.cumsum([0, *(r["n"] for r in parts)]).tolist()
+    offsets = numbered.sparkSession.createDataFrame([(r["part"], s) for r, s in zip(parts, starts)], "part long, start long")
+    placed = numbered.join(F.broadcast(offsets), "part").withColumn("at", F.col("at") + F.col("start"))
+    return placed.withColumn("interval", F.floor(F.col("at") / INTERVAL)).drop("part", "start")
 
 
 def recursive_pairs(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray, epsilon: float, same: bool) -> Iterator[tuple[int, int]]:
@@ -147,7 +156,7 @@ def _links(vectors: DataFrame, dim: int, cosine: float, tables: Tables) -> DataF
     axes = principal_dimensions(vectors, dim)
     cells = tables.keep(vectors.mapInArrow(functools.partial(_cells, axes=axes, epsilon=epsilon), "id long, n long, vector array<double>, cells array<int>"), "cells")
     ordered = cells.repartitionByRange("cells", "id").sortWithinPartitions("cells", "id")
-    ordered = tables.keep(ordered.mapInArrow(functools.partial(_intervals, axes=axes), "interval long, id long, n long, vector array<double>, lead array<double>"), "ordered")
+    ordered = _in_sequence(tables.keep(ordered.mapInArrow(functools.partial(_numbered, axes=axes), "part long, at long, id long, n long, vector array<double>, lead array<double>"), "ordered"))
     edges = [f(F.col("lead")[k]).alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(axes.shape[1])]
     boxes = ordered.groupBy("interval").agg(*edges).orderBy("interval").toPandas()  # one row for INTERVAL vectors
     low, high = (boxes[[f"{f}{k}" for k in range(axes.shape[1])]].to_numpy() for f in ("min", "max"))
@@ -155,7 +164,7 @@ def _links(vectors: DataFrame, dim: int, cosine: float, tables: Tables) -> DataF
     sides = [(pair, names[i], side) for pair, (a, b) in enumerate(recursive_pairs(low, high, low, high, epsilon, True)) for side, i in enumerate((a, b)) if side == 0 or a != b]
     spark = vectors.sparkSession
     placed = ordered.join(spark.createDataFrame(sides, "pair long, interval long, side int"), "interval")
-    placed = placed.repartition(max(1, min(len(sides), 20_000)), "pair").sortWithinPartitions("pair", "side", "id")
+    placed = placed.repartition(max(1, min(len(sides), 20_000)), "pair").sortWithinPartitions("pair", "side", "at")
     placed = placed.select("pair", "side", "id", "n", "vector", "lead")
     return placed.mapInArrow(functools.partial(_joined, cosine=cosine, epsilon=epsilon), "a long, b long, links long")
 
