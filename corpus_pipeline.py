@@ -32,10 +32,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stands as often as the mix takes it."""
-    copies = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = broadcast_if_small(Tables(spark).keep(copies, "copies").withColumnRenamed("doc_id", "copied_id"))
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("copied_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    copies = broadcast_if_small(Tables(spark).keep(copies, "copies").select(F.struct("id", "copies").alias("taken_copies")))
+    taken = docs.select(F.struct(*docs.columns).alias("mixed_document")).join(copies, F.col("mixed_document.doc_id").eqNullSafe(F.col("taken_copies.id")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies.copies")))
+    return taken.select("mixed_document", times).select("mixed_document.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

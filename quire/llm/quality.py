@@ -7,7 +7,8 @@
 3. A logistic scorer on hashed word shapes (case, digits, symbols, repetition; averaged over
    the text's words) is fitted to posteriors of a sample of ``sample_rows`` documents.
 4. Where a table of labels has toxicity, a second logistic scorer on hashed words and word
-   beginnings is fitted to at most ``labelled_rows`` labelled documents.
+   beginnings is fitted to at most ``labelled_rows`` labelled documents.  It has weights only
+   for features whose presence depends on the label (``CHI_SQUARE``); copies share one vote.
 
 Both scorers then judge every whole text.
 """
@@ -32,6 +33,9 @@ SHAPE_BITS, WORD_BITS = 12, 18
 #: Beginnings of words, in bytes, that are features of the toxicity scorer beside whole words.
 BEGINNINGS = (4, 5, 6)
 
+#: Least chi-square of a feature and the toxicity label; chance alone seldom brings one of 2**WORD_BITS features there.
+CHI_SQUARE = 20.0
+
 _UPPER = np.isin(np.arange(256), np.arange(65, 91))
 _LETTER = _UPPER | np.isin(np.arange(256), np.arange(97, 123)) | (np.arange(256) >= 128)
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
@@ -160,20 +164,40 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labellers: int = l
     return model
 
 
-def fit_logistic(ids: list[np.ndarray], shares: list[np.ndarray], target: np.ndarray, size: int, decay: float, steps: int, rare: int = 1, scale: float = 1.0) -> tuple[np.ndarray, float]:
+def copy_weights(ids: list[np.ndarray], target: np.ndarray) -> np.ndarray:
+    """One vote for each group of rows of one class whose four least features agree, as those of near copies do."""
+    groups = [(bool(t >= 0.5), x[:4].tobytes()) for x, t in zip(ids, target)]
+    size: dict[tuple[bool, bytes], int] = {}
+    for g in groups:
+        size[g] = size.get(g, 0) + 1
+    return np.array([1 / size[g] for g in groups])
+
+
+def chi_square(row: np.ndarray, flat: np.ndarray, target: np.ndarray, votes: np.ndarray, size: int) -> np.ndarray:
+    """The statistic of each feature's presence and the label, over rows that count as ``votes``."""
+    bad = votes * (target >= 0.5)
+    with_bad, with_all = np.bincount(flat, bad[row], size), np.bincount(flat, votes[row], size)
+    n, n_bad = votes.sum(), bad.sum()
+    spread = with_all * (n - with_all) * n_bad * (n - n_bad)
+    return n * (with_bad * n - with_all * n_bad) ** 2 / np.where(spread > 0, spread, np.inf)
+
+
+def fit_logistic(ids: list[np.ndarray], shares: list[np.ndarray], target: np.ndarray, size: int, decay: float, steps: int, least_chi: float = 0.0, scale: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer; full gradients with momentum scaled by curvature.  Both classes weigh alike.
 
-    Features of fewer than ``rare`` rows keep weight 0.
+    With ``least_chi``, copies share one vote and features below that statistic keep weight 0.
     """
     w, bias = np.zeros(size), 0.0
     if not len(ids):
         return w, bias
     row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
     flat, value = np.concatenate(ids).astype(np.int64), np.concatenate(shares).astype(float) * scale
-    common = np.bincount(flat, minlength=size) >= rare
+    votes = copy_weights(ids, target) if least_chi else np.ones(len(ids))
+    common = chi_square(row, flat, target, votes, size) >= least_chi if least_chi else np.bincount(flat, minlength=size) > 0
     row, value, flat = row[common[flat]], value[common[flat]], flat[common[flat]]
-    weight = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
-    first, second, b1, b2 = np.zeros(size + 1), np.zeros(size + 1), 0.0, 0.0
+    bad = target >= 0.5
+    weight = votes * np.where(bad, 0.5 / max(1e-9, votes[bad].sum()), 0.5 / max(1e-9, votes[~bad].sum()))
+    first, second = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         score = np.bincount(row, value * w[flat], len(ids)) + bias
         error = weight * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target)
@@ -264,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     marks = marks.where(share < F.when(F.col("toxic") == 1, F.lit(labelled_rows / 2 / sizes[1])).otherwise(F.lit(labelled_rows / 2 / sizes[0])))
     marked = base.join(F.broadcast(marks), "id")  # about labelled_rows ids
     ids, _, ties = collected(marked.select((F.xxhash64("tie", F.lit(2)).bitwiseAND(F.lit(-2)) + F.col("toxic")).alias("tie"), "text"), True)
-    toxic = fit_logistic(ids, [np.ones(len(x)) for x in ids], (ties & 1).astype(float), 1 << WORD_BITS, 1e-4, 150, rare=5)
+    toxic = fit_logistic(ids, [np.ones(len(x)) for x in ids], (ties & 1).astype(float), 1 << WORD_BITS, 1e-4, 150, least_chi=CHI_SQUARE)
     return model, Scorers(shape, toxic)
 
 
