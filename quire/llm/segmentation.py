@@ -47,7 +47,7 @@ def default_model() -> str:
 
 
 class Pieces:
-    """The pieces of a model, with the space mark written as a space, and a hash table of them."""
+    """The pieces of a model, with the space mark written as a space, and a hash table of their beginnings."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -72,25 +72,32 @@ class Pieces:
         seen = np.zeros(256, bool)
         seen[np.frombuffer(b"".join(self.text[i] for i in own), np.uint8)] = True
         self.alone = ~seen & (np.arange(256) < 128)  # bytes of characters that no piece has
-        hashes = span_hash(prefix_sums(BYTE_CODE[self.flat]), self.at[:-1], self.at[1:])[own]
+        # Entries are the distinct beginnings of pieces: the piece that ends there, and whether a longer one goes on.
+        count = self.length[own]
+        begin = np.repeat(self.at[:-1][own], count)
+        size = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1
+        hashes, entry = np.unique(span_hash(prefix_sums(BYTE_CODE[self.flat]), begin, begin + size), return_inverse=True)
+        self.entry_piece, self.goes_on = np.full(len(hashes), -1, np.int32), np.zeros(len(hashes), bool)
+        whole = size == np.repeat(count, count)
+        self.entry_piece[entry[whole]] = own
+        self.goes_on[entry[~whole]] = True
         slot = (hashes & U(SLOTS - 1)).astype(np.int64)
         _, lead = np.unique(slot, return_index=True)
-        self.key, self.piece = np.zeros(SLOTS, U), np.full(SLOTS, -1, np.int32)
-        self.key[slot[lead]], self.piece[slot[lead]] = hashes[lead], own[lead]
-        late = np.setdiff1d(np.arange(len(own)), lead)  # the slot is another piece's
-        late = late[np.argsort(hashes[late])]
+        self.key, self.entry = np.zeros(SLOTS, U), np.full(SLOTS, -1, np.int32)
+        self.key[slot[lead]], self.entry[slot[lead]] = hashes[lead], lead
+        late = np.setdiff1d(np.arange(len(hashes)), lead)  # the slot is another entry's; hashes ascend
         self.shared = np.zeros(SLOTS, bool)
         self.shared[slot[late]] = True
-        self.late_key, self.late_piece = hashes[late], own[late].astype(np.int32)
+        self.late_key, self.late_entry = hashes[late], late.astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 for none."""
+        """Entries with these hashes, -1 for none."""
         slot = (hashes & U(SLOTS - 1)).astype(np.int64)
-        out = np.where(self.key[slot] == hashes, self.piece[slot], -1)
+        out = np.where(self.key[slot] == hashes, self.entry[slot], -1)
         open_ = np.flatnonzero(self.shared[slot] & (out < 0))
         if len(open_):
             at = np.minimum(np.searchsorted(self.late_key, hashes[open_]), len(self.late_key) - 1)
-            out[open_] = np.where(self.late_key[at] == hashes[open_], self.late_piece[at], -1)
+            out[open_] = np.where(self.late_key[at] == hashes[open_], self.late_entry[at], -1)
         return out
 
 
@@ -110,7 +117,7 @@ class Lattices:
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pieces):
         size = ends - starts
         text = data[_gather(starts, size)]
-        self.first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]  # first nodes
+        self.first = np.concatenate([[0], np.cumsum(size + 1)])[:-1].astype(np.int32)  # first nodes
         last = self.first + size
         n_nodes = int(size.sum() + len(size))
         lead = (text & 0xC0) != 0x80
@@ -129,26 +136,29 @@ class Lattices:
                 at = at[at + n <= end[at]]
                 if not len(at):
                     break
-                piece = pieces.find(span_hash(sums, at, at + n))
+                entry = pieces.find(span_hash(sums, at, at + n))
+                at, entry = at[entry >= 0], entry[entry >= 0]
+                piece = pieces.entry_piece[entry]
                 hit = piece >= 0
                 begin.append(at[hit])
                 ids.append(piece[hit])
                 width.append(np.full(hit.sum(), n))
                 single[at[hit & (at + n == char_end[at])] - lo] = True
+                at = at[pieces.goes_on[entry]]
             raw = np.arange(lo, min(len(text), lo + LOOKUP))
             head = follow[char[raw] - 1]  # of characters that may not be pieces
             known = np.where(head >= lo, single[np.maximum(head - lo, 0)], True)
             raw = raw[~known]
             begin, ids, width = np.concatenate([*begin, raw]), np.concatenate([*ids, pieces.bytes_id[text[raw]]]), np.concatenate([*width, np.ones(len(raw), np.int64)])
-            order = np.argsort(begin, kind="stable")
+            order = np.argsort((begin - lo).astype(np.uint16), kind="stable")  # LOOKUP positions fit
             found.append((begin[order], ids[order], width[order]))
         begin, ids, width = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
         begin, self.ids = begin.astype(np.int64), ids.astype(np.int32)
         node = begin + own[begin]
-        self.to = node + width
+        self.to = (node + width).astype(np.int32)
         log = pieces.log[self.ids]
         degree = np.bincount(node, minlength=n_nodes)
-        self.edge = np.concatenate([[0], np.cumsum(degree)])  # first edges of the nodes
+        self.edge = np.concatenate([[0], np.cumsum(degree)]).astype(np.int32)  # first edges of the nodes; a slice has far fewer than 2**31
         back = np.full(n_nodes, -np.inf)  # log of the sum of all paths from a node to the word's end
         back[last] = 0
         by_size = np.argsort(-size, kind="stable")
@@ -171,24 +181,25 @@ class Lattices:
     def draw(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path for each word of the list: log-probabilities, numbers of pieces and all pieces in order."""
         log, count = np.zeros(len(words)), np.zeros(len(words), np.int64)
-        active, node, steps = np.arange(len(words)), self.first[words], []
+        active, node, steps = np.arange(len(words)), self.first.take(words), []
         while True:
-            going = ~self.end[node]
-            if not going.all():
-                active, node = active[going], node[going]
+            going = np.flatnonzero(~self.end.take(node))
+            if len(going) < len(node):
+                active, node, keys = active.take(going), node.take(going), keys.take(going)
             if not len(active):
                 break
-            u = (mix(keys[active] + np.array([len(steps)], U) * _SALT) >> U(11)).astype(np.float64) * 2.0**-53
-            lo, hi = self.base[node], self.base[node + 1]
-            target, edge = lo + u * (hi - lo), self.edge[node + 1] - 1
-            least, far = self.edge[node], np.arange(len(node))
+            u = (mix(keys + np.array([len(steps)], U) * _SALT) >> U(11)).astype(np.float64) * 2.0**-53
+            lo, least, edge = self.base.take(node), self.edge.take(node), self.edge.take(node + 1) - 1
+            target = lo + u * (self.base.take(node + 1) - lo)
+            far = np.flatnonzero((self.sums.take(edge - 1, mode="clip") > target) & (edge > least))
             while len(far):  # from the longest piece, which often has most of the probability
-                far = far[(self.sums[edge[far] - 1] > target[far]) & (edge[far] > least[far])]
                 edge[far] -= 1
-            log[active] += self.log[edge]
+                now = edge.take(far)
+                far = far[(self.sums.take(now - 1, mode="clip") > target.take(far)) & (now > least.take(far))]
+            log[active] += self.log.take(edge)
             count[active] += 1
-            steps.append((active, self.ids[edge]))
-            node = self.to[edge]
+            steps.append((active, self.ids.take(edge)))
+            node = self.to.take(edge)
         at, out = np.cumsum(count) - count, np.zeros(count.sum(), np.int32)
         for step, (who, ids) in enumerate(steps):
             out[at[who] + step] = ids
