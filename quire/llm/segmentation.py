@@ -31,7 +31,7 @@ from .shared import bound_batches
 
 _SALT = U(0x8EBC6AF09C88C6E3)
 #: Bytes of texts whose distinct words get their lattices together.
-WORDS_BYTES = 2 << 20
+WORDS_BYTES = 1 << 19
 #: Positions whose pieces are looked up at once.
 LOOKUP = 1 << 16
 #: Slots of the hash table of pieces.
