@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import BYTE_CODE, LOWER, U, mix, prefix_sums, slices, span_hash, word_spans
+from .rolling import BYTE_CODE, LOWER, U, mix, prefix_sums, return_freed_memory, slices, span_hash, word_spans
 from .shared import bound_batches
 
 #: Each labeller: a trait of a text, and the least value at which it fires.
@@ -278,6 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     ids, shares, ties = collected(sample, False)
     target = model.posterior(voted.loc[ties].to_numpy(np.int64)) if len(ties) else np.zeros(0)
     shape = fit_logistic(ids, shares, target, 1 << SHAPE_BITS, 1e-4, 200, scale=SHARE_SCALE)
+    del ids, shares, target
+    return_freed_memory()
     if labels is None:
         return model, Scorers(shape, None)
     marks = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -289,6 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     marked = base.join(F.broadcast(marks), "id")  # about labelled_rows ids
     ids, _, ties = collected(marked.select((F.xxhash64("tie", F.lit(2)).bitwiseAND(F.lit(-2)) + F.col("toxic")).alias("tie"), "text"), True)
     toxic = fit_logistic(ids, [np.ones(len(x)) for x in ids], (ties & 1).astype(float), 1 << WORD_BITS, 1e-4, 150, least_chi=CHI_SQUARE)
+    del ids
+    return_freed_memory()
     return model, Scorers(shape, toxic)
 
 
