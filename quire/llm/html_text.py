@@ -5,14 +5,20 @@ menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden
 as empty, and so do, where a page marks its article, lines outside of it.  The text lengths
 of ``WIDTH`` lines from each line on are summed; a surge is where the sums reach the
 threshold and a dive where they fall below it, and the lines between are the article.  Where
-the article is marked, any text is over the threshold.  Elsewhere text in links doesn't
-count, and of several stretches those that hold most of the text are kept.
+the article is marked, any text is over the threshold.
+
+Elsewhere text in links doesn't count for the sums, and any text is over the threshold whose
+container has enough of it, or all text where a page without a mark has too little.  A left-out part
+inside one container doesn't end a stretch.  Of several stretches those that hold most of
+the text are kept, where stretches of one container, and those with nothing but left-out
+parts between, are judged together.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches
 
-#: Lines in a window, characters that a window needs on a page without a marked article,
-#: and the share of the longest stretch that others need to be kept there.
+#: Lines in a window, characters that a window or container needs on a page without a marked
+#: article, and the share of the longest group of stretches that others need to be kept there.
 WIDTH, SURGE, SHARE = 3, 60, 0.25
 #: Empty lines that stand for a part that is left out, so that no window bridges it.
 BREAK = WIDTH
@@ -38,6 +44,8 @@ LEFT_OUT = frozenset("head nav footer aside form script style textarea title xmp
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Blocks that tell one part of a page from another; other blocks belong to what is around them.
+CONTAINERS = frozenset("body div td th center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag of their kind ends, and those that it doesn't look beyond.
 SELF_CLOSING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table tr", "th": "table tr", "option": "select"}
@@ -68,17 +76,21 @@ def _left_out(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, characters outside of links, and whether an article has it; left-out parts are empty lines."""
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, left out, in an article, in a link
+def page_lines(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
+    """The page's lines, and whether it marks an article.
+
+    A line has its text, characters outside of links, whether an article has it, and its
+    block's container; left-out parts are empty lines.
+    """
+    lines: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, bool, bool, int, int]] = []  # name, left out, in an article, in a link, container of its block and of blocks in it
     buffer: list[str] = []
     plain: list[str] = []
-    out = article = link = False
+    out = article = link = marked = False
 
     def flush() -> None:
         if text := " ".join("".join(buffer).split()):
-            lines.append((text, len(" ".join("".join(plain).split())), article))
+            lines.append((text, len(" ".join("".join(plain).split())), article, stack[-1][4] if stack else 0))
         buffer.clear()
         plain.clear()
 
@@ -94,11 +106,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             flush()
         del stack[to:]
         was = out
-        _, out, article, link = stack[-1] if stack else ("", False, False, False)
+        _, out, article, link, _, _ = stack[-1] if stack else ("", False, False, False, 0, 0)
         if was and not out:
-            lines.extend([("", 0, False)] * BREAK)
+            lines.extend([("", 0, False, 0)] * BREAK)
 
-    at = 0
+    at = containers = 0
     while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
@@ -138,8 +150,14 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                 now = True
             out = now
         article = article or name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop") == "articleBody"
+        marked = marked or article and not out
         link = link or name == "a"
-        stack.append((name, out, article, link))
+        around, inside = stack[-1][4:] if stack else (0, 0)
+        if name in BLOCKS:
+            around = inside
+        if name in CONTAINERS:
+            inside = containers = containers + 1
+        stack.append((name, out, article, link, around, inside))
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if name == "textarea" and not out:
@@ -148,7 +166,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             pop(len(stack) - 1)
     add(page[at:])
     flush()
-    return lines
+    return lines, marked
 
 
 def stretches(sizes: list[int], threshold: int) -> list[tuple[int, int]]:
@@ -169,18 +187,48 @@ def stretches(sizes: list[int], threshold: int) -> list[tuple[int, int]]:
     return found
 
 
+def _unmarked(lines: list[tuple[str, int, bool, int]], least: int) -> list[str]:
+    """The kept lines of a page without text in a marked article; ``least`` is the threshold where none reaches SURGE."""
+    rows: list[tuple[str, int, int]] = []  # text, characters outside of links, container
+    last = None  # container of the last line with text
+    for text, size, _, container in lines:
+        while text and container == last and rows and not rows[-1][0]:
+            rows.pop()
+        rows.append((text, size, container))
+        last = container if text else last
+    sizes = [size for _, size, _ in rows]
+    held: Counter[int] = Counter()
+    for _, size, container in rows:
+        held[container] += size
+    found = stretches([max(size, SURGE) if size and held[container] >= SURGE else size for _, size, container in rows], SURGE) or stretches(sizes, least)
+    group = list(range(len(found)))
+
+    def first(k: int) -> int:
+        while group[k] != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    seen: dict[int, int] = {}
+    for k, (a, b) in enumerate(found):
+        if k and not any(text for text, _, _ in rows[found[k - 1][1] : a]):
+            group[first(k)] = first(k - 1)
+        for _, size, container in rows[a:b]:
+            if size:
+                group[first(k)] = first(seen.setdefault(container, k))
+    most: Counter[int] = Counter()
+    for k, (a, b) in enumerate(found):
+        most[first(k)] += sum(sizes[a:b])
+    needed = SHARE * max(most.values(), default=0)
+    return [text for k, (a, b) in enumerate(found) if most[first(k)] >= needed for text, _, _ in rows[a:b] if text]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line feeds; empty where there is none."""
-    lines = page_lines(page or "")
-    if any(inside for _, _, inside in lines):
-        kept = stretches([len(text) if inside else 0 for text, _, inside in lines], 1)
-    else:
-        sizes = [size for _, size, _ in lines]
-        kept = stretches(sizes, SURGE)
-        most = max((sum(sizes[a:b]) for a, b in kept), default=0)
-        kept = [(a, b) for a, b in kept if sum(sizes[a:b]) >= SHARE * most]
-        return "\n".join(text for a, b in kept for text, size, _ in lines[a:b] if size)
-    return "\n".join(text for a, b in kept for text, _, inside in lines[a:b] if text and inside)
+    lines, marked = page_lines(page or "")
+    if not any(inside for _, _, inside, _ in lines):
+        return "\n".join(_unmarked(lines, SURGE if marked else 1))
+    kept = stretches([len(text) if inside else 0 for text, _, inside, _ in lines], 1)
+    return "\n".join(text for a, b in kept for text, _, inside, _ in lines[a:b] if text and inside)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,6 +110,39 @@ def test_line_blocks_without_article():
     assert text.split("\n") == [f"Paragraph {i} has a good deal of running text in it, as articles do." for i in range(6)]
 
 
+def _words(n, size=300):
+    return f"Paragraph {n} " + "of the article goes on " * (size // 23) + "."
+
+
+ADVERT = '<div class="ad"><p>Buy this now, a great offer for all of our readers.</p></div>'
+
+
+@pytest.mark.parametrize("open_, close", [("<body>", "</body>"), ("<body><div>", "</div></body>"), ("<body><div><section>", "</section></div></body>")])
+def test_advert_inside_unmarked_article(open_, close):
+    parts = [_words(i) for i in range(11)]
+    for ending in ([], ["The end."]):
+        page = open_ + "".join(f"<p>{x}</p>" for x in parts[:10]) + ADVERT + "".join(f"<p>{x}</p>" for x in parts[10:] + ending) + close
+        assert main_text(page).split("\n") == parts + ending
+    page = "<body><div><div>" + "".join(f"<p>{x}</p>" for x in parts[:10]) + "</div>" + ADVERT + f"<div><p>{parts[10]}</p></div></div></body>"
+    assert main_text(page).split("\n") == parts
+    assert main_text("<body>" + "".join(f"<p>{x}</p>" for x in parts[:2]) + ADVERT + f"<p>short</p>{ADVERT}<p>{parts[2]}</p></body>").split("\n") == [*parts[:2], "short", parts[2]]
+
+
+def test_short_unmarked_article():
+    assert main_text("<body><h1>Note</h1><p>Closed today.</p></body>") == "Note\nClosed today."
+    lines = [f"A short line {i}" for i in range(12)]
+    poem = "".join(f"<p>{x}</p>" for x in lines)
+    assert main_text(f"<body><div>{poem}</div></body>").split("\n") == lines
+    menu = "".join(f'<li><a href="/{i}">Menu entry number {i}</a></li>' for i in range(20))
+    assert main_text(f"<body><div><ul>{menu}</ul></div><div>{poem}</div></body>").split("\n") == lines
+    assert main_text(f"<body><div><ul>{menu}</ul></div></body>") == ""
+
+
+def test_links_inside_unmarked_article():
+    page = f'<body><div><p>{_words(1)}</p><p><a href="/x">The whole report</a></p><p>{_words(2)}</p></div></body>'
+    assert main_text(page).split("\n") == [_words(1), "The whole report", _words(2)]
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(i, None, p, "t") for i, (p, _) in enumerate(PAGES)] + [(None, "u", None, "t")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in extract_articles(df).collect()}
