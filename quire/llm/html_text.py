@@ -50,12 +50,20 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that a start tag of their kind ends, and those that it doesn't look beyond.
 SELF_CLOSING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table tr", "th": "table tr", "option": "select"}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-#: Words of class and id names of parts that aren't the article.
+#: Words for parts that aren't the article: a class or id name says so if it has one of them
+#: and otherwise only words of layout, and a class name also by a first word of ``FIRST``.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus respond replies newsletter subscribe subscription signup social share sharing related recommended popup modal overlay toolbar pagination pager widget widgets footer masthead login".split()
 )
+FIRST = frozenset("ad ads advert advertisement adsense adsbygoogle cookie cookies consent gdpr navbar breadcrumb breadcrumbs disqus newsletter pagination masthead sidebar".split())
+LAYOUT = frozenset(
+    "main primary secondary top bottom left right middle site page global local post posts article articles story stories entry entries content header head foot body area bar block box button buttons card cards container wrapper wrap inner outer holder slot unit zone column columns col section sections group list lists item items link links icon icons text title heading label form field fields input image media panel module region row set stack strip desktop mobile tablet inline sticky fixed float large small more count number numbers previous prev next dialog message thread tree google dfp mpu leaderboard skyscraper rectangle facebook twitter email print".split()
+)
+#: Elements whose ids count inside an article; ids of sections, headings, paragraphs and the like come from titles.
+ID_INSIDE = frozenset("div ul ol".split())
 WHOLE_NAMES = frozenset("header site-header page-header top-header global-header siteheader pageheader".split())
 STATES = frozenset("no has with without is".split())
+KNOWN, SIZE = PARTS | LAYOUT, re.compile(r"\d+(?:x\d+)?")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -69,9 +77,13 @@ def _left_out(name: str, attributes: dict[str, str], in_article: bool) -> bool:
         return False
     if "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", "")) or attributes.get("role", "").lower() in ROLES:
         return True
-    for own in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
-        words = re.split(r"[^a-z0-9]+", own)
-        if own in WHOLE_NAMES or words[0] not in STATES and not PARTS.isdisjoint(words):
+    classes = attributes.get("class", "").lower().split()
+    by_id = name in ID_INSIDE and "section" not in classes if in_article else name in BLOCKS - HEADINGS - {"p"}
+    for k, own in enumerate(classes + (attributes.get("id", "").lower().split() if by_id else [])):
+        words = [x for x in re.split(r"[^a-z0-9]+", own) if x and not SIZE.fullmatch(x)]
+        if own in WHOLE_NAMES or k < len(classes) and words and words[0] in FIRST:
+            return True
+        if words and words[0] not in STATES and not PARTS.isdisjoint(words) and KNOWN.issuperset(words):
             return True
     return False
 

@@ -143,6 +143,24 @@ def test_links_inside_unmarked_article():
     assert main_text(page).split("\n") == [_words(1), "The whole report", _words(2)]
 
 
+TITLED = ['<section id="related-work">{}</section>', '<h2 id="social-history">{}</h2>', '<h2 id="advertising">{}</h2>', '<p id="promotion-and-sponsor-deals">{}</p>', '<section id="notices">{}</section>', '<h2><span class="headline" id="advertising">{}</span></h2>', '<div class="section" id="comments">{}</div>', '<div class="social-history">{}</div>', '<div id="related-work">{}</div>']
+
+
+@pytest.mark.parametrize("part", TITLED)
+@pytest.mark.parametrize("around", ["article", "main"])
+def test_parts_named_by_titles(part, around):
+    inside = part.format("A part of the article.")
+    assert main_text(f"<body><{around}><p>before</p>{inside}<p>after</p></{around}></body>") == "before\nA part of the article.\nafter"
+
+
+NAMED = ["div class='ad'", "div class='ad-hoc-unit'", "div class='google-ad 300'", "div class='ad-300x250'", "div class='related-posts'", "ul class='share-buttons'", "div id='comments'", "div id='cookie-banner'", "p class='advert'", "section class='newsletter-signup'", "div class='post-comments'", "div class='comment__item'"]
+
+
+@pytest.mark.parametrize("tag", NAMED)
+def test_parts_named_by_layout(tag):
+    assert main_text(f"<article><p>before</p><{tag}>not the article</{tag.split()[0]}><p>after</p></article>") == "before\nafter"
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(i, None, p, "t") for i, (p, _) in enumerate(PAGES)] + [(None, "u", None, "t")], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in extract_articles(df).collect()}
