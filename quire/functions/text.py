@@ -69,7 +69,12 @@ def substituted(c: Column, rules: tuple[Substitution, ...], field: str) -> Colum
 
 def looks_roman(word: Column) -> Column:
     low = F.lower(word)
-    return (F.length(word) > 1) & low.rlike("^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$") & ~low.isin(*ROMAN_EXCLUDED)
+    return (F.length(word) > 1) & low.rlike("^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$") & ~low.isin(*ROMAN_EXCLUDED)
+
+
+def title_tokens(title: Column) -> Column:
+    """The words of a title without punctuation around them; those that are nothing else are left out."""
+    return F.filter(F.transform(words(title), lambda w: F.regexp_replace(w, "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")), lambda w: w != "")
 
 
 def catalogue_numbers(raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Catalogue
+from ..config import TITLE_CASE_EXCEPTIONS, Catalogue
 from ..functions import text as T
 
 
@@ -31,7 +31,13 @@ def normalise_works(works: DataFrame, settings: Catalogue = Catalogue()) -> Data
 def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
     """(work_id, type): one row for each warning of each normalised work."""
     c, limit = F.col, settings.normalisation.edition_suppress_max
-    raw_edition, stated = T.blank_to_null(T.strip(c("raw_edition"))), T.edition(c("raw_edition"), -1)["total"]
+    raw_edition, edition = T.blank_to_null(T.strip(c("raw_edition"))), T.edition(c("raw_edition"), -1)
+    stated = edition["total"]
+    no_price = c("price_numeric").isNull() & F.coalesce(c("price_text"), F.lit("")).isin("", "*")
+    only_price = edition["price"].isNotNull() & no_price
+    suppressed = F.coalesce((stated > 0) & (stated <= limit), F.lit(False))
+    excepted = lambda w: F.upper(w).isin(*(x.upper() for x in TITLE_CASE_EXCEPTIONS))
+    in_title = lambda test: F.coalesce(F.exists(T.title_tokens(c("title")), test), F.lit(False))
     odd_space = lambda raw: raw != T.strip(raw)
     foreign = lambda x: F.coalesce(x.rlike(r"[^\x00-\x7F]"), F.lit(False))
     cases: dict[str, Column] = {
@@ -42,8 +48,11 @@ def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFr
         "unrecognised_price": c("price_numeric").isNull() & ~c("price_text").isin("*", "NFS"),
         "edition_anomaly": raw_edition.isNotNull() & stated.isNull(),
         "zero_edition_suppressed": F.coalesce(stated == 0, F.lit(False)) & F.lit(limit >= 0),
-        "edition_suppressed": F.coalesce((stated > 0) & (stated <= limit), F.lit(False)),
-        "non_ascii_characters": foreign(c("title")) | foreign(c("artist_name")) | foreign(c("medium")),
+        "edition_suppressed_no_price": suppressed & only_price,
+        "edition_suppressed": suppressed & ~only_price,
+        "non_ascii_characters": foreign(c("title")) | foreign(c("artist_name")) | foreign(c("artist_honorifics")) | foreign(c("medium")),
+        "title_case_roman": in_title(lambda w: T.looks_roman(w) & ~excepted(w)),
+        "title_case_exception": in_title(excepted),
     }
     found = F.filter(F.array(*(F.when(case, F.lit(name)) for name, case in cases.items())), lambda x: x.isNotNull())
     return normalised.select("work_id", F.explode(found).alias("type"))

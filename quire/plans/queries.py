@@ -25,10 +25,19 @@ def normalise_works(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("work_id", "title", "artist_name", "artist_honorifics", F.col("price_numeric").cast("long").alias("price_numeric"), "price_text", "edition_total", F.col("edition_price").cast("long").alias("edition_price"))
 
 
-def work_warnings(spark: SparkSession, sf: str) -> DataFrame:
+def all_work_warnings(spark: SparkSession, sf: str) -> DataFrame:
     return works.warnings(_normalised(spark, sf))
 
 
+def all_warning_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return all_work_warnings(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def work_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """The warnings whose types the SQL has: all but those of title case, which ``all_work_warnings`` has too."""
+    return all_work_warnings(spark, sf).where(~F.col("type").isin("title_case_roman", "title_case_exception"))
+
+
 def warning_counts(spark: SparkSession, sf: str) -> DataFrame:
     return work_warnings(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
 
@@ -161,7 +170,7 @@ def mac_roman_titles(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        effective_works, normalise_works, work_warnings, warning_counts, section_positions, gallery_summary, override_stats, without_override, search_works,
+        effective_works, normalise_works, all_work_warnings, all_warning_counts, work_warnings, warning_counts, section_positions, gallery_summary, override_stats, without_override, search_works,
         match_plan, match_counts, cross_gallery_moves, state_diff, state_diff_counts, export_diff, section_alignment, compare_entries, compare_summary,
         name_comparison, effective_artists, index_names, artist_flags, merged_artists, letter_groups, linked_entries, tag_round_trip, audit_latest,
         audit_windows, sort_keys, title_cased, mac_roman_titles,

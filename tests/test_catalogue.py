@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quire.config import Catalogue, Normalisation
 from quire.functions import text as T
 from quire.functions.unicode import title_case_text
-from quire.operators import compare, match
+from quire.operators import compare, match, works
 from quire.plans.oracles import ORACLES
 from quire.plans.queries import QUERIES
 
@@ -50,6 +51,38 @@ def test_title_case():
     assert title_case_text("a day at moma: the end") == "A Day at MoMA: The End"
 
 
+#: Title, artist, price, edition, medium; the warnings with editions up to 1 suppressed.
+WARNED = [
+    (("Henry IV", "Jane Doe", "10", None, "oil"), ["title_case_roman"]),
+    (("(xiv), by night", "Jane Doe", "10", None, "oil"), ["title_case_roman"]),
+    (("MMMM", "Jane Doe", "10", None, "oil"), ["title_case_roman"]),
+    (("Mix of I", "Jane Doe", "10", None, "oil"), []),
+    (("La mer at MoMA", "Jane Doe", "10", None, "oil"), ["title_case_exception"]),
+    (("UK II", "Jane Doe", "10", None, "oil"), ["title_case_exception", "title_case_roman"]),
+    (("a", "Jane Doe", None, "Edition of 1 at £500", "oil"), ["edition_suppressed_no_price", "missing_price"]),
+    (("a", "Jane Doe", "10", "Edition of 1 at £500", "oil"), ["edition_suppressed"]),
+    (("a", "Jane Doe", "NFS", "Edition of 1 at £500", "oil"), ["edition_suppressed"]),
+    (("a", "Jane Doe", "*", "Edition of 1", "oil"), ["edition_suppressed", "missing_price"]),
+    ((None, "Jane Doe ÉLU", "10", "Edition of 0 at £5", "oil"), ["missing_title", "non_ascii_characters", "zero_edition_suppressed"]),
+]
+
+
+def test_warnings(spark):
+    settings = Catalogue(Normalisation(honorific_tokens=("RA", "ÉLU"), edition_suppress_max=1))
+    df = spark.createDataFrame([(i, *w) for i, (w, _) in enumerate(WARNED)], "work_id int, raw_title string, raw_artist string, raw_price string, raw_edition string, raw_medium string")
+    got = works.warnings(works.normalise_works(df, settings), settings).collect()
+    assert [sorted(r.type for r in got if r.work_id == i) for i in range(len(WARNED))] == [x for _, x in WARNED]
+
+
+def test_all_work_warnings(spark):
+    got = {n: {(r.work_id, r.type) for r in QUERIES[n](spark, SF).collect()} for n in ("all_work_warnings", "work_warnings")}
+    assert got["work_warnings"] <= got["all_work_warnings"]
+    roman = {r.work_id for r in QUERIES["normalise_works"](spark, SF).where("title like '% IV'").collect()}
+    assert roman and {(i, "title_case_roman") for i in roman} == got["all_work_warnings"] - got["work_warnings"]
+    counts = {r.type: r.n for r in QUERIES["all_warning_counts"](spark, SF).collect()}
+    assert counts["title_case_roman"] == len(roman) and sum(counts.values()) == len(got["all_work_warnings"])
+
+
 NAMES = [
     (("Roger Adams", None, None, "Roger", "Adams", None), ("exact", [])),
     (("Ryan Gander", "RA", None, "Ryan", "Gander", "OBE RA"), ("partial_honorific", ["extra_quals_in_index:obe"])),
