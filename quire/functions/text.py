@@ -111,8 +111,8 @@ def whole_number(c: Column) -> Column:
 def fingerprint(title: Column, artist: Column, medium: Column) -> Column:
     """Struct of the three texts, folded: lower case and single spaces, null as empty.
 
-    Compatibility composition isn't applied, so texts that differ by it have different
-    fingerprints; bring such texts to NFKC with ``functions.unicode.normalised`` first.
+    The texts are taken as they are; ``operators.match.with_fingerprint`` brings them to NFKC
+    first, so that texts that differ by composition or width have one fingerprint.
     """
     fold = lambda c: F.lower(F.array_join(words(F.coalesce(c, F.lit(""))), " "))
     return F.struct(fold(title).alias("title"), fold(artist).alias("artist"), fold(medium).alias("medium"))

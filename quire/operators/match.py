@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.unicode import normalised
 
 
 def with_fingerprint(works: DataFrame) -> DataFrame:
-    return works.withColumn("print", T.fingerprint(F.col("raw_title"), F.col("raw_artist"), F.col("raw_medium"))).withColumn("number", T.blank_to_null(F.col("cat_no")))
+    """Adds the fingerprint of the three texts in NFKC, and the number."""
+    texts = {f"_{c}": normalised(F.col(c)) for c in ("raw_title", "raw_artist", "raw_medium")}
+    return works.withColumns(texts).withColumn("print", T.fingerprint(*(F.col(c) for c in texts))).withColumn("number", T.blank_to_null(F.col("cat_no"))).drop(*texts)
 
 
 def _ranked(rows: DataFrame, *keys: str) -> DataFrame:

@@ -139,6 +139,18 @@ def test_match_plan(spark):
         assert got == plain_plan(*rows)
 
 
+def test_match_of_unicode_variants(spark):
+    kinds = "ord long, cat_no string, gallery string, include_in_export boolean, raw_title string, raw_artist string, raw_medium string, raw_price string, raw_edition string"
+    old = [(1, "1", "A", True, "Caf\u00e9", "Zo\u00eb", "oil", None, None), (2, "2", "A", True, "Full width", "\ufb01sh", "oil", None, None), (3, "3", "A", True, None, "x", None, None, None)]
+    new = [(11, "8", "A", True, "Cafe\u0301", "Zoe\u0308", "oil", None, None), (12, "2", "B", True, "\uff26\uff55\uff4c\uff4c\u3000width", "fish", "oil", None, None), (13, "3", "A", True, "", "X", "", None, None)]
+    a, b = spark.createDataFrame(old, kinds), spark.createDataFrame(new, kinds)
+    got = {r.old_ord: (r.outcome, r.new_ord) for r in match.match_plan(a, b).collect()}
+    assert got == {1: ("fingerprint", 11), 2: ("cat_no", 12), 3: ("cat_no", 13)}
+    assert {tuple(r) for r in match.state_pairs(a, b).collect()} == {(1, 11), (2, 12), (3, 13)}
+    assert [tuple(r) for r in match.cross_gallery_moves(a, b).collect()] == [(12, "A", "B")]
+    assert not {"added", "removed"} & {r.field for r in match.state_diff(works.normalise_works(a), works.normalise_works(b)).collect()}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
