@@ -34,6 +34,12 @@ def index_name(artist: DataFrame) -> Column:
     return F.when(surname.isNull(), "").otherwise(F.concat_ws(" ", F.concat_ws(", ", surname, rest), text("quals")))
 
 
+def sort_name(artist: DataFrame) -> Column:
+    """The text of an artist's sort key: last and first name, or the one there is; empty where there is none."""
+    text = lambda c: T.blank_to_null(artist[c])
+    return F.when(text("last_name").isNull(), F.coalesce(text("first_name"), F.lit(""))).otherwise(F.concat(text("last_name"), F.lit(" "), F.coalesce(text("first_name"), F.lit(""))))
+
+
 def merged_artists(artists: DataFrame) -> DataFrame:
     """Rows of one name merged, numbers in row order; rows with a courtesy stay apart."""
     fold = lambda c: F.coalesce(F.lower(T.strip(F.col(c))), F.lit(""))

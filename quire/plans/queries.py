@@ -154,7 +154,18 @@ def audit_windows(spark: SparkSession, sf: str) -> DataFrame:
     return audit.actions_by_window(spark.read.parquet(f"{sf}/events.parquet")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def artist_sort_keys(spark: SparkSession, sf: str) -> DataFrame:
+    artists = view(spark, sf, "index_artists")
+    return artists.select("artist_id", N.sort_key(index.sort_name(artists)).alias("sort_key"))
+
+
+def document_sort_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The sort keys of whole texts."""
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", N.sort_key("text").alias("sort_key"))
+
+
 def sort_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The sort keys of what stands before the first white space of each text, as the SQL has it."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs.select("doc_id", N.sort_key(F.get(F.split("text", r"\s+"), F.lit(0))).alias("sort_key"))
 
@@ -173,6 +184,6 @@ QUERIES: dict[str, Query] = {
         effective_works, normalise_works, all_work_warnings, all_warning_counts, work_warnings, warning_counts, section_positions, gallery_summary, override_stats, without_override, search_works,
         match_plan, match_counts, cross_gallery_moves, state_diff, state_diff_counts, export_diff, section_alignment, compare_entries, compare_summary,
         name_comparison, effective_artists, index_names, artist_flags, merged_artists, letter_groups, linked_entries, tag_round_trip, audit_latest,
-        audit_windows, sort_keys, title_cased, mac_roman_titles,
+        audit_windows, artist_sort_keys, document_sort_keys, sort_keys, title_cased, mac_roman_titles,
     )
 }

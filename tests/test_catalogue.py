@@ -1,5 +1,7 @@
 """Catalogue operators on literal rows, and every SQL-expressible query against DuckDB on the smallest tables."""
 
+import unicodedata
+
 import duckdb
 import pandas as pd
 import pytest
@@ -7,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quire.config import Catalogue, Normalisation
 from quire.functions import text as T
-from quire.functions.unicode import title_case_text
-from quire.operators import compare, match, works
+from quire.functions.unicode import sort_key, title_case_text
+from quire.operators import compare, index, match, works
 from quire.plans.oracles import ORACLES
 from quire.plans.queries import QUERIES
+from quire.sources.views import with_views
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +54,22 @@ def test_title_case():
     assert title_case_text("a day at moma: the end") == "A Day at MoMA: The End"
 
 
+def test_sort_names(spark):
+    rows = [(0, "Zo\u00eb", "d'\u00c9lan"), (1, "Assemble", None), (2, "Assemble", ""), (3, None, " Boyd & Evans "), (4, None, None), (5, "Ann Mary", "Van Dyck")]
+    df = spark.createDataFrame(rows, "i int, first_name string, last_name string")
+    got = [r.k for r in df.withColumn("k", sort_key(index.sort_name(df))).orderBy("i").collect()]
+    assert got == ["d'elan zoe", "assemble", "assemble", "boyd & evans", "", "van dyck ann mary"]
+
+
+def test_whole_sort_keys(spark, duck):
+    sql = with_views("SELECT artist_id, strip_accents(lower(trim(concat(coalesce(nullif(last_name, ''), first_name, ''), ' ', CASE WHEN coalesce(last_name, '') <> '' THEN coalesce(first_name, '') ELSE '' END)))) AS sort_key FROM index_artists", "index_artists")
+    assert rows_of(QUERIES["artist_sort_keys"](spark, SF).toPandas()) == rows_of(duck.execute(sql).df())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    keys = {r.doc_id: r.sort_key for r in QUERIES["document_sort_keys"](spark, SF).collect()}
+    plain = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t.strip().lower()) if not unicodedata.combining(x))
+    assert keys == {i: None if t is None else plain(t) for i, t in texts.items()} and any(" " in k for k in keys.values())
+
+
 #: Title, artist, price, edition, medium; the warnings with editions up to 1 suppressed.
 WARNED = [
     (("Henry IV", "Jane Doe", "10", None, "oil"), ["title_case_roman"]),
