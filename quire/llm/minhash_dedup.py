@@ -7,7 +7,7 @@
    candidate edges are at most as many as bucket rows.  Edges are confirmed on full sets.
 3. A star misses links between members that its hub isn't similar to.  So buckets whose
    members are still in several components are compared once more across components, in
-   blocks of bounded size.  A block's task counts shared shingles and returns, for each
+   blocks of bounded size.  A block's task compares full sets and returns, for each
    member and other component, one pair that links them at most.
 
 Two texts at the threshold share no band with probability (1 - 0.75**6)**64 = 4e-6.
@@ -69,7 +69,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
 def _shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every set of ``one`` with every set of ``two``."""
     items = np.intersect1d(np.concatenate(one), np.concatenate(two))
-    total = np.zeros((len(one), len(two)), np.float32)
+    total = np.zeros((len(one), len(two)), np.int64)
     for at in range(0, len(items), COLUMNS):
         part, sides = items[at : at + COLUMNS], []
         for sets in (one, two):
@@ -78,14 +78,14 @@ def _shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
             hit = part[place] == flat
             sides.append(np.zeros((len(sets), len(part)), np.float32))
             sides[-1][row[hit], place[hit]] = 1
-        total += sides[0] @ sides[1].T
+        total += (sides[0] @ sides[1].T).astype(np.int64)  # at most COLUMNS each, exact in single precision
     return total
 
 
 def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Similar pairs of different components from runs that each hold one pair of blocks.
 
-    Each member gets one partner of each other component at most.
+    Each member gets one partner of each other component at most; pairs are exact on full sets.
     """
     for run in runs(batches, ["key", "left", "right"]):
         ids, comp, side = (run[c].to_numpy() for c in ("id", "comp", "side"))
@@ -161,11 +161,9 @@ def near_duplicates(
     placed = crowded.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     crowd = tables.keep(placed.join(mixed, "key", "left_semi"), "crowd")
-    # Half of each hash is enough to find pairs; they are confirmed on whole hashes.
-    halves = sets.select("id", F.transform("items", lambda x: F.shiftright(x, 32).cast("int")).alias("items"))
-    blocks = _block_rows(crowd, block).join(halves, "id").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    blocks = _block_rows(crowd, block).join(sets, "id").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
     compared = blocks.select("key", "left", "right", "side", "id", "comp", "items").mapInArrow(functools.partial(_alike, percent=percent), "a long, b long").distinct()
-    late = tables.keep(confirmed(compared), "late")
+    late = tables.keep(compared, "late")  # exact as they are: tasks compare whole sets
     parts = tables.keep(components(stars.union(late), tables), "components")
 
     placed = some.select("id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).join(parts.withColumnRenamed("id", "rep"), "rep", "left")

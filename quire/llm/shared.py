@@ -11,16 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of 8 to 24 bytes up to which a side may be broadcast after it was counted.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a side may be broadcast after it was counted, and of a row without longer columns.
+BROADCAST_BYTES, ROW_BYTES = 24_000_000, 24
 #: Rows and bytes of an Arrow batch between the JVM and Python, where the session allows more.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own where it is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset and Spark runs on this machine alone, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -58,8 +60,9 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``limit`` narrow rows; else as it is, for a shuffled join."""
+def broadcast_if_small(df: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its rows, of ``row_bytes`` at most, fit in BROADCAST_BYTES; else as it is, for a shuffled join."""
+    limit = BROADCAST_BYTES // row_bytes
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     html = F.coalesce(F.col(html_col), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html).alias("sha1"))
     chosen = base.where(F.col("size") >= least).groupBy("sha1").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = base.join(broadcast_if_small(chosen), "sha1", "left")
+    joined = base.join(broadcast_if_small(chosen, row_bytes=96), "sha1", "left")
     refers = F.when(~F.col("id").eqNullSafe(F.col("response")), F.col("response"))
     return joined.select("id", "url", "html", "size", "sha1", refers.alias("refers_to")).mapInArrow(functools.partial(_store, root=root), "path string, records long, bytes long")
 

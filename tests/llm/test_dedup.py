@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm.epsilon_grid import link_embeddings
-from quire.llm.minhash_dedup import near_duplicates
+from quire.llm.minhash_dedup import _alike, near_duplicates
 from quire.llm.substring_dedup import remove_repeated_passages, rewritten_documents
 from quire.llm.suffix_dedup import remove_repeated_bytes
 
@@ -149,3 +150,25 @@ def test_embedding_links(spark):
     assert link_embeddings(df.limit(0)).count() == 0
     two = link_embeddings(df.where("vec_id = 3").union(df.where("vec_id = 3")).union(df.where("vec_id = 4").withColumn("vec_id", df.vec_id * None)))
     assert sorted((r.vec_id or -1, r.n_links, r.kept) for r in two.collect()) == [(-1, 0, True), (3, 1, True), (3, 1, True)]
+
+
+def test_late_links_on_whole_hashes():
+    """Two shingles of one set whose hashes share a half: similarity 3/4, so the pair is found."""
+    a, b, c = 7 << 32 | 1, 7 << 32 | 2, 9 << 32
+    table = pa.RecordBatch.from_pydict({"key": [1, 1], "left": ["0", "0"], "right": ["0", "0"], "side": pa.array([0, 0], pa.int32()), "id": [1, 2], "comp": [1, 2], "items": [[a, a + 5, b], [a, a + 5, b, c]]})
+    got = [tuple(r.values()) for batch in _alike(iter([table]), 75) for r in batch.to_pylist()]
+    assert set(got) == {(1, 2)}
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    """20,000 words, linked through a text that isn't the bucket's hub."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40_000)]
+    base = [rng.choice(words) for _ in range(20_000)]
+    far = base[:2600] + [rng.choice(words) for _ in range(2600)] + base[5200:]
+    near = base[:18_000] + [rng.choice(words) for _ in range(2000)]
+    rows = [(1, " ".join(far)), (2, " ".join(base)), (3, " ".join(near)), (4, "a b")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if (w := t.split()) and len(w) > 4}
+    alike = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    part = linked([1, 2, 3, 4], {i: [j for x in alike for j in x if i in x and j != i] for i in range(1, 5)})
+    assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows)).collect()} == part and part[3] == part[2]
