@@ -51,7 +51,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = Tables(spark).keep(text_to_media(table(spark, sf_dir, "documents")), "media")
-    return media_features(stored).drop("times", "random_access").withColumnRenamed("id", "doc_id")
+    return media_features(stored).withColumnRenamed("id", "doc_id")
 
 
 def op9_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

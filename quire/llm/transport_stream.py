@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ PRIVATE_TYPE, PRIVATE_ID = 0x06, 0xBD
 PES_HEADER = 14
 
 
-@cache
+@lru_cache(64)
 def crc32_mpeg(section: bytes) -> int:
     """The CRC of program tables; 0 over a section that ends in its own."""
     crc = 0xFFFFFFFF
