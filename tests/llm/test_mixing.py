@@ -4,9 +4,10 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from quire.llm.mixing import mix_sources
+from quire.llm.mixing import SOFT, mix_documents, mix_sources
 from quire.llm.queries import op3_entropy_mixing, table
 
 WEIGHTS = (1, 2, 3)
@@ -63,10 +64,40 @@ def test_mix(spark, group):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
-def test_rate_solves_the_dual(spark):
-    df = spark.createDataFrame([(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
-    for r in mix_sources(df).collect():
-        assert math.isclose(r.rate * r.source_size, r.target, rel_tol=1e-9)
+def test_rates_solve_the_dual(spark):
+    """Sources meet their targets, and the tilt by language and length is what their misses call for."""
+    langs = {"a": "xy", "b": "yz", "c": "x"}
+    data = [(i, "w " * (i % 9 + 1) * (1 + i % 4), "abc"[i % 3], langs["abc"[i % 3]][i // 3 % len(langs["abc"[i % 3]])]) for i in range(300)]
+    got = {r.id: r for r in mix_documents(spark.createDataFrame(data, "doc_id long, text string, source string, lang string")).collect()}
+    total = sum(r.size for r in got.values())
+    for s in "abc":
+        own = [r for r in got.values() if r.source == s]
+        assert math.isclose(sum(r.rate * r.size for r in own), own[0].target, rel_tol=1e-6)
+    by = Counter()
+    for r in got.values():
+        by[r.language] += r.size
+    names = sorted(by, key=lambda n: (-by[n], n))[:-1]
+    mean = sum(r.size * math.log(r.size) for r in got.values()) / total
+    spread = math.sqrt(sum(r.size * math.log(r.size) ** 2 for r in got.values()) / total - mean**2)
+    x = {i: np.array([(r.language == n) - by[n] / total for n in names] + [(math.log(r.size) - mean) / spread]) for i, r in got.items()}
+    dual = -sum(r.rate * r.size * x[i] for i, r in got.items()) / (SOFT * total)
+    assert np.abs(dual).max() > 0.01  # the constraints couple the sources
+    for s in "abc":
+        level = [math.log(r.rate) - x[i] @ dual for i, r in got.items() if r.source == s and r.rate < 3 - 1e-9]
+        assert max(level) - min(level) < 1e-3
+    plain = {s: next(r.target / r.source_size for r in got.values() if r.source == s) for s in "abc"}
+    miss = lambda rate: np.abs(sum(rate(r) * r.size * x[i] for i, r in got.items())).sum()
+    assert miss(lambda r: r.rate) < 0.5 * miss(lambda r: plain[r.source])
+
+
+def test_hot_repeated_rows(spark):
+    """A third of the rows are one document: they are one entry, and copies sum up all the same."""
+    data = [(1, "a b c d", "x", "en")] * 500 + [(i, "w " * (i % 50 + 1), "xyz"[i % 3], "en") for i in range(2, 1000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, lang string")
+    got = mix_sources(df).collect()
+    assert len(got) == len(data) and max(r.copies for r in got) <= 3
+    assert len({r.copies for r in got if r.doc_id == 1}) <= 2
+    assert mix_documents(df).where("id = 1").count() == 1
 
 
 def test_empty_tables(spark):

@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 from quire.llm.minhash_dedup import near_duplicates
+from quire.llm.mixing import mix_sources
 from quire.llm.queries import table
 from quire.llm.quality import classify
 from quire.llm.shared import Tables
@@ -78,3 +79,16 @@ def test_clashing_columns_and_nulls(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == columns, name
     corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_mix_of_repeated_ids_and_long_texts(spark):
+    """The mix takes what the operator says where ids repeat, with equal and other texts; very long texts pass."""
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, "d e f g", "en", "t", 7), (None, "h i", "en", "t", 3), (None, "h i", "en", "t", 3), (2, "w " * 30_000, "en", "s", 60_000)]
+    docs = spark.createDataFrame(rows + [(10 + i, f"word{i} " * (i % 7 + 1), "en", "st"[i % 2], 9) for i in range(60)], table(spark, SF, "documents").schema)
+    taken = sum(r.taken for r in mix_sources(docs).collect())
+    out = corpus_pipeline.mix(spark, docs, SF)
+    assert out.columns == docs.columns and sum(len(words(r.text)) for r in out.collect()) == taken
+    apart = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.text for r in apart if r.doc_id == 1) == ["a b c", "d e f g"] and sum(r.doc_id is None for r in apart) == 1
+    cut = corpus_pipeline.drop_repeated_passages(spark, docs.where("doc_id = 2"), SF).collect()
+    assert [len(words(r.text)) for r in cut] == [1]  # all windows but the first start earlier
