@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.minhash_dedup import near_duplicates
-from quire.llm.mixing import mix_sources
+from quire.llm.mixing import mix_documents
 from quire.llm.quality import good_documents
 from quire.llm.queries import table
 from quire.llm.segmentation import sample_segmentations
@@ -20,9 +20,17 @@ def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, and one row of those that repeat an id and its text."""
+    tables = Tables(spark)
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(broadcast_if_small(Tables(spark).keep(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(broadcast_if_small(tables.keep(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+    again = tables.keep(left.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if again.isEmpty():
+        return left
+    known = F.broadcast(again) if again.limit(1_000_000).count() < 1_000_000 else again
+    single = left.join(known, left["doc_id"].eqNullSafe(known["id"]), "left_anti")
+    many = left.join(known, left["doc_id"].eqNullSafe(known["id"]), "left_semi")
+    return single.unionByName(many.dropDuplicates(["doc_id", "text"]))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +39,16 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it."""
-    copies = mix_sources(docs).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    copies = broadcast_if_small(Tables(spark).keep(copies, "copies").select(F.struct("id", "copies").alias("taken_copies")))
-    taken = docs.select(F.struct(*docs.columns).alias("mixed_document")).join(copies, F.col("mixed_document.doc_id").eqNullSafe(F.col("taken_copies.id")))
+    """Each document stands as often as the mix takes it; rows that repeat id, text and source stand as copies of one of them."""
+    mixed = Tables(spark).keep(mix_documents(docs).groupBy("id", "key", "source").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n")).where("copies > 0"), "copies")
+    copies = mixed.select(F.struct("id", "key", "source", "copies", "n").alias("taken_copies"))
+    own = docs.select(F.struct(*docs.columns).alias("mixed_document"), F.xxhash64("doc_id", "text").alias("mixed_key"))
+    same = (F.col("mixed_key") == F.col("taken_copies.key")) & F.col("mixed_document.doc_id").eqNullSafe(F.col("taken_copies.id")) & F.col("mixed_document.source").eqNullSafe(F.col("taken_copies.source"))
+    taken = own.join(broadcast_if_small(copies, row_bytes=100), same)
+    if not mixed.where("n > 1").isEmpty():
+        many = taken.where("taken_copies.n > 1")
+        many = many.groupBy("taken_copies").agg(F.first("mixed_document").alias("mixed_document"), F.first("mixed_key").alias("mixed_key")).select("mixed_document", "mixed_key", "taken_copies")
+        taken = taken.where("taken_copies.n = 1").unionByName(many)
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("taken_copies.copies")))
     return taken.select("mixed_document", times).select("mixed_document.*")
 
