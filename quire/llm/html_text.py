@@ -1,17 +1,18 @@
 """HTML extraction by line-block distribution.
 
-A page's markup is stripped to lines, one for each block of text, in page order.  Lines of
-menus, headers, footers, sidebars, notices, adverts, forms, comments and hidden parts count
-as empty, and so do, where a page marks its article, lines outside of it.  The text lengths
-of ``WIDTH`` lines from each line on are summed; a surge is where the sums reach the
-threshold and a dive where they fall below it, and the lines between are the article.  Where
-the article is marked, any text is over the threshold.
-
-Elsewhere text in links doesn't count for the sums, and any text is over the threshold whose
-container has enough of it, or all text where a page without a mark has too little.  A left-out part
-inside one container doesn't end a stretch.  Of several stretches those that hold most of
-the text are kept, where stretches of one container, and those with nothing but left-out
-parts between, are judged together.
+A page's markup is stripped to lines, one for each block of text, in page order, and the
+text lengths of ``WIDTH`` lines from each line on are summed.  A surge point is where the
+sums reach the threshold and a dive point where they fall below it; the threshold is a
+``SHARE`` of the page's own largest sum, at most ``SURGE``.  The lines from the first to the
+last heavy one between surge and dive are kept, whatever they hold.
+
+Tags are evidence for the sums.  Lines of menus, headers, footers, sidebars, notices,
+adverts, forms, comments and hidden parts have no length, and neither has text in links, or,
+where a page marks articles, text outside of them.  A left-out part inside one container
+isn't a line at all, elsewhere it is as many empty lines as a window has.  What is kept is
+completed to its container, so short lines before a surge or behind a dive aren't lost:
+the marked article as a whole, elsewhere the containers of the heavy lines, as far as no
+window of empty or link-only lines comes between.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .shared import bound_batches
 
-#: Lines in a window, characters that a window or container needs on a page without a marked
-#: article, and the share of the longest group of stretches that others need to be kept there.
-WIDTH, SURGE, SHARE = 3, 60, 0.25
+#: Lines in a window, the largest threshold, and the threshold's share of the page's largest sum.
+WIDTH, SURGE, SHARE = 3, 120, 0.4
+#: The threshold on pages whose marked article has nothing to keep.
+DOUBTFUL = 60
 #: Empty lines that stand for a part that is left out, so that no window bridges it.
 BREAK = WIDTH
 
@@ -88,17 +90,19 @@ def _left_out(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
-    """The page's lines, and whether it marks an article.
+def page_lines(page: str) -> tuple[list[tuple[str, int, int, int]], bool, list[int]]:
+    """The page's lines, whether it marks an article, and the container around each container.
 
-    A line has its text, characters outside of links, whether an article has it, and its
-    block's container; left-out parts are empty lines.
+    A line has its text, characters outside of links, the number of the article that has it
+    (0 for none), and its block's container; left-out parts are empty lines.
     """
-    lines: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, bool, bool, int, int]] = []  # name, left out, in an article, in a link, container of its block and of blocks in it
+    lines: list[tuple[str, int, int, int]] = []
+    stack: list[tuple[str, bool, int, bool, int, int]] = []  # name, left out, in an article, in a link, container of its block and of blocks in it
     buffer: list[str] = []
     plain: list[str] = []
-    out = article = link = marked = False
+    out = link = marked = False
+    article = articles = 0
+    parents = [0]
 
     def flush() -> None:
         if text := " ".join("".join(buffer).split()):
@@ -118,11 +122,11 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
             flush()
         del stack[to:]
         was = out
-        _, out, article, link, _, _ = stack[-1] if stack else ("", False, False, False, 0, 0)
+        _, out, article, link, _, _ = stack[-1] if stack else ("", False, 0, False, 0, 0)
         if was and not out:
-            lines.extend([("", 0, False, 0)] * BREAK)
+            lines.extend([("", 0, 0, 0)] * BREAK)
 
-    at = containers = 0
+    at = 0
     while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
@@ -155,20 +159,22 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
                     break
         attributes = _attributes(m["attributes"]) if m["attributes"] else {}
         if not out:
-            now = _left_out(name, attributes, article)
+            now = _left_out(name, attributes, article > 0)
             if now and name in BLOCKS:
                 flush()
             if article and stack and any(x[0] == "header" for x in stack) and name not in HEADINGS and name in BLOCKS - {"div", "hgroup", "header"}:
                 now = True
             out = now
-        article = article or name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop") == "articleBody"
-        marked = marked or article and not out
+        if not article and (name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop") == "articleBody"):
+            article = articles = articles + 1
+        marked = marked or article > 0 and not out
         link = link or name == "a"
         around, inside = stack[-1][4:] if stack else (0, 0)
         if name in BLOCKS:
             around = inside
         if name in CONTAINERS:
-            inside = containers = containers + 1
+            parents.append(inside)
+            inside = len(parents) - 1
         stack.append((name, out, article, link, around, inside))
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -178,69 +184,65 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool, int]], bool]:
             pop(len(stack) - 1)
     add(page[at:])
     flush()
-    return lines, marked
+    return lines, marked, parents
 
 
-def stretches(sizes: list[int], threshold: int) -> list[tuple[int, int]]:
-    """Runs of lines between surge and dive: [first, after the last) lines with text."""
-    found, n, i = [], len(sizes), 0
-    while i < n:
-        if not sizes[i] or sum(sizes[i : i + WIDTH]) < threshold:
-            i += 1
+def stretches(sizes: list[int], threshold: float) -> list[list[int]]:
+    """The heavy lines between each surge and its dive: those of at least the threshold's share of a line."""
+    found: list[list[int]] = []
+    end = -1  # the last line of the last window that reached the threshold
+    for i in range(len(sizes)):
+        if sum(sizes[i : i + WIDTH]) < threshold:
             continue
-        end = i
-        while end < n and sum(sizes[end : end + WIDTH]) >= threshold:
-            end += 1
-        end = min(n, end + WIDTH - 1) if end < n else n
-        while not sizes[end - 1]:
-            end -= 1
-        found.append((i, end))
-        i = end
-    return found
+        if i == 0 or sum(sizes[i - 1 : i - 1 + WIDTH]) < threshold:
+            found.append([])
+        last = min(i + WIDTH, len(sizes))
+        found[-1].extend(k for k in range(max(i, end + 1), last) if WIDTH * sizes[k] >= threshold)
+        end = last - 1
+    return [f for f in found if f]
+
+
+def _containers(heavy: list[int], parents: list[int]) -> set[int]:
+    """The containers that heavy lines in ``heavy`` complete: their own, and what is around three of them or more."""
+    own = set(heavy)
+    around = Counter(parents[c] for c in own if c and parents[c] > 1)  # the body is no part of a page
+    return own | {c for c, n in around.items() if n >= 3}
 
 
-def _unmarked(lines: list[tuple[str, int, bool, int]], least: int) -> list[str]:
-    """The kept lines of a page without text in a marked article; ``least`` is the threshold where none reaches SURGE."""
-    rows: list[tuple[str, int, int]] = []  # text, characters outside of links, container
+def main_text(page: str | None) -> str:
+    """The article's blocks, joined by line feeds; empty where there is none."""
+    lines, marked, parents = page_lines(page or "")
+    inside = any(article for text, _, article, _ in lines if text)
+    rows: list[tuple[str, int, int]] = []  # text, length for the sums, container
     last = None  # container of the last line with text
-    for text, size, _, container in lines:
+    for text, size, article, container in lines:
+        if inside:
+            text, size, container = (text, len(text), article) if article else ("", 0, 0)
         while text and container == last and rows and not rows[-1][0]:
             rows.pop()
         rows.append((text, size, container))
         last = container if text else last
     sizes = [size for _, size, _ in rows]
-    held: Counter[int] = Counter()
-    for _, size, container in rows:
-        held[container] += size
-    found = stretches([max(size, SURGE) if size and held[container] >= SURGE else size for _, size, container in rows], SURGE) or stretches(sizes, least)
-    group = list(range(len(found)))
-
-    def first(k: int) -> int:
-        while group[k] != k:
-            group[k] = k = group[group[k]]
-        return k
-
-    seen: dict[int, int] = {}
-    for k, (a, b) in enumerate(found):
-        if k and not any(text for text, _, _ in rows[found[k - 1][1] : a]):
-            group[first(k)] = first(k - 1)
-        for _, size, container in rows[a:b]:
-            if size:
-                group[first(k)] = first(seen.setdefault(container, k))
-    most: Counter[int] = Counter()
-    for k, (a, b) in enumerate(found):
-        most[first(k)] += sum(sizes[a:b])
-    needed = SHARE * max(most.values(), default=0)
-    return [text for k, (a, b) in enumerate(found) if most[first(k)] >= needed for text, _, _ in rows[a:b] if text]
-
-
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by line feeds; empty where there is none."""
-    lines, marked = page_lines(page or "")
-    if not any(inside for _, _, inside, _ in lines):
-        return "\n".join(_unmarked(lines, SURGE if marked else 1))
-    kept = stretches([len(text) if inside else 0 for text, _, inside, _ in lines], 1)
-    return "\n".join(text for a, b in kept for text, _, inside, _ in lines[a:b] if text and inside)
+    peak = max((sum(sizes[i : i + WIDTH]) for i in range(len(sizes))), default=0)
+    threshold = DOUBTFUL if marked and not inside else min(SURGE, max(1, peak * SHARE))
+    kept: set[int] = set()
+    for heavy in stretches(sizes, threshold):
+        kept.update(range(heavy[0], heavy[-1] + 1))
+        held = [rows[k][2] for k in heavy]
+        parts = set(held) if inside else _containers(held, parents)
+        for step, at in ((-1, heavy[0] - 1), (1, heavy[-1] + 1)):
+            empty, part = 0, []
+            while 0 <= at < len(rows) and (inside or empty < WIDTH):
+                text, size, container = rows[at]
+                own = text and (container in parts or not inside and parents[container] in parts)
+                empty = 0 if own and size else empty + 1
+                if own:
+                    part.append(at)
+                at += step
+            while not inside and part and not sizes[part[-1]]:  # a menu's beginning
+                part.pop()
+            kept.update(part)
+    return "\n".join(rows[k][0] for k in sorted(kept) if rows[k][0])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Transport streams, archives and extraction: exact round trips and awkward input."""
 
 import hashlib
+import re
 import struct
 
 import pytest
@@ -161,8 +162,45 @@ def test_parts_named_by_layout(tag):
     assert main_text(f"<article><p>before</p><{tag}>not the article</{tag.split()[0]}><p>after</p></article>") == "before\nafter"
 
 
+MENU = "".join(f'<li><a href="/{i}">Menu entry number {i}</a></li>' for i in range(20))
+WHOLE = [
+    "<body><h1>Title</h1><p>Short article.</p><p>Only a little.</p></body>",
+    "<body><p>One short block.</p></body>",
+    "<body><div><p>{long}</p><p>{long}</p><p>a</p><p>b</p><p>c</p><p>d</p><p>e</p></div></body>",  # an ending of short lines
+    "<body><div><p>a</p><p>b</p><p>c</p><p>d</p><p>{long}</p><p>{long}</p></div></body>",
+    "<body><div>" + "<div><p>{long}</p></div>" * 5 + "<div><p>end</p></div></div></body>",  # a container for each paragraph
+    "<body><article><p>{long}</p><p><a href='/x'>a paragraph in a link</a></p><p>x</p><p>y</p><p>z</p></article></body>",
+    "<body><article><p>{long}</p><ul><li><a>r1</a></li><li><a>r2</a></li><li><a>r3</a></li><li><a>r4</a></li></ul></article></body>",
+    "<body><article><div class='share-price'>The price of a share</div><p>x</p></article></body>",
+    "<body><main><article><p>{long}</p></article><article><p>short one</p></article></main></body>",
+]
+
+
+@pytest.mark.parametrize("page", WHOLE)
+@pytest.mark.parametrize("menu", ["", f"<div><ul>{MENU}</ul></div>"])
+def test_nothing_of_an_article_is_lost(page, menu):
+    """Pages with an article and at most a menu: every block of the article is kept, whatever its length."""
+    page = page.format(long=_words(7))
+    expected = [x for x in re.split(r"<[^>]*>", page) if x]
+    assert main_text(page.replace("<body>", f"<body>{menu}")).split("\n") == expected
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 60])
+def test_unmarked_parts_around_an_article(n):
+    """Short lines of other containers stay outside of surge and dive; a page's own sums set the threshold."""
+    body = [_words(i, 200) for i in range(n)]
+    page = f"<body><div><ul>{MENU}</ul></div><div><p>Log in</p></div><div>{''.join(f'<p>{x}</p>' for x in body)}</div><div><p>All rights reserved</p></div></body>"
+    assert main_text(page).split("\n") == body
+
+
+def test_very_long_page():
+    body = [_words(i, 900) for i in range(4000)]
+    assert main_text(f"<body><div>{''.join(f'<p>{x}</p>' for x in body)}</div></body>").split("\n") == body
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(i, None, p, "t") for i, (p, _) in enumerate(PAGES)] + [(None, "u", None, "t")], "page_id long, url string, html string, text string")
+    assert extract_articles(df.union(df)).count() == 2 * df.count()
     got = {r.page_id: (r.text, r.n_chars) for r in extract_articles(df).collect()}
     assert got == {i: (t, len(t)) for i, (_, t) in enumerate(PAGES)} | {None: ("", 0)}
     assert extract_articles(df.limit(0)).count() == 0
