@@ -1,12 +1,17 @@
 """Embedding near-dedup by an epsilon grid order join.
 
 Unit vectors with cosine c are sqrt(2 - 2c) apart, so links are pairs within epsilon.  The
-vectors are projected on their leading principal dimensions, which never lengthens a
-distance, sorted by the grid cells of side epsilon there, and cut into intervals of the
-sorted sequence.  Pairs of intervals are joined by recursion: a pair whose bounding boxes
-are more than epsilon apart is skipped, others are halved down to small blocks, which are
-compared by cosines of the full vectors in double precision.  The upper part of the
-recursion works on the intervals' boxes and the lower part inside tasks, one for each pair.
+vectors are projected on their leading principal dimensions and on the norm of what is left,
+which never lengthens a distance, sorted by the grid cells of side epsilon of the first of
+these, and cut into intervals of the sorted sequence.  Pairs of intervals are joined by
+recursion: a pair whose bounding boxes are more than epsilon apart is skipped, others are
+halved down to small blocks, which are compared by cosines of the full vectors in double
+precision.  The upper part of the recursion starts at each interval, in tasks that hold the
+intervals' boxes, and the lower part works inside tasks, one for each pair left.
+
+Every vector goes to as many tasks as its interval has pairs, so intervals are as large as
+a task can hold (``INTERVAL_BYTES``), or smaller where a small table would keep few cores
+busy.  Where grid cells don't separate the data, all pairs are left.
 
 Equal vectors are one class with one representative.  A pair of intervals gives a count of
 links for each vector and the edges of a spanning forest, never its pairs, so a dense
@@ -16,6 +21,7 @@ cluster costs comparisons but no rows.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Tables, components, runs
+from .shared import Tables, broadcast_if_small, components, runs
 
-#: Leading dimensions of the grid, vectors of an interval and of a block that is compared
-#: at once, and leading coordinates that the principal dimensions are taken of.
-GRID_DIMS, INTERVAL, BLOCK, PCA_DIMS = 8, 4096, 256, 512
+#: Leading dimensions of the grid and of the boxes, and leading coordinates that the principal dimensions are taken of.
+GRID_DIMS, BOX_DIMS, PCA_DIMS = 8, 16, 512
+#: Bytes of the vectors of an interval, and vectors of a block that is compared at once.
+INTERVAL_BYTES, BLOCK = 16 << 20, 256
+#: What rounding may add to a distance between projections.
+SLACK = 1e-6
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -55,13 +64,13 @@ def principal_dimensions(vectors: DataFrame, dim: int) -> np.ndarray:
     m = m.reshape(dims + 1, dims + 1)
     n, mean = max(m[-1, -1], 1.0), m[-1, :-1] / max(m[-1, -1], 1.0)
     _, axes = np.linalg.eigh(m[:-1, :-1] / n - np.outer(mean, mean))
-    return axes[:, ::-1][:, :GRID_DIMS]
+    return axes[:, ::-1][:, :BOX_DIMS]
 
 
 def _cells(batches: Iterator[pa.RecordBatch], axes: np.ndarray, epsilon: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            cell = np.floor(_matrix(batch.column(2))[:, : len(axes)] @ axes / epsilon).astype(np.int32)
+            cell = np.floor(_matrix(batch.column(2))[:, : len(axes)] @ axes[:, :GRID_DIMS] / epsilon).astype(np.int32)
             cells = pa.FixedSizeListArray.from_arrays(pa.array(cell.ravel()), cell.shape[1]).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, cells], ["id", "n", "vector", "cells"])
 
@@ -76,17 +85,22 @@ def _numbered(batches: Iterator[pa.RecordBatch], axes: np.ndarray) -> Iterator[p
             at = np.arange(done, done + batch.num_rows)
             done += batch.num_rows
             lead = _matrix(batch.column(2))[:, : len(axes)] @ axes
+            lead = np.hstack([lead, np.sqrt(np.maximum(0, 1 - (lead * lead).sum(1, keepdims=True)))])
             lead = pa.FixedSizeListArray.from_arrays(pa.array(lead.ravel()), lead.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part)), pa.array(at), *batch.columns[:3], lead], ["part", "at", "id", "n", "vector", "lead"])
 
 
-def _in_sequence(numbered: DataFrame) -> DataFrame:
+def _in_sequence(numbered: DataFrame, interval: int | None, dim: int) -> DataFrame:
     """Places in the whole sequence, and its intervals, from places in partitions; one row a partition reaches the driver."""
     parts = numbered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
     starts = np.cumsum([0, *(r["n"] for r in parts)]).tolist()
-    offsets = numbered.sparkSession.createDataFrame([(r["part"], s) for r, s in zip(parts, starts)], "part long, start long")
+    spark = numbered.sparkSession
+    if interval is None:
+        wanted = math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))
+        interval = max(1, min(INTERVAL_BYTES // (8 * dim), max(BLOCK, -(-starts[-1] // wanted))))
+    offsets = spark.createDataFrame([(r["part"], s) for r, s in zip(parts, starts)], "part long, start long")
     placed = numbered.join(F.broadcast(offsets), "part").withColumn("at", F.col("at") + F.col("start"))
-    return placed.withColumn("interval", F.floor(F.col("at") / INTERVAL)).drop("part", "start")
+    return placed.withColumn("interval", F.floor(F.col("at") / interval)).drop("part", "start")
 
 
 def recursive_pairs(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray, epsilon: float, same: bool) -> Iterator[tuple[int, int]]:
@@ -108,12 +122,12 @@ def recursive_pairs(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2:
         stack.extend((*x, *y) for x in left for y in right)
 
 
-def _boxes(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cuts = np.arange(0, len(lead), BLOCK)
+def _boxes(lead: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.arange(0, len(lead), block)
     return np.minimum.reduceat(lead, cuts), np.maximum.reduceat(lead, cuts)
 
 
-def _joined(batches: Iterator[pa.RecordBatch], cosine: float, epsilon: float) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], cosine: float, epsilon: float, block: int) -> Iterator[pa.RecordBatch]:
     """Links of the pairs of intervals in the runs: (a, b, links), an edge, or a count for a with null b."""
     for run in runs(batches, ["pair"]):
         run = run.combine_chunks()
@@ -122,10 +136,10 @@ def _joined(batches: Iterator[pa.RecordBatch], cosine: float, epsilon: float) ->
         lead = lead.flatten().to_numpy().reshape(len(ids), -1)
         n, label, links = int((side == 0).sum()), np.arange(len(ids)), np.zeros(len(ids))
         same = n == len(ids)
-        first = _boxes(lead[:n])
-        second, base = (first, 0) if same else (_boxes(lead[n:]), n)
+        first = _boxes(lead[:n], block)
+        second, base = (first, 0) if same else (_boxes(lead[n:], block), n)
         for i, j in recursive_pairs(*first, *second, epsilon, same):
-            p, q = slice(i * BLOCK, min(n, (i + 1) * BLOCK)), slice(base + j * BLOCK, min(len(ids), base + (j + 1) * BLOCK))
+            p, q = slice(i * block, min(n, (i + 1) * block)), slice(base + j * block, min(len(ids), base + (j + 1) * block))
             near = x[p] @ x[q].T >= cosine
             if same and i == j:
                 near &= ~np.eye(len(near), dtype=bool)
@@ -150,26 +164,43 @@ def _joined(batches: Iterator[pa.RecordBatch], cosine: float, epsilon: float) ->
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(b)) >= len(edge)), pa.array(number)], ["a", "b", "links"])
 
 
-def _links(vectors: DataFrame, dim: int, cosine: float, tables: Tables) -> DataFrame:
+def _pairs(batches: Iterator[pa.RecordBatch], low: np.ndarray, high: np.ndarray, epsilon: float) -> Iterator[pa.RecordBatch]:
+    """For each interval its pairs with itself and later ones: (pair, interval, side), a row for each side."""
+    n = len(low)
+    for batch in batches:
+        for i in batch.column(0).to_pylist():
+            j = np.array([i + d for _, d in recursive_pairs(low[i : i + 1], high[i : i + 1], low[i:], high[i:], epsilon, False)], np.int64)
+            other = j[j != i]
+            pair, interval = np.concatenate([i * n + j, i * n + other]), np.concatenate([np.full(len(j), i), other])
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(interval), pa.array((np.arange(len(pair)) >= len(j)).astype(np.int32))], ["pair", "interval", "side"])
+
+
+def interval_pairs(ordered: DataFrame, dims: int, epsilon: float, tables: Tables) -> DataFrame:
+    """(pair, interval, side) of the pairs of intervals that boxes don't keep apart; one box an interval reaches the driver."""
+    edges = [f(F.col("lead")[k]).alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(dims)]
+    boxes = ordered.groupBy("interval").agg(*edges).orderBy("interval").toPandas()
+    low, high = (boxes[[f"{f}{k}" for k in range(dims)]].to_numpy() for f in ("min", "max"))
+    each = ordered.sparkSession.range(0, len(boxes), 1, max(1, min(len(boxes), 2000)))
+    return tables.keep(each.mapInArrow(functools.partial(_pairs, low=low, high=high, epsilon=epsilon), "pair long, interval long, side int"), "pairs")
+
+
+def _links(vectors: DataFrame, dim: int, cosine: float, tables: Tables, interval: int | None, block: int) -> DataFrame:
     """Rows of ``_joined`` for the vectors (id, n, vector) of one length."""
-    epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
+    epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     axes = principal_dimensions(vectors, dim)
     cells = tables.keep(vectors.mapInArrow(functools.partial(_cells, axes=axes, epsilon=epsilon), "id long, n long, vector array<double>, cells array<int>"), "cells")
     ordered = cells.repartitionByRange("cells", "id").sortWithinPartitions("cells", "id")
-    ordered = _in_sequence(tables.keep(ordered.mapInArrow(functools.partial(_numbered, axes=axes), "part long, at long, id long, n long, vector array<double>, lead array<double>"), "ordered"))
-    edges = [f(F.col("lead")[k]).alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(axes.shape[1])]
-    boxes = ordered.groupBy("interval").agg(*edges).orderBy("interval").toPandas()  # one row for INTERVAL vectors
-    low, high = (boxes[[f"{f}{k}" for k in range(axes.shape[1])]].to_numpy() for f in ("min", "max"))
-    names = boxes["interval"].tolist()
-    sides = [(pair, names[i], side) for pair, (a, b) in enumerate(recursive_pairs(low, high, low, high, epsilon, True)) for side, i in enumerate((a, b)) if side == 0 or a != b]
-    spark = vectors.sparkSession
-    placed = ordered.join(spark.createDataFrame(sides, "pair long, interval long, side int"), "interval")
-    placed = placed.repartition(max(1, min(len(sides), 20_000)), "pair").sortWithinPartitions("pair", "side", "at")
+    ordered = tables.keep(ordered.mapInArrow(functools.partial(_numbered, axes=axes), "part long, at long, id long, n long, vector array<double>, lead array<double>"), "ordered")
+    tables.drop(cells)
+    ordered = _in_sequence(ordered, interval, dim)
+    sides = interval_pairs(ordered, axes.shape[1] + 1, epsilon, tables)
+    placed = ordered.join(broadcast_if_small(sides), "interval")
+    placed = placed.repartition(max(1, min(sides.where("side = 0").count(), 20_000)), "pair").sortWithinPartitions("pair", "side", "at")
     placed = placed.select("pair", "side", "id", "n", "vector", "lead")
-    return placed.mapInArrow(functools.partial(_joined, cosine=cosine, epsilon=epsilon), "a long, b long, links long")
+    return placed.mapInArrow(functools.partial(_joined, cosine=cosine, epsilon=epsilon, block=block), "a long, b long, links long")
 
 
-def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
+def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, interval: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row a vector: id, n_links, component_id and kept.
 
     Vectors of equal length with cosine >= ``cosine`` (0 to 1, in double precision) are
@@ -179,7 +210,7 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing; neither do rows with a null id (component_id null, kept true).  Repeated rows
     are linked with each other.  Other columns are ignored; an empty table gives an empty
-    result.
+    result.  ``interval`` and ``block`` are numbers of vectors, which change the work only.
     """
     tables = Tables(vectors.sparkSession)
     v = F.col(vector_col).cast("array<double>")
@@ -190,7 +221,7 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = tables.keep(some.groupBy("content").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vector").alias("vector")), "classes")
     found = None
     for (dim,) in classes.select(F.size("vector")).distinct().collect():
-        part = _links(classes.where(F.size("vector") == dim).select("id", "n", "vector"), dim, cosine, tables)
+        part = _links(classes.where(F.size("vector") == dim).select("id", "n", "vector"), dim, cosine, tables, interval, block)
         found = part if found is None else found.union(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "a long, b long, links long")

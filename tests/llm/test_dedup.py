@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.llm.epsilon_grid import link_embeddings
+from quire.llm.epsilon_grid import link_embeddings, recursive_pairs
 from quire.llm.minhash_dedup import _alike, near_duplicates
 from quire.llm.substring_dedup import remove_repeated_passages, rewritten_documents
 from quire.llm.suffix_dedup import remove_repeated_bytes
@@ -172,3 +172,22 @@ def test_near_duplicates_of_very_long_texts(spark):
     alike = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     part = linked([1, 2, 3, 4], {i: [j for x in alike for j in x if i in x and j != i] for i in range(1, 5)})
     assert {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows)).collect()} == part and part[3] == part[2]
+
+
+@pytest.mark.parametrize("dim", [3, 24])
+def test_embedding_links_across_intervals(spark, dim):
+    """Over 20 intervals, a dense cluster of a third of the rows, chains between intervals."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(900, dim))
+    x[:300] = rng.normal(size=dim) + rng.normal(size=(300, dim)) * 0.05
+    for i in range(300, 900, 4):
+        x[i] = x[rng.integers(900)] + rng.normal(size=dim) * 0.15
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    part = linked(list(range(900)), {i: np.flatnonzero(near[i]).tolist() for i in range(900)})
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_embeddings(df, interval=40, block=8).collect()}
+    assert got == {i: (int(near[i].sum()), part[i]) for i in range(900)}
+    low = np.array([[0.0, 0], [1, 0], [5, 0]])
+    assert set(recursive_pairs(low, low + 0.5, low, low + 0.5, 0.6, True)) == {(0, 0), (0, 1), (1, 1), (2, 2)}
