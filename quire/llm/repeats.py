@@ -12,7 +12,8 @@ every window of a corpus would move many times its size, so windows are grouped
   windows, which are sorted out in the same way by the units all their windows share.
 
 Rows travel with hashes, so hot seeds and blocks are counted before a shuffle.  A seed's
-and a block's or window's 64 bits are compared together.
+and a block's 64 bits are compared together, and of a window the 64 bits of each half.
+Spans find their text by 64 bits of its content and its id together.
 """
 
 from __future__ import annotations
@@ -101,11 +102,11 @@ def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return span >> 24, (span >> 12 & 4095) + 1, span & 4095
 
 
-def _windows(batches: Iterator[pa.RecordBatch], units: Callable, width: int, halves: bool) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch], units: Callable, width: int, once: bool) -> Iterator[pa.RecordBatch]:
     """Windows of the spans beside each text (rid, id, text, from, spans): (rid, id, start, weight, one, two).
 
-    ``from`` is the place of the text's first unit.  Without ``halves``, a window that the
-    text has had before has weight 0.
+    ``from`` is the place of the text's first unit.  With ``once``, a window that the text
+    has had before has weight 0.
     """
     for batch in batches:
         for a, b, data, offsets in slices(batch.column(2)):
@@ -118,13 +119,14 @@ def _windows(batches: Iterator[pa.RecordBatch], units: Callable, width: int, hal
             shift = first[text] - batch.column(3).slice(a, b - a).to_numpy()[text]
             begin = np.repeat(start + shift, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             text, shift, weight = np.repeat(text, size), np.repeat(shift, size), np.repeat(weight, size)
-            middle = begin + (width // 2 if halves else width)
+            middle = begin + width // 2
             one, two = span_hash(sums, begin, middle), span_hash(sums, middle, begin + width)
-            if not halves:  # spans may come in any order
-                by_start = np.argsort(begin, kind="stable")
-                _, at = np.unique((one + text.astype(U) * _SALT)[by_start], return_index=True)
-                weight = np.zeros(len(begin), np.int64)
-                weight[by_start[at]] = 1
+            if once:
+                order = np.lexsort((begin, two, one, text))
+                same = np.zeros(len(order), bool)
+                same[1:] = (text[order][1:] == text[order][:-1]) & (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+                weight = np.ones(len(begin), np.int64)
+                weight[order[same]] = 0
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a).take(pa.array(text)),
@@ -138,47 +140,65 @@ def _windows(batches: Iterator[pa.RecordBatch], units: Callable, width: int, hal
             )
 
 
-def windows_of(texts: DataFrame, units: Callable, width: int, halves: bool) -> DataFrame:
-    """The single windows of ``texts`` (rid, id, text, from, spans).
-
-    ``one`` and ``two`` are ranks of a window's halves, or of the whole and of nothing.
-    """
-    return texts.select("rid", "id", "text", "from", "spans").mapInArrow(functools.partial(_windows, units=units, width=width, halves=halves), "rid long, id long, start long, weight int, one long, two long")
+def windows_of(texts: DataFrame, units: Callable, width: int, once: bool) -> DataFrame:
+    """The single windows of ``texts`` (rid, id, text, from, spans); ``one`` and ``two`` are ranks of a window's halves."""
+    return texts.select("rid", "id", "text", "from", "spans").mapInArrow(functools.partial(_windows, units=units, width=width, once=once), "rid long, id long, start long, weight int, one long, two long")
 
 
 def with_spans(base: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Texts of ``base`` (rid, id, text) that have ``blocks`` (rid, span, weight), with their list."""
-    wanted = blocks.groupBy("rid").agg(F.collect_list(F.struct("span", F.col("weight").cast("long").alias("weight"))).alias("spans"))
-    return base.join(wanted, "rid").select("rid", "id", "text", F.lit(0).cast("long").alias("from"), "spans")
+    """Texts of ``base`` (rid, id, text) that have ``blocks`` (rid, id, span, weight), with their list."""
+    wanted = blocks.groupBy("rid", F.col("id").alias("own")).agg(F.collect_list(F.struct("span", F.col("weight").cast("long").alias("weight"))).alias("spans"))
+    return _with_texts(base, wanted, "inner").select("rid", "id", "text", F.lit(0).cast("long").alias("from"), "spans")
+
+
+def _with_texts(base: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """Rows of ``base`` (rid, id, ...) beside those of ``wanted`` (rid, own, ...) with the same hash and id."""
+    wanted = wanted.withColumnRenamed("rid", "key")
+    return base.join(wanted, (F.col("rid") == F.col("key")) & F.col("id").eqNullSafe(F.col("own")), how).drop("key", "own")
 
 
 def _snippets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ids, pa.int64()), pa.array(spans, pa.int64()), pa.array(weights, pa.int32()), pa.array(parts, pa.binary())], ["rid", "id", "span", "weight", "text"])
+
     for batch in batches:
-        rids, spans, weights, parts, held = [], [], [], [], 0
-        for rid, text, own in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(4)):
+        rids, ids, spans, weights, parts, held = [], [], [], [], [], 0
+        for rid, id_, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(4)):
             data = text.as_buffer().to_pybytes()
             for span, weight in zip(own.values.field(0).to_pylist(), own.values.field(1).to_pylist()):
                 rids.append(rid)
+                ids.append(id_)
                 spans.append(span)
                 weights.append(weight)
                 parts.append(data[span >> 24 : (span >> 24) + (span >> 12 & 4095) + width])
                 held += len(parts[-1])
             if held > 1 << 23:
-                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(spans, pa.int64()), pa.array(weights, pa.int32()), pa.array(parts, pa.binary())], ["rid", "span", "weight", "text"])
-                rids, spans, weights, parts, held = [], [], [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(spans, pa.int64()), pa.array(weights, pa.int32()), pa.array(parts, pa.binary())], ["rid", "span", "weight", "text"])
+                yield rows()
+                rids, ids, spans, weights, parts, held = [], [], [], [], [], 0
+        yield rows()
 
 
 def snippets(texts: DataFrame, width: int) -> DataFrame:
-    """The bytes of each block of ``with_spans``: (rid, span, weight, text)."""
-    return texts.mapInArrow(functools.partial(_snippets, width=width), "rid long, span long, weight int, text binary")
+    """The bytes of each block of ``with_spans``: (rid, id, span, weight, text)."""
+    return texts.mapInArrow(functools.partial(_snippets, width=width), "rid long, id long, span long, weight int, text binary")
+
+
+def doubled(width: int) -> list[int]:
+    """Lengths of growing ranks, each at most twice the one before, up to what all windows of a part share."""
+    shared = width - PART + 1
+    return [max(1, -(-shared // k)) for k in (8, 4, 2, 1)]
 
 
 def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Parts of the blocks in snippets, cut at multiples of PART units before the owner."""
+    """Parts of the blocks in snippets, cut at multiples of PART units before the owner.
+
+    The units that all windows of a part share begin at one position.  Its ranks of length h
+    are pairs: the rank of half the length there, and that rank as far on as h needs.
+    """
+    lengths = doubled(width)
     for batch in batches:
-        spans = batch.column(1).to_numpy()
-        for a, b, data, offsets in slices(batch.column(3)):
+        spans = batch.column(2).to_numpy()
+        for a, b, data, offsets in slices(batch.column(4)):
             sums = prefix_sums(BYTE_CODE[data])
             start, size, place = _unpack(spans[a:b])
             low, high = (place - size + 1) // PART, place // PART  # parts are numbered by units before the owner
@@ -188,37 +208,36 @@ def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             far, near = part * PART + PART - 1, part * PART
             first, last = place[row] - np.minimum(far, place[row]), place[row] - np.maximum(near, (place - size + 1)[row])
             at = offsets[row]
-            inner = span_hash(sums, at + place[row] - near, at + place[row] - far + width)
+            begin = at + place[row] - near
+            ranks = []
+            for half, h in zip(lengths, lengths[1:]):
+                # The rank of the pair (half at the position, half at the offset h - half).
+                pair = mix(span_hash(sums, begin, begin + half) ^ _SALT) + span_hash(sums, begin + h - half, begin + h)
+                ranks.append(pa.array(mix(pair + part.astype(np.int64).view(U)).view(np.int64)))
             outer = mix(span_hash(sums, at + first, at + last + width) ^ ((place[row] - first).astype(U) * _SALT))
-            inner = mix(inner + part.astype(np.int64).view(U))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(a, b - a).take(pa.array(row)),
-                    batch.column(1).slice(a, b - a).take(pa.array(row)),
-                    pa.array((start[row] + first) << 24 | (last - first) << 12 | place[row] - first),
-                    pa.array(inner.view(np.int64)),
-                    pa.array(outer.view(np.int64)),
-                    batch.column(2).slice(a, b - a).take(pa.array(row)),
-                ],
-                ["rid", "block_span", "span", "seed", "block", "n"],
-            )
+            beside = [batch.column(k).slice(a, b - a).take(pa.array(row)) for k in (0, 1, 2, 3)]
+            own = pa.array((start[row] + first) << 24 | (last - first) << 12 | place[row] - first)
+            yield pa.RecordBatch.from_arrays([*beside[:3], own, *ranks, pa.array(outer.view(np.int64)), beside[3]], ["rid", "id", "block_span", "span", "rank1", "rank2", "seed", "block", "n"])
 
 
 def parts_of(found: DataFrame, width: int) -> DataFrame:
-    """Parts of blocks from ``snippets``: (rid, block_span, span, seed, block, n), seed and block as in ``ANCHORS``."""
-    return found.mapInArrow(functools.partial(_parts, width=width), "rid long, block_span long, span long, seed long, block long, n int")
+    """Parts of blocks from ``snippets``: (rid, id, block_span, span, rank1, rank2, seed, block, n).
+
+    rank1, rank2 and seed are ranks of growing length, block that of all units of the part.
+    """
+    return found.mapInArrow(functools.partial(_parts, width=width), "rid long, id long, block_span long, span long, rank1 long, rank2 long, seed long, block long, n int")
 
 
-def repeated_seeds(found: DataFrame) -> DataFrame:
-    """Anchors whose seed stands anywhere else too, in a block that may be another."""
-    seeds = found.where("n > 0").groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
-    return found.where("n > 0").join(seeds, "seed", "left_semi")
+def repeated(found: DataFrame, rank: str = "seed") -> DataFrame:
+    """Rows whose rank stands anywhere else too; those with a unique rank drop out."""
+    ranks = found.where("n > 0").groupBy(rank).agg(F.sum("n").alias("n")).where("n > 1").select(rank)
+    return found.where("n > 0").join(ranks, rank, "left_semi")
 
 
 def apply_spans(base: DataFrame, spans: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """Run ``function`` over batches (id, text, spans, carry): each text with its (start, end) spans, unmerged."""
-    grouped = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return base.join(grouped, "rid", "left").select("id", "text", "spans", *(["carry"] if "carry" in base.columns else [])).mapInArrow(function, schema)
+    """Run ``function`` over batches (id, text, spans, carry): each text with its spans (all columns but rid and own), unmerged."""
+    grouped = spans.groupBy("rid", "own").agg(F.collect_list(F.struct(*(c for c in spans.columns if c not in ("rid", "own")))).alias("spans"))
+    return _with_texts(base, grouped, "left").select("id", "text", "spans", *(["carry"] if "carry" in base.columns else [])).mapInArrow(function, schema)
 
 
 def covered(spans: pa.StructArray | None, n: int) -> np.ndarray:

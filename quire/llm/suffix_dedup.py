@@ -2,14 +2,20 @@
 
 Prefix doubling ranks positions by their first h bytes, then by pairs of ranks, at the
 position and h further on, and so on until ranks are unique or h is past the threshold.
-Here the positions of the first round are a sample that equal strings of ``width`` bytes
-are sure to share (see ``repeats``), ranked by their first 32 bytes.  Positions with a
-unique rank drop out.  The second round ranks pairs of that rank and the rank of all bytes
-that the strings around the position span.  Where one first rank has several such pairs, the
-third round does the same with runs of eight strings, whose first rank spans ``width`` - 7
-bytes, and the last ranks what is left, single strings, by the ranks of their two halves.
-
-Ranks are 64-bit fingerprints: two positions have equal ranks if their bytes are equal, and
+Positions whose rank is unique drop out of each round.
+
+1. The first round ranks a sample of positions that equal strings of ``width`` bytes are
+   sure to share (see ``repeats``) by 32 bytes.  A string whose sampled position drops out
+   is unique, so every position of the corpus is judged.
+2. Positions around a sampled one that is left are packed in a run, which is ranked by all
+   bytes that its strings span: equal runs repeat as a whole.
+3. Where one first rank has several such runs, positions are packed by eight.  Their ranks
+   double: h grows from an eighth to a quarter, a half and all of the ``width`` - 7 bytes that
+   eight strings share, each the rank of a pair of ranks of half the length.
+4. Groups of eight that are left are ranked by all bytes they span, and single positions
+   in those that differ by the pair of ranks of half the ``width``.
+
+Ranks are fingerprints: two positions have equal ranks if their bytes are equal, and
 counting a rank's positions needs a grouping and no total order.
 """
 
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import anchors, apply_spans, byte_units, covered, parts_of, repeated_seeds, snippets, span_end, span_start, windows_of, with_spans
+from .repeats import anchors, apply_spans, byte_units, covered, parts_of, repeated, snippets, span_end, span_start, windows_of, with_spans
 from .shared import Tables
 
 #: Bytes of the first ranks; any value up to the width gives the same result.
@@ -32,34 +38,37 @@ SEED_BYTES = 32
 
 
 def duplicate_spans(docs: DataFrame, tables: Tables, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """The table of texts (rid, id, text), and spans (rid, start, end) of bytes that repeat."""
+    """The table of texts (rid, id, text), and spans (rid, own, start, end) of bytes that repeat, own being the text's id."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.select(F.xxhash64("id", "text").alias("rid"), "id", "text")
     found = tables.keep(anchors(base, byte_units, width, min(SEED_BYTES, width)), "anchors")
-    span = [span_start(F.col("span")).alias("start"), span_end(F.col("span"), width).alias("end")]
+    span = [F.col("id").alias("own"), span_start(F.col("span")).alias("start"), span_end(F.col("span"), width).alias("end")]
     whole = [found.where("n = 0").select("rid", *span)]
 
-    def next_round(rows: DataFrame, name: str) -> DataFrame:
-        """Sorts rows out by (seed, block); returns those to take apart, one of each block, with weight 2 if it repeats."""
-        shared = tables.keep(repeated_seeds(rows), f"{name}-shared")
-        index = tables.keep(shared.groupBy("seed", "block").agg(F.sum("n").alias("total"), F.min("rid").alias("first")), f"{name}-index")
+    def runs(rows: DataFrame, name: str) -> DataFrame:
+        """Sorts runs with a repeated seed out by all they span; returns those to take apart, one of each kind, with weight 2 if it repeats."""
+        shared = tables.keep(repeated(rows), f"{name}-shared")
+        index = tables.keep(shared.groupBy("seed", "block").agg(F.sum("n").alias("total"), F.min(F.struct("rid", "id")).alias("first")), f"{name}-index")
         placed = tables.keep(shared.join(index, ["seed", "block"]), f"{name}-placed")
         tables.drop(shared, index)
         whole.append(placed.where("total > 1").select("rid", *span))
-        unclear = placed.where("rid = first").select("seed", "block").distinct().groupBy("seed").agg(F.count("*").alias("blocks")).where("blocks > 1")
-        open_rows = placed.where("rid = first").join(unclear.select("seed"), "seed", "left_semi")
-        return open_rows.withColumn("weight", F.least("total", F.lit(2)).cast("int"))
+        first = placed.where(F.struct("rid", "id").eqNullSafe(F.col("first")))
+        unclear = first.select("seed", "block").distinct().groupBy("seed").agg(F.count("*").alias("blocks")).where("blocks > 1")
+        return first.join(unclear.select("seed"), "seed", "left_semi").withColumn("weight", F.least("total", F.lit(2)).cast("int"))
 
-    blocks = next_round(found, "round2").select("rid", "span", "weight").distinct()
+    blocks = runs(found, "runs").select("rid", "id", "span", "weight").distinct()
     pieces = tables.keep(snippets(with_spans(base, blocks), width), "pieces")
-    parts = next_round(tables.keep(parts_of(pieces, width), "parts"), "round3").select("rid", "block_span", "span", "weight").distinct()
-    listed = parts.groupBy("rid", F.col("block_span").alias("s")).agg(F.collect_list(F.struct("span", F.col("weight").cast("long").alias("weight"))).alias("spans"))
-    texts = pieces.select("rid", F.col("span").alias("s"), "text").join(listed, ["rid", "s"])
-    texts = texts.select("rid", F.lit(0).cast("long").alias("id"), "text", span_start(F.col("s")).alias("from"), "spans")
-    single = tables.keep(windows_of(texts, byte_units, width, True), "round4")
+    packed = parts_of(pieces, width)
+    for rank in ("rank1", "rank2"):  # the third rank, of all that eight strings share, is the seed
+        packed = tables.keep(repeated(packed, rank).drop(rank), rank)
+    parts = runs(packed, "packed").select("rid", "id", "block_span", "span", "weight").distinct()
+    listed = parts.groupBy("rid", F.col("id").alias("own"), F.col("block_span").alias("s")).agg(F.collect_list(F.struct("span", F.col("weight").cast("long").alias("weight"))).alias("spans"))
+    texts = pieces.select("rid", "id", F.col("span").alias("s"), "text").join(listed.withColumnRenamed("rid", "key").withColumnRenamed("s", "t"), (F.col("rid") == F.col("key")) & (F.col("s") == F.col("t")) & F.col("id").eqNullSafe(F.col("own")))
+    texts = texts.select("rid", "id", "text", span_start(F.col("s")).alias("from"), "spans")
+    single = tables.keep(windows_of(texts, byte_units, width, False), "single")
     again = single.groupBy("one", "two").agg(F.sum("weight").alias("n")).where("n > 1").select("one", "two")
     late = single.where("weight = 1").join(again, ["one", "two"], "left_semi")
-    whole.append(late.select("rid", "start", (F.col("start") + width).alias("end")))
+    whole.append(late.select("rid", F.col("id").alias("own"), "start", (F.col("start") + width).alias("end")))
     return base, tables.keep(functools.reduce(DataFrame.union, whole), "spans")
 
 

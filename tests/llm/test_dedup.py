@@ -10,7 +10,7 @@ import pytest
 
 from quire.llm.epsilon_grid import link_embeddings, recursive_pairs
 from quire.llm.minhash_dedup import _alike, near_duplicates
-from quire.llm.substring_dedup import remove_repeated_passages, rewritten_documents
+from quire.llm.substring_dedup import parse_documents, remove_repeated_passages, rewritten_documents
 from quire.llm.suffix_dedup import remove_repeated_bytes
 
 SCHEMA = "doc_id long, text string, id string, rid long, spans int, text2 string"
@@ -94,6 +94,15 @@ def test_repeated_passages(spark):
     assert sum(k[1] for k in kept.values()) > 100
     digests = {r.doc_id: r.kept_sha256 for r in remove_repeated_passages(df, digest=True).collect() if r.doc_id is not None}
     assert digests == {i: hashlib.sha256(k[2].encode()).hexdigest() for i, k in kept.items()}
+    covered = {i: set() for i in kept}
+    for r in parse_documents(df).collect():
+        w, other = words_of(dict(rows)[r.doc_id]), words_of(dict(rows)[r.ref])
+        factor = w[r.start : r.start + r.length]
+        assert r.length >= width and r.ref <= r.doc_id
+        if r.length == width:  # longer ones of single windows may join several references
+            assert any(other[k : k + width] == factor for k in range(len(other)))
+        covered[r.doc_id].update(range(r.start, r.start + r.length))
+    assert {i: len(c) for i, c in covered.items()} == {i: k[1] for i, k in kept.items()}
     rewritten = rewritten_documents(df)
     assert rewritten.columns == df.columns
     for r in rewritten.collect():
