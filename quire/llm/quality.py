@@ -30,6 +30,8 @@ from .shared import bound_batches
 #: Each labeller: a trait of a text, and the least value at which it fires.
 LABELLERS = (("symbols", 0.05), ("capitals", 0.4), ("bare", 0.05), ("repeats", 0.2), ("sameness", 0.6), ("length", 2.0), ("marks", 0.02))
 SHAPE_BITS, WORD_BITS = 12, 18
+#: Words among which sameness looks for repeats.
+STRETCH = 200
 #: Beginnings of words, in bytes, that are features of the toxicity scorer beside whole words.
 BEGINNINGS = (4, 5, 6)
 
@@ -91,10 +93,11 @@ class Words:
         upper[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
         letters = _per_text(_counts(_LETTER[data] & ~((data >= 0x80) & (data < 0xC0)), self.starts, self.ends), self.first)
         bare = _counts(_LETTER[data] | _DIGIT[data], self.starts, self.ends) == 0
-        distinct = np.zeros(len(self.n))
-        for i, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist())):
-            if b > a:
-                distinct[i] = len(np.unique(self.hashes[a:b]))
+        # Distinct words of stretches of STRETCH words each, so that long texts are judged like short ones.
+        text = np.repeat(np.arange(len(self.n)), self.n)
+        stretch = (np.arange(len(text)) - self.first[text]) // STRETCH
+        _, lead = np.unique(mix(self.hashes + stretch.astype(U) * U(0x9E3779B97F4A7C15)) + text.astype(U) * U(0xD6E8FEB86659FD93), return_index=True)
+        distinct = np.bincount(text[lead], minlength=len(self.n))
         length = _per_text(self.ends - self.starts, self.first) / n
         marks = np.isin(data, np.frombuffer(b"!#%$&*|", np.uint8))
         size = np.maximum(_per_text(self.ends - self.starts, self.first), 1)
@@ -103,7 +106,7 @@ class Words:
             "capitals": _per_text(_counts(upper, self.starts, self.ends), self.first) / np.maximum(letters, 1),
             "bare": _per_text(bare, self.first) / n,
             "repeats": _per_text(self.repeat, self.first) / n,
-            "sameness": np.where(self.n >= 20, 1 - distinct / n, 0) * np.where(self.n < 2000, 1, 0.5),
+            "sameness": np.where(self.n >= 20, 1 - distinct / n, 0),
             "length": np.where(self.n >= 20, np.abs(length - 6.0), 0),
             "marks": _per_text(_counts(marks, self.starts, self.ends), self.first) / size,
         }
