@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import BYTE_CODE, LOWER, U, mix, prefix_sums, return_freed_memory, slices, span_hash, word_spans
-from .shared import bound_batches
+from .shared import Tables, bound_batches
 
 #: Each labeller: a trait of a text, and the least value at which it fires.
 LABELLERS = (("symbols", 0.05), ("capitals", 0.4), ("bare", 0.05), ("repeats", 0.2), ("sameness", 0.6), ("length", 2.0), ("marks", 0.02))
@@ -167,37 +167,47 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, labellers: int = l
     return model
 
 
-def copy_weights(ids: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-    """One vote for each group of rows of one class whose four least features agree, as those of near copies do."""
-    groups = [(bool(t >= 0.5), x[:4].tobytes()) for x, t in zip(ids, target)]
-    size: dict[tuple[bool, bytes], int] = {}
-    for g in groups:
-        size[g] = size.get(g, 0) + 1
-    return np.array([1 / size[g] for g in groups])
+def _telling(batches: Iterator[pa.RecordBatch], telling: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(2)
+        ids, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        hit = telling[ids]
+        at = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(lists)))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(ids[hit]))], ["bad", "votes", "ids"])
+
 
+def telling_features(marked: DataFrame, least_chi: float) -> tuple[DataFrame, np.ndarray]:
+    """Rows (bad, votes, ids) with only the features whose presence depends on the label, and which features these are.
 
-def chi_square(row: np.ndarray, flat: np.ndarray, target: np.ndarray, votes: np.ndarray, size: int) -> np.ndarray:
-    """The statistic of each feature's presence and the label, over rows that count as ``votes``."""
-    bad = votes * (target >= 0.5)
-    with_bad, with_all = np.bincount(flat, bad[row], size), np.bincount(flat, votes[row], size)
-    n, n_bad = votes.sum(), bad.sum()
+    Rows of one class whose four least features agree, as those of near copies do, share one
+    vote.  The counts by feature, 2**WORD_BITS at most, are what reaches the driver.
+    """
+    keyed = marked.withColumn("copy", F.xxhash64("bad", F.slice("ids", 1, 4)))
+    sizes = keyed.groupBy("copy").agg((1 / F.count("*")).alias("votes"))
+    rows = keyed.join(sizes, "copy").select(F.col("bad").cast("double").alias("bad"), "votes", "ids")
+    n, n_bad = rows.agg(F.coalesce(F.sum("votes"), F.lit(0.0)), F.coalesce(F.sum(F.col("votes") * F.col("bad")), F.lit(0.0))).first()
+    found = rows.select(F.explode("ids").alias("f"), "votes", "bad").groupBy("f").agg(F.sum("votes").alias("all"), F.sum(F.col("votes") * F.col("bad")).alias("bad")).toPandas()
+    with_all, with_bad = found["all"].to_numpy(), found["bad"].to_numpy()
     spread = with_all * (n - with_all) * n_bad * (n - n_bad)
-    return n * (with_bad * n - with_all * n_bad) ** 2 / np.where(spread > 0, spread, np.inf)
+    chi = n * (with_bad * n - with_all * n_bad) ** 2 / np.where(spread > 0, spread, np.inf)
+    telling = np.zeros(1 << WORD_BITS, bool)
+    telling[found["f"].to_numpy()[chi >= least_chi]] = True
+    return rows.mapInArrow(functools.partial(_telling, telling=telling), "bad double, votes double, ids array<int>"), telling
 
 
-def fit_logistic(ids: list[np.ndarray], shares: list[np.ndarray], target: np.ndarray, size: int, decay: float, steps: int, least_chi: float = 0.0, scale: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_logistic(ids: list[np.ndarray], shares: list[np.ndarray] | None, target: np.ndarray, size: int, decay: float, steps: int, votes: np.ndarray | None = None, scale: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer; full gradients with momentum scaled by curvature.  Both classes weigh alike.
 
-    With ``least_chi``, copies share one vote and features below that statistic keep weight 0.
+    Features that no row has keep weight 0; without ``shares`` features are present or not.
     """
     w, bias = np.zeros(size), 0.0
     if not len(ids):
         return w, bias
-    row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    flat, value = np.concatenate(ids).astype(np.int64), np.concatenate(shares).astype(float) * scale
-    votes = copy_weights(ids, target) if least_chi else np.ones(len(ids))
-    common = chi_square(row, flat, target, votes, size) >= least_chi if least_chi else np.bincount(flat, minlength=size) > 0
-    row, value, flat = row[common[flat]], value[common[flat]], flat[common[flat]]
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+    flat = np.concatenate(ids).astype(np.int32)
+    value = np.concatenate(shares) * np.float32(scale) if shares else np.ones(len(flat), np.float32)
+    votes = np.ones(len(ids)) if votes is None else votes
+    common = np.bincount(flat, minlength=size) > 0
     bad = target >= 0.5
     weight = votes * np.where(bad, 0.5 / max(1e-9, votes[bad].sum()), 0.5 / max(1e-9, votes[~bad].sum()))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
@@ -261,7 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     """The label model and the scorers; see the module.  ``labels`` has the id and ``toxic`` (0, 1 or null).
 
     Samples are taken by a hash of id and text, so reruns agree.  Votes are counted over all
-    documents; only the samples' features come to the driver.
+    documents, features of labelled ones on the cluster; what comes to the driver are the
+    sampled documents' shapes and the labelled ones' telling features.
     """
     bound_batches(docs.sparkSession)
     base = docs.select(F.xxhash64(id_col, text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("id"))
@@ -270,18 +281,15 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     model = fit_label_model(patterns, counts)
     part = F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
 
-    def collected(rows: DataFrame, toxic: bool) -> tuple[list, list, np.ndarray]:
-        out = rows.mapInArrow(functools.partial(_features, toxic=toxic), "tie long, ids array<int>, shares array<float>").toArrow()
-        lists = [[x.values.to_numpy() for x in out.column(k)] for k in ("ids", "shares")]
-        return *lists, out.column("tie").to_numpy()
-
     total = float(counts.sum())
     sample = base.where(part < sample_rows / max(total, 1.0)).select("tie", "text")
     voted = sample.mapInArrow(_votes, "tie long, pattern int").toPandas().drop_duplicates("tie").set_index("tie")["pattern"]
-    ids, shares, ties = collected(sample, False)
+    out = sample.mapInArrow(functools.partial(_features, toxic=False), "tie long, ids array<int>, shares array<float>").toArrow()
+    ids, shares = ([x.values.to_numpy() for x in out.column(k)] for k in ("ids", "shares"))
+    ties = out.column("tie").to_numpy()
     target = model.posterior(voted.loc[ties].to_numpy(np.int64)) if len(ties) else np.zeros(0)
     shape = fit_logistic(ids, shares, target, 1 << SHAPE_BITS, 1e-4, 200, scale=SHARE_SCALE)
-    del ids, shares, target
+    del out, ids, shares, target
     return_freed_memory()
     if labels is None:
         return model, Scorers(shape, None)
@@ -292,9 +300,14 @@ def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_
     share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     marks = marks.where(share < F.when(F.col("toxic") == 1, F.lit(labelled_rows / 2 / sizes[1])).otherwise(F.lit(labelled_rows / 2 / sizes[0])))
     marked = base.join(F.broadcast(marks), "id")  # about labelled_rows ids
-    ids, _, ties = collected(marked.select((F.xxhash64("tie", F.lit(2)).bitwiseAND(F.lit(-2)) + F.col("toxic")).alias("tie"), "text"), True)
-    toxic = fit_logistic(ids, [np.ones(len(x)) for x in ids], (ties & 1).astype(float), 1 << WORD_BITS, 1e-4, 150, least_chi=CHI_SQUARE)
-    del ids
+    tables = Tables(docs.sparkSession)
+    features = marked.select((F.xxhash64("tie", F.lit(2)).bitwiseAND(F.lit(-2)) + F.col("toxic")).alias("tie"), "text").mapInArrow(functools.partial(_features, toxic=True), "tie long, ids array<int>, shares array<float>")
+    features = tables.keep(features.select(F.col("tie").bitwiseAND(F.lit(1)).cast("int").alias("bad"), "ids"), "labelled")
+    rows, _ = telling_features(features, CHI_SQUARE)
+    out = rows.toArrow()
+    ids = [x.values.to_numpy() for x in out.column("ids")]
+    toxic = fit_logistic(ids, None, out.column("bad").to_numpy(), 1 << WORD_BITS, 1e-4, 150, votes=out.column("votes").to_numpy())
+    del out, ids
     return_freed_memory()
     return model, Scorers(shape, toxic)
 
