@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import QUALIFICATION_TOKENS, RA_MEMBER_TOKENS, ROMAN_EXCLUDED, Money, Normalisation, Substitution
+from ..config import QUALIFICATION_TOKENS, RA_MEMBER_TOKENS, ROMAN, ROMAN_EXCLUDED, Money, Normalisation, Substitution
 
 SPACE = r"(?U)\s+"
 
@@ -69,7 +69,7 @@ def substituted(c: Column, rules: tuple[Substitution, ...], field: str) -> Colum
 
 def looks_roman(word: Column) -> Column:
     low = F.lower(word)
-    return (F.length(word) > 1) & low.rlike("^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$") & ~low.isin(*ROMAN_EXCLUDED)
+    return (F.length(word) > 1) & low.rlike(f"^{ROMAN}$") & ~low.isin(*ROMAN_EXCLUDED)
 
 
 def title_tokens(title: Column) -> Column:
@@ -98,9 +98,9 @@ def is_multi_name(first: Column, last: Column) -> Column:
 
 
 def qualification_in(first: Column, last: Column) -> Column:
-    """The first qualification token in the first name, else in the last name."""
+    """The first qualification token in the first name, else in the last name, in any case."""
     tokens = "|".join(sorted(QUALIFICATION_TOKENS, key=lambda t: (-len(t), t)))
-    found = lambda c: blank_to_null(F.regexp_extract(c, rf"\b({tokens})\b", 1))
+    found = lambda c: blank_to_null(F.regexp_extract(c, rf"(?i)\b({tokens})\b", 1))
     return F.coalesce(found(first), found(last))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..config import ROMAN_EXCLUDED, TITLE_CASE_EXCEPTIONS
+from ..config import ROMAN, ROMAN_EXCLUDED, TITLE_CASE_EXCEPTIONS
 
 
 def normalised(c: Column, form: str = "NFKC") -> Column:
@@ -43,7 +43,7 @@ def mac_roman(text: pd.Series) -> pd.Series:
 
 SMALL_WORDS = frozenset("a an and as at but by en for if in of on or the to v v. via vs vs.".split())
 _EXCEPTIONS = {x.upper(): x for x in TITLE_CASE_EXCEPTIONS}
-_ROMAN = re.compile(r"m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})", re.I)
+_ROMAN = re.compile(ROMAN, re.I)
 
 
 def title_case_text(text: str) -> str:

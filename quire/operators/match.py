@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.unicode import normalised
+from .ordering import numbered
 
 
 def with_fingerprint(works: DataFrame) -> DataFrame:
@@ -15,10 +16,6 @@ def with_fingerprint(works: DataFrame) -> DataFrame:
     return works.withColumns(texts).withColumn("print", T.fingerprint(*(F.col(c) for c in texts))).withColumn("number", T.blank_to_null(F.col("cat_no"))).drop(*texts)
 
 
-def _ranked(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")))
-
-
 def match_plan(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_ord, outcome, new_ord): where each old work's corrections go.
 
@@ -31,7 +28,9 @@ def match_plan(old: DataFrame, new: DataFrame) -> DataFrame:
     by_number = old.join(first.withColumnRenamed("new_number", "number"), "number").where(F.col("print") == F.col("new_print")).select("ord", "new_ord")
     taken = by_number.select("new_ord").distinct()
     free = new.join(taken, "new_ord", "left_anti").groupBy(F.col("new_print").alias("print")).agg(F.count("*").alias("n_free"), F.min("new_ord").alias("free_ord"))
-    pending = _ranked(old.join(by_number.select("ord"), "ord", "left_anti"), "print").join(free, "print", "left")
+    pending = old.join(by_number.select("ord"), "ord", "left_anti")
+    free = free.join(pending.groupBy("print").agg(F.min("ord").alias("first_ord")), "print")  # one row a content
+    pending = pending.join(free, "print", "left").withColumn("rank", F.when(F.col("ord") == F.col("first_ord"), 1).otherwise(2))
     n = F.coalesce("n_free", F.lit(0))
     claimed = pending.where((n == 1) & (F.col("rank") == 1)).select(F.col("free_ord").alias("new_ord"), F.col("ord").alias("by"))
     rest = pending.where(~((n == 1) & (F.col("rank") == 1)) & ~(n > 1))
@@ -60,8 +59,8 @@ def state_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     b = with_fingerprint(new).select("ord", "number", "print")
 
     def paired(x: DataFrame, y: DataFrame, key: str) -> DataFrame:
-        left = _ranked(x.where(F.col(key).isNotNull()), key).select(key, "rank", F.col("ord").alias("old_ord"))
-        right = _ranked(y.where(F.col(key).isNotNull()), key).select(key, "rank", F.col("ord").alias("new_ord"))
+        left = numbered(x.where(F.col(key).isNotNull()), [key]).select(key, "rank", F.col("ord").alias("old_ord"))
+        right = numbered(y.where(F.col(key).isNotNull()), [key]).select(key, "rank", F.col("ord").alias("new_ord"))
         return left.join(right, [key, "rank"]).select("old_ord", "new_ord")
 
     first = paired(a, b, "print")
@@ -69,26 +68,71 @@ def state_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     return first.union(second)
 
 
+def _moved(n: str) -> Column:
+    return ~F.col(f"o_{n}").eqNullSafe(F.col(f"n_{n}"))
+
+
+def _changes(old: DataFrame, new: DataFrame, names: list[str], changes: list[Column]) -> DataFrame:
+    """(old_ord, new_ord, field, cause): changes of paired works, and rows with field 'added' or 'removed'."""
+    pairs = state_pairs(old, new)
+    left = old.select(*(F.col(n).alias(f"o_{n}") for n in names))
+    right = new.select(*(F.col(n).alias(f"n_{n}") for n in names))
+    joined = pairs.join(left, F.col("old_ord") == F.col("o_ord"), "right").join(right, F.col("new_ord") == F.col("n_ord"), "full")
+    row = lambda field: F.struct(F.lit(field).alias("field"), F.lit(None).cast("string").alias("cause"))
+    found = F.when(F.col("n_ord").isNull(), F.array(row("removed"))).when(F.col("o_ord").isNull(), F.array(row("added"))).otherwise(F.filter(F.array(*changes), lambda x: x.isNotNull()))
+    return joined.select(F.col("o_ord").alias("old_ord"), F.col("n_ord").alias("new_ord"), F.explode(found).alias("c")).select("old_ord", "new_ord", "c.field", "c.cause")
+
+
+def _row(field: str, cause: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), cause.alias("cause"))
+
+
+_PLAIN = {"cat_no": ("cat_no", "source"), "gallery": ("section", "source"), "include_in_export": ("include_in_export", "override")}
+
+
 def state_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_ord, new_ord, field, cause) of changes, and rows with field 'added' or 'removed'.
 
     Both sides are normalised works.  A changed field comes from the source if its raw
     column moved, else from normalisation.
     """
-    pairs = state_pairs(old, new)
-    names = ["ord", "cat_no", "gallery", "include_in_export", *FIELDS, *FIELDS.values()]
-    left = old.select(*(F.col(n).alias(f"o_{n}") for n in names))
-    right = new.select(*(F.col(n).alias(f"n_{n}") for n in names))
-    joined = pairs.join(left, F.col("old_ord") == F.col("o_ord")).join(right, F.col("new_ord") == F.col("n_ord"))
-    moved = lambda n: ~F.col(f"o_{n}").eqNullSafe(F.col(f"n_{n}"))
-    row = lambda field, cause: F.struct(F.lit(field).alias("field"), cause.alias("cause"))
-    changes: list[Column] = [F.when(moved(f), row(f, F.when(moved(raw), "source").otherwise("normalisation"))) for f, raw in FIELDS.items()]
-    changes += [F.when(moved("cat_no"), row("cat_no", F.lit("source"))), F.when(moved("gallery"), row("section", F.lit("source"))), F.when(moved("include_in_export"), row("include_in_export", F.lit("override")))]
-    changed = joined.select("old_ord", "new_ord", F.explode(F.filter(F.array(*changes), lambda x: x.isNotNull())).alias("c")).select("old_ord", "new_ord", "c.field", "c.cause")
-    none = F.lit(None).cast("long")
-    removed = old.join(pairs, old["ord"] == pairs["old_ord"], "left_anti").select("ord", none, F.lit("removed"), F.lit(None).cast("string"))
-    added = new.join(pairs, new["ord"] == pairs["new_ord"], "left_anti").select(none, "ord", F.lit("added"), F.lit(None).cast("string"))
-    return changed.union(removed).union(added)
+    changes = [F.when(_moved(f), _row(f, F.when(_moved(raw), "source").otherwise("normalisation"))) for f, raw in FIELDS.items()]
+    changes += [F.when(_moved(c), _row(name, F.lit(cause))) for c, (name, cause) in _PLAIN.items()]
+    return _changes(old, new, ["ord", *_PLAIN, *FIELDS, *FIELDS.values()], changes)
+
+
+#: Effective fields with the raw, normalised and override columns behind them.
+EFFECTIVE = {
+    "title": ("raw_title", "title", ("title",)), "artist_name": ("raw_artist", "artist_name", ("artist_name",)), "artist_honorifics": ("raw_artist", "artist_honorifics", ("artist_honorifics",)),
+    "price_numeric": ("raw_price", "price_numeric", ("price_numeric", "price_text")), "price_text": ("raw_price", "price_text", ("price_text",)), "edition_total": ("raw_edition", "edition_total", ("edition_total",)), "medium": ("raw_medium", "medium", ("medium",)),
+}
+
+
+def effective_diff(old: DataFrame, old_overrides: DataFrame, new: DataFrame, new_overrides: DataFrame) -> DataFrame:
+    """As ``state_diff``, of works with their overrides applied; a field may have several causes, joined by "+".
+
+    An override that moved is a cause, and so is the source, or else normalisation.  Overrides
+    are by work_id.
+    """
+    from .works import effective_works
+
+    def side(works: DataFrame, overrides: DataFrame) -> DataFrame:
+        there = [c for c in overrides.columns if c.endswith("_override")]
+        applied = effective_works(works, overrides).select("work_id", *(F.col(f).alias(f"effective_{f}") for f in EFFECTIVE))
+        return works.join(overrides.select("work_id", *there), "work_id", "left").join(applied, "work_id")
+
+    old, new = side(old, old_overrides), side(new, new_overrides)
+    overridden = lambda fields: [f"{f}_override" for f in fields if f"{f}_override" in old.columns and f"{f}_override" in new.columns]
+    changes, names = [], ["ord", *_PLAIN]
+    for f, (raw, normal, by) in EFFECTIVE.items():
+        edited = F.lit(False)
+        for c in overridden(by):
+            edited = edited | _moved(c)
+        cause = F.concat_ws("+", F.when(edited, "override"), F.when(_moved(raw), "source").when(_moved(normal), "normalisation"))
+        changes.append(F.when(_moved(f"effective_{f}"), _row(f, F.when(cause == "", "unknown").otherwise(cause))))
+        names += [n for n in (f"effective_{f}", raw, normal, *overridden(by)) if n not in names]
+    changes += [F.when(_moved(c), _row(name, F.lit(cause))) for c, (name, cause) in _PLAIN.items()]
+    return _changes(old, new, names, changes)
 
 
 def cross_gallery_moves(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -105,7 +149,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, fields: tuple[str, ...])
 
     def keyed(rows: DataFrame, side: str) -> DataFrame:
         base = F.coalesce(T.blank_to_null(F.col("cat_no")), F.lit("__unnamed"))
-        ranked = rows.withColumn("base", base).withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("ord")))
+        ranked = numbered(rows.withColumn("base", base), ["base"], "k")
         key = F.when((F.col("k") == 1) & (F.col("base") != "__unnamed"), F.col("base")).otherwise(F.concat("base", F.lit("__"), F.col("k").cast("string")))
         return ranked.select(key.alias("key"), F.struct(*fields).alias(side))
 

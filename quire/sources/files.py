@@ -74,8 +74,13 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
             yield cells
 
 
-def read_workbooks(spark: SparkSession, path: str, skip_blank: bool = False) -> DataFrame:
-    """(path, row_number, cells): all rows below the header, cells by header name as a map."""
+def read_workbooks(spark: SparkSession, path: str, skip_blank: bool = False, expected: dict[str, bool] | None = None) -> DataFrame:
+    """(path, row_number, cells): all rows below the header, cells by header name as a map.
+
+    With ``expected`` headers (name: whether it is required), a file without a required one is
+    an error; ``header_report`` tells before.  ``skip_blank`` leaves out rows whose expected
+    cells (all cells where nothing is expected) are empty.
+    """
 
     def parse(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in files:
@@ -84,13 +89,35 @@ def read_workbooks(spark: SparkSession, path: str, skip_blank: bool = False) ->
                 for number, cells in enumerate(sheet_rows(bytes(content)), 1):
                     if head is None:
                         head = [(c or "").strip() for c in cells]
+                        if expected and (missing := header_problems(head, expected)[0]):
+                            raise ValueError(f"{name} lacks {', '.join(missing)}")
                         continue
                     own = {h: c for h, c in zip(head, cells + [None] * len(head)) if h}
-                    if not skip_blank or any(own.values()):
+                    if not skip_blank or any(v for h, v in own.items() if not expected or h in expected):
                         rows.append((name, number, own))
                 yield pd.DataFrame(rows, columns=["path", "row_number", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, row_number long, cells map<string,string>")
+    return _workbooks(spark, path).mapInPandas(parse, "path string, row_number long, cells map<string,string>")
+
+
+def _workbooks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def header_report(spark: SparkSession, path: str, expected: dict[str, bool]) -> DataFrame:
+    """(path, type, message): headers that files lack, ``missing_required`` or ``missing_column``, and ``empty_spreadsheet``."""
+
+    def report(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in files:
+            rows = []
+            for name, content in zip(part["path"], part["content"]):
+                sheet = sheet_rows(bytes(content))
+                missing, optional = header_problems([(c or "").strip() for c in next(sheet, [])], expected)
+                rows += [(name, "missing_required", m) for m in missing] + [(name, "missing_column", m) for m in optional]
+                rows += [] if next(sheet, None) is not None else [(name, "empty_spreadsheet", "")]
+            yield pd.DataFrame(rows, columns=["path", "type", "message"])
+
+    return _workbooks(spark, path).mapInPandas(report, "path string, type string, message string")
 
 
 def header_problems(headers: list[str], expected: dict[str, bool]) -> tuple[list[str], list[str]]:
