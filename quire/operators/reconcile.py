@@ -56,24 +56,30 @@ def reconcile(printed: DataFrame, data: DataFrame, layout: Layout = Layout(), po
     rows = both.join(F.broadcast(small), F.col("d.section") == F.col("_s"), "left")
     none = F.lit(None).cast("string")
 
-    def finding(kind: str, field: Column, old: Column, new: Column, section: Column, severity: Column | None = None) -> Column:
-        severity = F.lit(policy.severity.get(kind, "medium")) if severity is None else severity
-        return F.struct(F.lit(kind).alias("kind"), field.alias("field"), old.alias("db_value"), new.alias("low_value"), section.alias("section"), severity.alias("severity"), F.lit(policy.channel.get(kind, "review")).alias("fix_channel"))
+    def candidate(kind: str, field: Column, old: Column, new: Column, section: Column, plain: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), field.alias("field"), old.alias("db_value"), new.alias("low_value"), section.alias("section"), plain.alias("plain"))
 
+    text = lambda side, f: F.coalesce(F.col(side)[f], F.lit(""))
     matched, found = F.col("d").isNotNull() & F.col("p").isNotNull(), []
     for f in fields:
-        old, new = F.coalesce(F.col("d")[f], F.lit("")), F.coalesce(F.col("p")[f], F.lit(""))
-        plain = F.coalesce(F.col("d")[f"_{f}"], F.lit(""))
-        severity = F.when(folded(plain, policy) == folded(new, policy), "cosmetic").otherwise(policy.field_severity.get(f, policy.severity["field_change"]))
-        found.append(F.when(matched & (old != new), finding("field_change", F.lit(f), old, new, F.col("d.section"), severity)))
+        found.append(F.when(matched & (text("d", f) != text("p", f)), candidate("field_change", F.lit(f), text("d", f), text("p", f), F.col("d.section"), text("d", f"_{f}"))))
     moved = matched & F.col("aligned").isNotNull() & (F.col("p.section") != F.col("aligned"))
-    found.append(F.when(moved, finding("room_move", none, F.col("d.section"), F.col("p.section"), F.col("p.section"))))
-    title = lambda side: F.coalesce(F.col(f"{side}.title"), F.lit(""))
-    found.append(F.when(F.col("d").isNull(), finding("entry_added", none, none, title("p"), F.col("p.section"))))
-    found.append(F.when(F.col("p").isNull(), finding("entry_removed", none, title("d"), none, F.col("d.section"))))
+    found.append(F.when(moved, candidate("room_move", none, F.col("d.section"), F.col("p.section"), F.col("p.section"))))
+    found.append(F.when(F.col("d").isNull(), candidate("entry_added", none, none, text("p", "title"), F.col("p.section"))))
+    found.append(F.when(F.col("p").isNull(), candidate("entry_removed", none, text("d", "title"), none, F.col("d.section"))))
     out = rows.select("cat_no", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("cat_no", "f.*")
+    changed = F.when(folded(F.col("plain"), policy) == folded(F.col("low_value"), policy), "cosmetic")
+    for f, severity in policy.field_severity.items():
+        changed = changed.when(F.col("field") == f, severity)
+    ranks = F.when(F.col("kind") == "field_change", changed.otherwise(policy.severity["field_change"]))
+    channels = F.lit("review")
+    for kind, channel in policy.channel.items():
+        channels = F.when(F.col("kind") == kind, channel).otherwise(channels)
+        ranks = ranks.when(F.col("kind") == kind, policy.severity.get(kind, "medium")) if kind != "field_change" else ranks
+    out = out.withColumns({"severity": ranks.otherwise("medium"), "fix_channel": channels}).drop("plain")
     renamed = aligned.where(folded(normalised(F.col("section"), "NFC"), policy) != folded(F.col("aligned"), policy))
-    renamed = renamed.select(none.alias("cat_no"), finding("section_rename", none, F.col("section"), F.col("aligned"), F.col("aligned")).alias("f")).select("cat_no", "f.*")
+    kind = "section_rename"
+    renamed = renamed.select(F.lit(kind).alias("kind"), none.alias("cat_no"), none.alias("field"), F.col("section").alias("db_value"), F.col("aligned").alias("low_value"), F.col("aligned").alias("section"), F.lit(policy.severity.get(kind, "medium")).alias("severity"), F.lit(policy.channel.get(kind, "review")).alias("fix_channel"))
     return out.unionByName(renamed).select("kind", "cat_no", "field", "db_value", "low_value", "section", "severity", "fix_channel")
 
 
