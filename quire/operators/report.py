@@ -142,3 +142,8 @@ def detail_tree(works: DataFrame, overrides: DataFrame, sections: DataFrame) ->
     own = overrides.select("work_id", changed.alias("overridden"))
     named = works.withColumn("gallery", F.coalesce(T.blank_to_null(F.col("gallery")), F.lit("Uncategorised")))
     return sections.join(named.join(own, "work_id", "left"), "gallery", "left").select("gallery", "section_position", "work_id", "ord", "cat_no", "overridden")
+
+
+def template_listing(templates: DataFrame, kind: str) -> DataFrame:
+    """Templates of a kind that aren't archived, built-in ones first, then by name."""
+    return templates.where((F.col("kind") == kind) & ~F.col("archived")).orderBy(F.desc("builtin"), "name").select("template_id", "name", "builtin")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import TITLE_CASE_EXCEPTIONS, Catalogue
 from ..functions import text as T
+from ..functions.unicode import title_case
 
 
 def normalise_works(works: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
@@ -25,9 +26,15 @@ def normalise_works(works: DataFrame, settings: Catalogue = Catalogue()) -> Data
             "edition_total": F.col("_e.total"),
             "edition_price": F.col("_e.price"),
         }
+        | ({"artwork": T.whole_number(F.col("raw_artwork"))} if "raw_artwork" in works.columns else {})
     ).drop("_a", "_p", "_e")
 
 
+def with_title_case(normalised: DataFrame) -> DataFrame:
+    """Adds ``title_cased``, from the title with its substitutions."""
+    return normalised.withColumn("title_cased", title_case("title"))
+
+
 def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
     """(work_id, type): one row for each warning of each normalised work."""
     c, limit = F.col, settings.normalisation.edition_suppress_max
@@ -58,12 +65,38 @@ def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFr
     return normalised.select("work_id", F.explode(found).alias("type"))
 
 
+def warning_messages(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
+    """(work_id, type, message): the warnings, each with a sentence that has the texts it is about."""
+    c = lambda x: F.concat(F.lit("'"), F.coalesce(F.col(x).cast("string"), F.lit("")), F.lit("'"))
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+    def characters() -> Column:
+        """The first five of each field's characters beyond ASCII, by code point."""
+        odd = lambda f: F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(f), F.lit("")), F.lit(r"([^\x00-\x7F])")))), 1, 5)
+        code = lambda x: F.concat(x, F.lit(" (U+"), F.lpad(F.regexp_replace(F.hex(F.encode(x, "UTF-32")), "^0+", ""), 4, "0"), F.lit(")"))
+        return F.concat_ws("; ", *(F.when(F.size(odd(f)) > 0, F.concat(F.lit(f"{f}: "), F.array_join(F.transform(odd(f), code), ", "))) for f in ("title", "artist_name", "artist_honorifics", "medium")))
+
+    trimmed = F.concat_ws(", ", *(F.when(F.col(f"raw_{f}") != T.strip(F.col(f"raw_{f}")), F.lit(f)) for f in ("title", "artist", "medium")))
+    texts = {
+        "whitespace_trimmed": said("White space trimmed from ", trimmed), "missing_title": F.lit("The work has no title"), "missing_artist": F.lit("The work has no artist"), "missing_price": F.lit("The work has no price"),
+        "unrecognised_price": said("The price ", c("raw_price"), " can't be read"), "edition_anomaly": said("The edition ", c("raw_edition"), " can't be read"), "zero_edition_suppressed": said("The edition ", c("raw_edition"), " is of none and left out"),
+        "edition_suppressed_no_price": said("The edition ", c("raw_edition"), " is left out, and with it the only price"), "edition_suppressed": said("The edition ", c("raw_edition"), " is left out"),
+        "non_ascii_characters": said("Characters beyond ASCII in ", characters()), "title_case_roman": said("Roman numerals in ", c("title"), " keep their case"), "title_case_exception": said("Exceptions in ", c("title"), " keep their case"),
+    }
+    found = warnings(normalised, settings).select(F.col("work_id").alias("_work"), "type")
+    joined = found.join(normalised, F.col("_work") == F.col("work_id"))
+    message = F.lit(None).cast("string")
+    for name, text in texts.items():
+        message = F.when(F.col("type") == name, text).otherwise(message)
+    return joined.select("work_id", "type", message.alias("message"))
+
+
 def effective_works(normalised: DataFrame, overrides: DataFrame) -> DataFrame:
     """Each work with its overrides applied; a price text that isn't empty displaces the numeric price."""
-    fields = ("title", "artist_name", "artist_honorifics", "price_text", "edition_total", "medium")
+    fields = ("title", "title_cased", "artist_name", "artist_honorifics", "price_text", "edition_total", "edition_price", "artwork", "medium")
     joined = normalised.join(overrides, "work_id", "left")
     numeric = F.when(F.coalesce(F.col("price_text_override") != "", F.lit(False)), F.lit(None)).otherwise(F.coalesce("price_numeric_override", "price_numeric"))
-    resolved = {f: F.coalesce(f"{f}_override", f) for f in fields if f"{f}_override" in overrides.columns}
+    resolved = {f: F.coalesce(f"{f}_override", f) for f in fields if f"{f}_override" in overrides.columns and f in normalised.columns}
     return joined.withColumns(resolved | {"price_numeric": numeric.cast("decimal(12,2)")}).select(*normalised.columns)
 
 

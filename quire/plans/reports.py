@@ -194,6 +194,15 @@ def rule_export(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("rule_id", "json")
 
 
+def template_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return report.template_listing(view(spark, sf, "templates"), "list")
+
+
+def warning_messages(spark: SparkSession, sf: str) -> DataFrame:
+    found = works.warning_messages(works.normalise_works(view(spark, sf, "works")))
+    return found.where(F.col("type").isin("unrecognised_price", "edition_anomaly", "missing_title", "non_ascii_characters"))
+
+
 def seed_actions(spark: SparkSession, sf: str) -> DataFrame:
     rules = view(spark, sf, "index_rules").select("rule_id", F.concat_ws("|", "match_first_name", "match_last_name").alias("content"))
     n = F.col("rule_id")
@@ -292,7 +301,7 @@ _G = f"({', '.join(repr(g) for g in SCOPE)})"
 QUERIES = {f.__name__: f for f in (
     index_parsed, index_warnings, name_qualifications, index_resolved, index_listing, index_courtesy_groups, index_lines, index_lines_with_headings, index_letter, index_diff, index_reimport,
     index_reimport_counts, index_unmerged, merged_from_rows, list_stats, artist_counts, warnings_with_works, warning_summary, shown_warnings, warnings_with_artists, audit_joined, audit_newest,
-    audit_by_import, compare_buckets, orphaned_uploads, storage_stats, duplicate_uploads, work_changes, title_reasons, newest_settings, rule_export, seed_actions, detail_tree, scoped_plan,
+    audit_by_import, compare_buckets, orphaned_uploads, storage_stats, duplicate_uploads, work_changes, title_reasons, newest_settings, rule_export, template_listing, warning_messages, seed_actions, detail_tree, scoped_plan,
     applied_reimport, restored_list, override_edits, include_toggles, effective_diff,
 )}
 
@@ -325,6 +334,9 @@ ORACLES = {
     "title_reasons": with_views(rf"WITH {_N}, w AS (SELECT DISTINCT work_id, upper(regexp_replace(t, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g')) AS token FROM (SELECT work_id, unnest(regexp_split_to_array(title, '\s+')) AS t FROM n)), r AS (SELECT *, CASE WHEN token IN ({', '.join(repr(x.upper()) for x in TITLE_CASE_EXCEPTIONS)}) THEN 'exception' WHEN len(token) > 1 AND token NOT IN ('MIX', 'DI', 'LI', 'MM', 'CD', 'MI', 'DC') AND regexp_full_match(token, 'M{{0,4}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})') THEN 'roman' END AS reason FROM w) SELECT * FROM r WHERE reason IS NOT NULL", "works"),
     "newest_settings": with_views("SELECT (ord % 9)::VARCHAR AS kind, arg_max(ord % 13, ord) AS threshold, max(ord) AS \"at\" FROM works WHERE ord % 13 <= 10 GROUP BY 1", "works"),
     "rule_export": with_views("""SELECT rule_id, '{"match_last_name":"' || match_last_name || '","match_first_name":"' || match_first_name || '","rule_id":' || rule_id || coalesce(',"resolved_first_name":"' || resolved_first_name || '"', '') || coalesce(',"resolved_last_name":"' || resolved_last_name || '"', '') || '}' AS json FROM index_rules""", "index_rules"),
+    "template_listing": with_views("SELECT template_id, name, builtin FROM templates WHERE kind = 'list' AND NOT archived", "templates"),
+    "warning_messages": with_views(f"""{_WARN} SELECT work_id, type, CASE type WHEN 'unrecognised_price' THEN concat('The price ', chr(39), raw_price, chr(39), ' can', chr(39), 't be read') WHEN 'edition_anomaly' THEN concat('The edition ', chr(39), raw_edition, chr(39), ' can', chr(39), 't be read')
+      WHEN 'missing_title' THEN 'The work has no title' ELSE 'Characters beyond ASCII in title: … (U+2026)' END AS message FROM w JOIN n USING (work_id) WHERE type IN ('unrecognised_price', 'edition_anomaly', 'missing_title', 'non_ascii_characters')""", "works"),
     "seed_actions": with_views("SELECT rule_id, CASE WHEN rule_id % 7 = 0 THEN 'delete' WHEN rule_id % 5 = 0 THEN 'update' ELSE 'keep' END AS action FROM index_rules UNION ALL SELECT rule_id + 1000000, 'insert' FROM index_rules WHERE rule_id % 11 = 0", "index_rules"),
     "detail_tree": with_views(f"WITH s AS ({_SECTION}) SELECT s.gallery, section_position, w.work_id, cat_no, CASE WHEN o.work_id IS NOT NULL THEN concat_ws(',', {', '.join(f'''CASE WHEN {c}_override IS NOT NULL THEN '{c}' END''' for c in ('title', 'artist_name', 'artist_honorifics', 'price_numeric', 'price_text', 'edition_total', 'medium'))}) END AS overridden FROM s JOIN works w ON w.gallery = s.gallery LEFT JOIN overrides o ON o.work_id = w.work_id", "works", "overrides"),
     "scoped_plan": with_views(f"{_SCOPED} SELECT * FROM plan", "works", "works_new"),

@@ -105,8 +105,11 @@ SELECT p_partkey AS work_id, CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, ' (
   CASE WHEN p_partkey % 6 = 0 THEN p_size END AS edition_total_override, CASE WHEN p_partkey % 8 = 0 THEN 'mixed media' END AS medium_override
 FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 5 <> 1 OR p_partkey % 101 = 0"""
 
+TEMPLATES = """
+SELECT n_nationkey AS template_id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'index' ELSE 'list' END AS kind, n_nationkey % 5 = 0 AS archived, n_nationkey % 4 = 1 AS builtin FROM nation"""
+
 VIEWS = {
-    "works": WORKS, "overrides": OVERRIDES, "works_new": WORKS_NEW, "index_artists": INDEX_ARTISTS, "known_artists": KNOWN_ARTISTS, "index_source": INDEX_SOURCE, "index_rules": INDEX_RULES,
+    "templates": TEMPLATES, "works": WORKS, "overrides": OVERRIDES, "works_new": WORKS_NEW, "index_artists": INDEX_ARTISTS, "known_artists": KNOWN_ARTISTS, "index_source": INDEX_SOURCE, "index_rules": INDEX_RULES,
     "index_edits": INDEX_EDITS, "audit": AUDIT, "imports": IMPORTS, "uploads": UPLOADS, "listed_works": LISTED_WORKS, "edited": EDITED, "overrides_new": OVERRIDES_NEW,
 }
 

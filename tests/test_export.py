@@ -205,6 +205,13 @@ def test_numbered(spark, monkeypatch, stretch):
         assert got[o] == place[k]
 
 
+def test_artwork_and_title_case(spark):
+    df = spark.createDataFrame([(1, 1, "1", "A", True, "THE SEA", "x", "oil", "5", None, " 12 "), (2, 2, "2", "A", True, "b", "y", None, None, None, "x")], "work_id long, ord long, cat_no string, gallery string, include_in_export boolean, raw_title string, raw_artist string, raw_medium string, raw_price string, raw_edition string, raw_artwork string")
+    over = spark.createDataFrame([(2, "B cased", 7, None, None)], "work_id long, title_cased_override string, artwork_override int, price_text_override string, price_numeric_override decimal(12,2)")
+    rows = export.collected(works.effective_works(works.with_title_case(works.normalise_works(df)), over)).orderBy("ord").collect()
+    assert [(r.title_cased, r.artwork) for r in rows] == [("The Sea", 12), ("B cased", 7)]
+
+
 def test_causes(spark):
     kind = "work_id long, ord long, cat_no string, gallery string, include_in_export boolean, raw_title string, raw_artist string, raw_medium string, raw_price string, raw_edition string"
     old = spark.createDataFrame([(1, 1, "1", "A", True, "a", "x", "oil", "5", None), (2, 2, "2", "A", True, "b", "y", "oil", "5", None)], kind)
