@@ -186,7 +186,7 @@ def snippets(texts: DataFrame, width: int) -> DataFrame:
 def doubled(width: int) -> list[int]:
     """Lengths of growing ranks, each at most twice the one before, up to what all windows of a part share."""
     shared = width - PART + 1
-    return [max(1, -(-shared // k)) for k in (8, 4, 2, 1)]
+    return [max(1, -(-shared // k)) for k in (4, 2, 1)]
 
 
 def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -217,15 +217,15 @@ def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             outer = mix(span_hash(sums, at + first, at + last + width) ^ ((place[row] - first).astype(U) * _SALT))
             beside = [batch.column(k).slice(a, b - a).take(pa.array(row)) for k in (0, 1, 2, 3)]
             own = pa.array((start[row] + first) << 24 | (last - first) << 12 | place[row] - first)
-            yield pa.RecordBatch.from_arrays([*beside[:3], own, *ranks, pa.array(outer.view(np.int64)), beside[3]], ["rid", "id", "block_span", "span", "rank1", "rank2", "seed", "block", "n"])
+            yield pa.RecordBatch.from_arrays([*beside[:3], own, *ranks, pa.array(outer.view(np.int64)), beside[3]], ["rid", "id", "block_span", "span", "rank", "seed", "block", "n"])
 
 
 def parts_of(found: DataFrame, width: int) -> DataFrame:
-    """Parts of blocks from ``snippets``: (rid, id, block_span, span, rank1, rank2, seed, block, n).
+    """Parts of blocks from ``snippets``: (rid, id, block_span, span, rank, seed, block, n).
 
-    rank1, rank2 and seed are ranks of growing length, block that of all units of the part.
+    rank and seed are ranks of growing length, block that of all units of the part.
     """
-    return found.mapInArrow(functools.partial(_parts, width=width), "rid long, id long, block_span long, span long, rank1 long, rank2 long, seed long, block long, n int")
+    return found.mapInArrow(functools.partial(_parts, width=width), "rid long, id long, block_span long, span long, rank long, seed long, block long, n int")
 
 
 def repeated(found: DataFrame, rank: str = "seed") -> DataFrame:

@@ -10,8 +10,8 @@ Positions whose rank is unique drop out of each round.
 2. Positions around a sampled one that is left are packed in a run, which is ranked by all
    bytes that its strings span: equal runs repeat as a whole.
 3. Where one first rank has several such runs, positions are packed by eight.  Their ranks
-   double: h grows from an eighth to a quarter, a half and all of the ``width`` - 7 bytes that
-   eight strings share, each the rank of a pair of ranks of half the length.
+   double: h grows from a quarter to a half and all of the ``width`` - 7 bytes that eight
+   strings share, each the rank of a pair of ranks of half the length.
 4. Groups of eight that are left are ranked by all bytes they span, and single positions
    in those that differ by the pair of ranks of half the ``width``.
 
@@ -43,25 +43,26 @@ def duplicate_spans(docs: DataFrame, tables: Tables, id_col: str, text_col: str,
     base = base.select(F.xxhash64("id", "text").alias("rid"), "id", "text")
     found = tables.keep(anchors(base, byte_units, width, min(SEED_BYTES, width)), "anchors")
     span = [F.col("id").alias("own"), span_start(F.col("span")).alias("start"), span_end(F.col("span"), width).alias("end")]
-    whole = [found.where("n = 0").select("rid", *span)]
+    whole = [tables.keep(found.where("n = 0").select("rid", *span), "inside")]
 
     def runs(rows: DataFrame, name: str) -> DataFrame:
         """Sorts runs with a repeated seed out by all they span; returns those to take apart, one of each kind, with weight 2 if it repeats."""
         shared = tables.keep(repeated(rows), f"{name}-shared")
         index = tables.keep(shared.groupBy("seed", "block").agg(F.sum("n").alias("total"), F.min(F.struct("rid", "id")).alias("first")), f"{name}-index")
         placed = tables.keep(shared.join(index, ["seed", "block"]), f"{name}-placed")
-        tables.drop(shared, index)
-        whole.append(placed.where("total > 1").select("rid", *span))
+        tables.drop(rows, shared, index)
+        whole.append(tables.keep(placed.where("total > 1").select("rid", *span), f"{name}-whole"))
         first = placed.where(F.struct("rid", "id").eqNullSafe(F.col("first")))
         unclear = first.select("seed", "block").distinct().groupBy("seed").agg(F.count("*").alias("blocks")).where("blocks > 1")
-        return first.join(unclear.select("seed"), "seed", "left_semi").withColumn("weight", F.least("total", F.lit(2)).cast("int"))
+        apart = first.join(unclear.select("seed"), "seed", "left_semi").withColumn("weight", F.least("total", F.lit(2)).cast("int"))
+        apart = tables.keep(apart.drop("seed", "block", "n", "total", "first").distinct(), f"{name}-open")
+        tables.drop(placed)
+        return apart
 
-    blocks = runs(found, "runs").select("rid", "id", "span", "weight").distinct()
+    blocks = runs(found, "runs")
     pieces = tables.keep(snippets(with_spans(base, blocks), width), "pieces")
-    packed = parts_of(pieces, width)
-    for rank in ("rank1", "rank2"):  # the third rank, of all that eight strings share, is the seed
-        packed = tables.keep(repeated(packed, rank).drop(rank), rank)
-    parts = runs(packed, "packed").select("rid", "id", "block_span", "span", "weight").distinct()
+    packed = tables.keep(repeated(parts_of(pieces, width), "rank").drop("rank"), "half")
+    parts = runs(packed, "packed")  # by the rank of all that eight strings share
     listed = parts.groupBy("rid", F.col("id").alias("own"), F.col("block_span").alias("s")).agg(F.collect_list(F.struct("span", F.col("weight").cast("long").alias("weight"))).alias("spans"))
     texts = pieces.select("rid", "id", F.col("span").alias("s"), "text").join(listed.withColumnRenamed("rid", "key").withColumnRenamed("s", "t"), (F.col("rid") == F.col("key")) & (F.col("s") == F.col("t")) & F.col("id").eqNullSafe(F.col("own")))
     texts = texts.select("rid", "id", "text", span_start(F.col("s")).alias("from"), "spans")
