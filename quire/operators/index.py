@@ -62,6 +62,5 @@ def letter_groups(artists: DataFrame) -> DataFrame:
 
 def linked_entries(artists: DataFrame) -> DataFrame:
     """Artists whose name stands more than once."""
-    name = F.lower(F.concat_ws(" ", "last_name", "first_name"))
-    n = F.count("*").over(Window.partitionBy("name"))
-    return artists.select("artist_id", name.alias("name")).withColumn("n", n).where("n > 1")
+    named = artists.select("artist_id", F.lower(F.concat_ws(" ", "last_name", "first_name")).alias("name"))
+    return named.join(named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "name").select("artist_id", "name", "n")

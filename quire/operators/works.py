@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import TITLE_CASE_EXCEPTIONS, Catalogue
 from ..functions import text as T
 from ..functions.unicode import title_case
+from .ordering import numbered
 
 
 def normalise_works(works: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
@@ -114,12 +115,12 @@ def export_rows(works: DataFrame, settings: Catalogue = Catalogue()) -> DataFram
 def section_positions(works: DataFrame) -> DataFrame:
     """(work_id, gallery, section_position, position): sections in the order they are first seen.
 
-    A section's works are numbered in one sort for each section; sections themselves, one
-    row each, are numbered in a small window.
+    Works are numbered in stretches of a section, sections themselves, one row each, in a
+    small window.
     """
     named = works.select("work_id", "ord", F.coalesce(T.blank_to_null(F.col("gallery")), F.lit("Uncategorised")).alias("gallery"))
     order = named.groupBy("gallery").agg(F.min("ord").alias("first")).select("gallery", F.row_number().over(Window.orderBy("first")).alias("section_position"))
-    return named.join(order, "gallery").select("work_id", "gallery", "section_position", F.row_number().over(Window.partitionBy("gallery").orderBy("ord")).alias("position"))
+    return numbered(named, ["gallery"], "position").join(order, "gallery").select("work_id", "gallery", "section_position", F.col("position").cast("int").alias("position"))
 
 
 def gallery_summary(works: DataFrame) -> DataFrame:

@@ -11,8 +11,7 @@ from quire.config import Catalogue, Normalisation
 from quire.functions import text as T
 from quire.functions.unicode import sort_key, title_case_text
 from quire.operators import compare, index, match, works
-from quire.plans.oracles import ORACLES
-from quire.plans.queries import QUERIES
+from quire.plans.queries import ORACLES, QUERIES
 from quire.sources.views import with_views
 
 SF = "/root/testdata/sf0.001"
@@ -173,7 +172,7 @@ def test_match_of_unicode_variants(spark):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("part", "supplier", "events", "documents"):
+    for t in ("part", "supplier", "customer", "nation", "events", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
