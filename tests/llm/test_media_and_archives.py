@@ -9,7 +9,7 @@ import zstandard
 
 from quire.llm.html_text import extract_articles, main_text
 from quire.llm.transport_stream import PACKET, UNIT, media_features, parse_stream, text_to_media, write_stream
-from quire.llm.warc import DICTIONARY_MAGIC, archive_round_trip, pack, parse_record, read_archives, record, unpack, write_archives
+from quire.llm.warc import ARCHIVE_BYTES, DICTIONARY_MAGIC, archive_round_trip, pack, parse_record, read_archives, record, unpack, write_archives
 
 
 @pytest.mark.parametrize("size", [0, 1, 100, 156, 157, 158, 159, 160, 161, 162, 163, 164, 165, 166, 167, 168, 169, 170, 171, 172, 182, 183, 184, 185, 192, UNIT, UNIT + 192, UNIT * 20 + 5])
@@ -85,6 +85,14 @@ def test_archives(spark, tmp_path):
     assert archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_payload_above_an_archive(spark):
+    """A page that is larger than an archive's size gets one of its own."""
+    big = "abcdefghij" * (ARCHIVE_BYTES // 10 + 1)
+    df = spark.createDataFrame([(1, "u", "small"), (2, "u", big), (3, "u", "also small")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in archive_round_trip(df.coalesce(1)).collect()}
+    assert got == {i: (len(t), hashlib.sha1(t.encode()).hexdigest()) for i, t in ((1, "small"), (2, big), (3, "also small"))}
+
+
 PAGES = [
     ("<html><body><nav><a>Home</a></nav><article><h1>Title</h1><p>One &amp; two<p>three <b>bold</b>\n  x</p></article><footer>end</footer></body></html>", "Title\nOne & two\nthree bold x"),
     ('<body class="has-sidebar"><div class="sidebar">s</div><main><p>a<br>b</p><div class="ad">buy</div><form><p>name</p></form><ul><li>i1<li>i2</ul><div id="comments"><p>first!</p></div></main>', "a b\ni1\ni2"),
