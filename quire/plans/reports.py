@@ -281,11 +281,20 @@ _RESOLVED = f"""WITH {_PARSED}, k AS (SELECT * FROM index_rules QUALIFY row_numb
 r AS (SELECT p.*, CASE WHEN x.rule_id IS NOT NULL THEN x ELSE w END AS k, o.* EXCLUDE (row_number) FROM parsed p LEFT JOIN k x ON x.match_quals <> '' AND x.match_first_name = coalesce(first_name, '') AND x.match_last_name = coalesce(last_name, '') AND x.match_quals = coalesce(quals, '')
   LEFT JOIN k w ON w.match_quals = '' AND w.match_first_name = coalesce(first_name, '') AND w.match_last_name = coalesce(last_name, '') LEFT JOIN index_edits o ON o.row_number = p.row_number),
 q AS (SELECT row_number, title, {_LAYER("first_name")} WHEN k.resolved_first_name IS NOT NULL THEN nullif(k.resolved_first_name, '') ELSE first_name END AS first_name, coalesce(k.resolved_last_name, last_name) AS last_name, {_LAYER("quals")} ELSE quals END AS quals,
-  coalesce(is_company_override, k.resolved_is_company, is_company) AS is_company, company AS c0, company_override, raw_company, artist2_first_name AS a2f, coalesce(k.resolved_artist2_last_name, artist2_last_name) AS a2l, artist2_quals AS a2q, coalesce(artist2_shared_surname_override, false) AS shared, include_in_export, courtesy, cat_nos FROM r),
+  coalesce(is_company_override, k.resolved_is_company, is_company) AS is_company, company AS c0, company_override, raw_company, artist2_first_name AS a2f, coalesce(k.resolved_artist2_last_name, artist2_last_name) AS a2l, artist2_quals AS a2q, coalesce(artist2_shared_surname_override, false) AS shared, include_in_export, courtesy, cat_nos, is_ra_member, artist2_ra_styled FROM r),
 z AS (SELECT * EXCLUDE (a2f, a2l, a2q), CASE WHEN NOT is_company THEN a2f END AS a2f, CASE WHEN NOT is_company THEN a2l END AS a2l, CASE WHEN NOT is_company THEN a2q END AS a2q, CASE WHEN is_company AND company_override IS NULL AND coalesce(trim(raw_company), '') = '' THEN last_name ELSE coalesce(company_override, c0) END AS company FROM q),
 resolved AS (SELECT *, CASE WHEN coalesce(last_name, first_name) IS NULL THEN '' ELSE concat_ws(' ', concat_ws(', ', coalesce(last_name, first_name), CASE WHEN NOT is_company AND last_name IS NOT NULL AND first_name IS NOT NULL THEN concat_ws(' ', title, first_name) END), quals)
   || coalesce(CASE WHEN shared THEN ' and ' ELSE ', and ' END || nullif(concat_ws(' ', a2f, CASE WHEN NOT shared THEN a2l END), '') || coalesce(' ' || a2q, ''), '') END AS index_name FROM z)"""
 _IV = ("index_source", "index_rules", "index_edits")
+_ES = lambda c: rf"replace(replace(replace({c}, '\', '\\'), '<', '\<'), '>', '\>')"
+_STYLE = lambda style, c: f"'<cstyle:{style}>' || {c} || '<cstyle:>'"
+_RANKED = lambda member, c: f"' ' || CASE WHEN {member} THEN {_STYLE('RA Caps', f'lower({_ES(c)})')} ELSE {_STYLE('Small caps', f'lower({_ES(c)})')} END"
+_INDEX_LINES = rf"""{_RESOLVED}, e AS (SELECT *, coalesce({_ES("last_name")}, {_ES("first_name")}, {_ES("company")}, '') AS sur, strip_accents(lower(CASE WHEN last_name IS NULL THEN coalesce(first_name, '') ELSE trim(last_name || ' ' || coalesce(first_name, '')) END)) AS sk
+  FROM resolved WHERE include_in_export AND len({_NUMBERS}) > 0),
+g AS (SELECT *, CASE WHEN sk = '' THEN '?' WHEN regexp_matches(sk, '^[0-9]') THEN '#' ELSE upper(left(sk, 1)) END AS letter, CASE WHEN a2f IS NOT NULL OR a2l IS NOT NULL THEN 'and ' || CASE WHEN shared THEN coalesce({_ES("a2f")}, '') ELSE coalesce({_ES("a2f")} || ' ', '') || coalesce(CASE WHEN artist2_ra_styled THEN {_STYLE("RA Member Cap Surname", _ES("a2l"))} ELSE {_ES("a2l")} END, '') END
+  || coalesce({_RANKED("artist2_ra_styled", "a2q")}, '') || ', ' ELSE '' END AS second FROM e),
+li AS (SELECT letter, sk, '<pstyle:Index Text>' || CASE WHEN is_ra_member THEN {_STYLE("RA Member Cap Surname", "sur")} ELSE sur END || CASE WHEN last_name IS NOT NULL AND first_name IS NOT NULL THEN ', ' || concat_ws(' ', {_ES("title")}, {_ES("first_name")}) ELSE '' END || coalesce({_RANKED("is_ra_member", "quals")}, '')
+  || CASE WHEN second <> '' AND shared THEN ' ' ELSE ', ' END || second || coalesce(coalesce({_ES("courtesy")}, CASE WHEN NOT is_company THEN {_ES("company")} END) || ', ', '') || array_to_string(list_transform(list_sort({_NUMBERS}), lambda n: {_STYLE("Index works numbers", "n::VARCHAR")}), ', ') AS line FROM g)"""
 _AGAIN = f"""WITH {_PARSED}, o AS (SELECT row_number, strip_accents(lower(CASE WHEN last_name IS NULL THEN coalesce(first_name, '') ELSE trim(last_name || ' ' || coalesce(first_name, '')) END)) AS s, coalesce(courtesy, '') AS c, include_in_export FROM parsed),
 n AS (SELECT row_number, CASE WHEN row_number % 29 = 0 THEN s || 'x' ELSE s END AS s, c FROM o WHERE row_number % 19 <> 0 UNION ALL SELECT row_number + 1000000, s, c FROM o WHERE row_number % 31 = 0),
 k AS (SELECT s || '|' || c AS key, arg_max(include_in_export, row_number) AS inc, max(row_number) AS old_row FROM o GROUP BY 1), f AS (SELECT s || '|' || c AS key, min(row_number) AS first FROM n GROUP BY 1),
@@ -313,6 +322,7 @@ ORACLES = {
     "index_resolved": with_views(f"{_RESOLVED} SELECT row_number, first_name, last_name, quals, company, is_company, a2l AS artist2_last_name, index_name FROM resolved", *_IV),
     "index_courtesy_groups": with_views(f"SELECT row_number, courtesy, array_to_string(list_sort({_NUMBERS}), ',') AS numbers FROM index_source WHERE len({_NUMBERS}) > 0", "index_source"),
     "index_letter": with_views(f"{_RESOLVED} SELECT row_number, index_name FROM resolved WHERE include_in_export AND len({_NUMBERS}) > 0 AND upper(left(strip_accents(lower(coalesce(last_name, first_name))), 1)) = 'B'", *_IV),
+    "index_lines": with_views(f"{_INDEX_LINES} SELECT letter, 1::BIGINT AS place, line FROM li UNION ALL SELECT letter, -1::BIGINT, '' FROM (SELECT letter, min(sk) AS m FROM li GROUP BY letter) WHERE (m, letter) <> (SELECT min((sk, letter)) FROM li)", *_IV),
     "index_reimport": with_views(f"{_AGAIN} SELECT row_number, CASE WHEN m THEN 'matched' ELSE 'added' END AS outcome, CASE WHEN m THEN inc ELSE true END AS include_in_export, CASE WHEN m THEN old_row END AS old_row FROM plan", "index_source"),
     "index_reimport_counts": with_views(f"{_AGAIN} SELECT count(*) FILTER (m) AS matched, count(*) FILTER (NOT m) AS added, (SELECT count(*) FROM k WHERE key NOT IN (SELECT key FROM plan WHERE m)) AS removed, count(*) FILTER (m AND old_row IN (SELECT row_number FROM index_edits)) AS overrides_preserved FROM plan", "index_source", "index_edits"),
     "index_unmerged": with_views(f"WITH {_MERGED}, p AS (SELECT row_number, coalesce(source_row, row_number) AS source_row, array_to_string(list(cat_no ORDER BY cat_no), ',') AS numbers FROM m GROUP BY 1, 2) SELECT row_number, source_row, numbers, source_row = arg_min(source_row, (source_row <> row_number, source_row)) OVER (PARTITION BY row_number) AS keeps FROM p QUALIFY count(*) OVER (PARTITION BY row_number) > 1", "index_source"),
