@@ -37,7 +37,7 @@ WORDS_BYTES = 1 << 19
 #: Positions whose pieces are looked up at once.
 LOOKUP = 1 << 16
 #: Edges of the lattices that a worker keeps, of 24 bytes each.
-STORE_EDGES = 3_000_000
+STORE_EDGES = 1_500_000
 #: Slots of the hash table of pieces.
 SLOTS = 1 << 20
 #: Length, in log-probability, that an unknown byte is behind the rarest piece.
