@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_pairs import encode_texts
 from .epsilon_grid import link_embeddings
 from .filter_audit import audit_filters
 from .html_text import extract_articles
@@ -67,4 +68,8 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op2_sentencepiece_sampling, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup, op11_filter_audit)}
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op2_sentencepiece_sampling, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup, op11_filter_audit, op12_byte_pairs)}
