@@ -128,4 +128,34 @@ WITH d AS (
 SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM y
 """
 
-ORACLES = {"op11_filter_audit": OP11, "op7_html_text": OP7, "op1_epsilon_grid": OP1, "op9_warc_dictionary": OP9, "op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}
+OP13 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), s AS (SELECT conv_id, turn, role, md5(length(role)::VARCHAR || ':' || role || text) || lpad(format('{:x}', length(text)), 8, '0') AS y FROM t
+), own AS (SELECT conv_id, list(y ORDER BY turn NULLS FIRST, role, y) AS ys FROM s GROUP BY conv_id
+), h AS (
+  SELECT conv_id, ys, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+           lambda c: list_prepend(ascii(c)::BIGINT, list_transform(range(0, 8), lambda i: -1::BIGINT))))),
+         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 6 AS h
+  FROM own
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(g.ys, []::VARCHAR[])[1:h], h.ys[h + 1:]) AS ys FROM h LEFT JOIN own g ON g.conv_id = h.conv_id - h.conv_id % 100
+), p AS (SELECT conv_id, len(ys) AS n, array_to_string(ys, '') AS k, unnest(range(0, len(ys) + 1)) AS d FROM r
+), n AS (
+  SELECT substr(k, 1, 40 * d) AS k, d, count(*) AS n_convs, min(conv_id) AS conv_id,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM p GROUP BY ALL
+), c AS (SELECT substr(k, 1, 40 * (d - 1)) AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL
+), x AS (
+  SELECT n.k, n.d, coalesce(c.n, 0) AS n_children, (n_convs - 1) * CASE WHEN d > 0 THEN ('0x' || right(n.k, 8))::BIGINT ELSE 0 END AS saved
+  FROM n LEFT JOIN c ON c.k = n.k
+), u AS (
+  SELECT substr(k, 1, 40 * a) AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM x) GROUP BY ALL
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, x.n_children::BIGINT AS n_children,
+       u.n_leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN x ON x.k = n.k JOIN u ON u.k = n.k LEFT JOIN n q ON n.d > 0 AND q.k = substr(n.k, 1, 40 * (n.d - 1))
+"""
+
+ORACLES = {"op13_prefix_trie": OP13, "op11_filter_audit": OP11, "op7_html_text": OP7, "op1_epsilon_grid": OP1, "op9_warc_dictionary": OP9, "op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}

@@ -10,6 +10,7 @@ from .filter_audit import audit_filters
 from .html_text import extract_articles
 from .minhash_dedup import near_duplicates
 from .mixing import mix_sources
+from .prefix_trie import conversation_trie
 from .substring_dedup import remove_repeated_passages
 from .quality import classify
 from .segmentation import sample_segmentations
@@ -72,4 +73,8 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op2_sentencepiece_sampling, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup, op11_filter_audit, op12_byte_pairs)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op2_sentencepiece_sampling, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup, op11_filter_audit, op12_byte_pairs, op13_prefix_trie)}
