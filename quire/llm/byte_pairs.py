@@ -20,6 +20,7 @@ import functools
 import hashlib
 from collections.abc import Iterator
 from itertools import chain, islice
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import bound_batches
 
 #: Matches that a stretch has, that a worker keeps, and characters of the longest one it keeps.
-STRETCH, STORE, STORED_LENGTH = 65_536, 500_000, 64
+STRETCH, STORE, STORED_LENGTH = 65_536, 1_000_000, 64
 _NONE = 1 << 62
 
 
@@ -93,7 +94,7 @@ class Splitter:
     def matches(self, text: str, data: np.ndarray) -> Iterator[str]:
         """Matches of a text whose UTF-8 bytes are ``data``; both patterns find the same where no character is in doubt."""
         pattern = self.plain if not len(data) or data.max() < self.lead else self.exact
-        return (m[0] for m in pattern.finditer(text))
+        return map(itemgetter(0), pattern.finditer(text))
 
 
 _splitter = functools.lru_cache(2)(Splitter)
@@ -108,11 +109,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     bits = n.bit_length()
     low, size = (1 << bits) - 1, 1 << (n - 2).bit_length()
-    tree = [_NONE] * (2 * size)
-    for i in range(n - 1):
-        rank = find(piece[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank << bits | i
+    tree = [0] * size + [_NONE if (rank := find(piece[i : i + 2])) is None else rank << bits | i for i in range(n - 1)] + [_NONE] * (size - n + 1)
     for node in range(size - 1, 0, -1):
         a, b = tree[2 * node], tree[2 * node + 1]
         tree[node] = a if a < b else b
@@ -124,28 +121,30 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         gone = after[here]
         after[here] = end = after[gone]
         before[end] = here
-        leaves = [(gone, _NONE), (here, _NONE)]
-        if end < n:
+        changed = [(size + here) >> 1]
+        if end < n:  # else the gone part starts no pair
             rank = find(piece[here : after[end]])
-            if rank is not None:
-                leaves[1] = here, rank << bits | here
+            tree[size + here] = _NONE if rank is None else rank << bits | here
+            tree[size + gone] = _NONE
+            if (size + gone) >> 1 != changed[0]:
+                changed.append((size + gone) >> 1)
+        else:
+            tree[size + here] = _NONE
         if here:
             left = before[here]
             rank = find(piece[left:end])
-            leaves.append((left, _NONE if rank is None else rank << bits | left))
-        for node, value in leaves:
-            node += size
-            if node >= 2 * size:  # the last byte starts no pair
-                continue
-            tree[node] = value
-            while node > 1:
-                other = tree[node ^ 1]
-                if other < value:
-                    value = other
-                node >>= 1
-                if tree[node] == value:
+            tree[size + left] = _NONE if rank is None else rank << bits | left
+            if (size + left) >> 1 != changed[0]:
+                changed.append((size + left) >> 1)
+        for node in changed:
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                if b < a:
+                    a = b
+                if tree[node] == a:
                     break
-                tree[node] = value
+                tree[node] = a
+                node >>= 1
     out, at = [], 0
     while at < n:
         out.append(ids[at] if at in ids else ranks[piece[at : at + 1]])
