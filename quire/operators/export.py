@@ -36,7 +36,7 @@ def collected(effective: DataFrame, sections: DataFrame | None = None) -> DataFr
     c, empty = F.col, F.lit(None)
     amount = lambda x: F.when(c(x) != 0, F.floor(c(x)).cast("long"))
     own = [c("section"), c("ord"), T.blank_to_null(c("cat_no")).alias("number"), F.coalesce("artist_name", F.lit("")).alias("artist"), T.blank_to_null(c("artist_honorifics")).alias("honorifics")]
-    own += [F.coalesce("title", F.lit("")).alias("title"), (c("title_cased") if "title_cased" in effective.columns else empty.cast("string")).alias("title_cased"), amount("price_numeric").alias("price_numeric")]
+    own += [F.coalesce("title", F.lit("")).alias("title"), F.coalesce(c("title_cased") if "title_cased" in effective.columns else empty.cast("string"), F.lit("")).alias("title_cased"), amount("price_numeric").alias("price_numeric")]
     own += [F.coalesce("price_text", F.lit("")).alias("price_text"), c("edition_total"), amount("edition_price").alias("edition_price_numeric")]
     own += [(c("artwork") if "artwork" in effective.columns else empty.cast("int")).alias("artwork"), T.blank_to_null(c("medium")).alias("medium")]
     return sections.join(named.where("include_in_export").select(*own), "section", "left")

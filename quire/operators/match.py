@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.unicode import normalised
 from .ordering import numbered
 
 
+@F.pandas_udf(StructType([StructField(name, StringType()) for name in "abc"]))
+def _compatible(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+    form = lambda t: unicodedata.normalize("NFKC", t)
+    return pd.DataFrame({name: x.map(form, na_action="ignore") for name, x in (("a", a), ("b", b), ("c", c))})
+
+
 def with_fingerprint(works: DataFrame) -> DataFrame:
-    """Adds the fingerprint of the three texts in NFKC, and the number."""
-    texts = {f"_{c}": normalised(F.col(c)) for c in ("raw_title", "raw_artist", "raw_medium")}
-    return works.withColumns(texts).withColumn("print", T.fingerprint(*(F.col(c) for c in texts))).withColumn("number", T.blank_to_null(F.col("cat_no"))).drop(*texts)
+    """Adds ``print``, the digest of the fingerprint of the three texts in NFKC, and ``number``.
+
+    Only texts with characters beyond ASCII have another form, so the others go to Python as nulls.
+    """
+    texts = [F.col(c) for c in ("raw_title", "raw_artist", "raw_medium")]
+    forms = works.withColumn("_forms", _compatible(*(F.when(t.rlike(r"[^\x00-\x7F]"), t) for t in texts)))
+    folded = T.fingerprint(*(F.coalesce(F.col(f"_forms.{k}"), t) for k, t in zip("abc", texts)))
+    digest = F.md5(F.concat(*(F.md5(folded[k]) for k in ("title", "artist", "medium"))))
+    return forms.withColumn("print", digest).withColumn("number", T.blank_to_null(F.col("cat_no"))).drop("_forms")
+
+
+def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(old, ord, key, print) of both lists; a row without a number has a key of its own, so such rows spread."""
+    side = lambda rows, is_old: with_fingerprint(rows).select(F.lit(is_old).alias("old"), F.col("ord").cast("long").alias("ord"), F.coalesce(F.concat(F.lit("n"), F.col("number")), F.concat(F.lit("o" if is_old else "w"), F.col("ord").cast("string"))).alias("key"), "print")
+    return side(old, True).union(side(new, False))
 
 
 def match_plan(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -21,51 +42,49 @@ def match_plan(old: DataFrame, new: DataFrame) -> DataFrame:
 
     A number and content that both agree match first; then content alone, where exactly one
     free new row has it.  The rest is ambiguous or unmatched.
+
+    Both lists are read once and shuffled by number; what else is needed are aggregates by
+    content that are joined back.
     """
-    old = with_fingerprint(old).select("ord", "number", "print")
-    new = with_fingerprint(new).select(F.col("ord").alias("new_ord"), F.col("number").alias("new_number"), F.col("print").alias("new_print"))
-    first = new.where("new_number is not null").groupBy("new_number").agg(F.min_by(F.struct("new_ord", "new_print"), "new_ord").alias("f")).select("new_number", "f.new_ord", "f.new_print")
-    by_number = old.join(first.withColumnRenamed("new_number", "number"), "number").where(F.col("print") == F.col("new_print")).select("ord", "new_ord")
-    taken = by_number.select("new_ord").distinct()
-    free = new.join(taken, "new_ord", "left_anti").groupBy(F.col("new_print").alias("print")).agg(F.count("*").alias("n_free"), F.min("new_ord").alias("free_ord"))
-    pending = old.join(by_number.select("ord"), "ord", "left_anti")
-    free = free.join(pending.groupBy("print").agg(F.min("ord").alias("first_ord")), "print")  # one row a content
-    pending = pending.join(free, "print", "left").withColumn("rank", F.when(F.col("ord") == F.col("first_ord"), 1).otherwise(2))
-    n = F.coalesce("n_free", F.lit(0))
-    claimed = pending.where((n == 1) & (F.col("rank") == 1)).select(F.col("free_ord").alias("new_ord"), F.col("ord").alias("by"))
-    rest = pending.where(~((n == 1) & (F.col("rank") == 1)) & ~(n > 1))
-    candidate = rest.join(first.select(F.col("new_number").alias("number"), "new_ord"), "number", "left")
-    candidate = candidate.join(taken.withColumn("taken", F.lit(True)), "new_ord", "left").join(claimed, "new_ord", "left")
-    unclaimed = F.col("new_ord").isNotNull() & F.col("taken").isNull() & ~F.coalesce(F.col("by") < F.col("ord"), F.lit(False))
-    none = F.lit(None).cast("long")
-    parts = [
-        by_number.select(F.col("ord").alias("old_ord"), F.lit("cat_no").alias("outcome"), "new_ord"),
-        pending.where((n == 1) & (F.col("rank") == 1)).select("ord", F.lit("fingerprint"), "free_ord"),
-        pending.where(n > 1).select("ord", F.lit("fingerprint_collision"), none),
-        candidate.select("ord", F.when(unclaimed, "cat_no_match_fingerprint_mismatch").otherwise("no_fingerprint_match"), F.when(unclaimed, F.col("new_ord"))),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    rows = _sides(old, new).repartition("key")
+    is_old, is_new = F.col("old"), ~F.col("old")
+    pairs = rows.groupBy("key", "print").agg(F.min(F.when(is_new, F.col("ord"))).alias("new_ord"), F.max("old").alias("has_old"))
+    first = pairs.groupBy("key").agg(F.min(F.when(F.col("new_ord").isNotNull(), F.struct("new_ord", "print", "has_old"))).alias("first"))  # of each number in the new list
+    rows = rows.join(first, "key")
+    matched = is_old & F.coalesce(F.col("first.print") == F.col("print"), F.lit(False))
+    taken = is_new & F.coalesce((F.col("first.new_ord") == F.col("ord")) & F.col("first.has_old"), F.lit(False))
+    free = is_new & ~taken
+    contents = rows.groupBy("print").agg(F.count_if(free).alias("n_free"), F.min(F.when(free, F.col("ord"))).alias("free_ord"), F.min(F.when(is_old & ~matched, F.col("ord"))).alias("first_ord"))
+    own = rows.where("old").select("ord", "print", matched.alias("matched"), F.col("first.new_ord").alias("candidate"), F.coalesce("first.has_old", F.lit(False)).alias("candidate_taken")).join(contents, "print")
+    chosen = ~F.col("matched") & (F.col("n_free") == 1) & (F.col("ord") == F.col("first_ord"))
+    several = ~F.col("matched") & (F.col("n_free") > 1)
+    rest = ~F.col("matched") & ~chosen & ~several & F.col("candidate").isNotNull() & ~F.col("candidate_taken")
+    # A candidate is gone if an earlier work claimed it by content.  Rows that don't ask keep apart from those that do.
+    own = own.select("*", chosen.alias("chosen"), several.alias("several"), rest.alias("rest")).withColumn("asked", F.when(F.col("rest"), F.col("candidate")).otherwise(F.col("ord")))
+    claims = contents.where("n_free = 1 and first_ord is not null").select(F.lit(True).alias("rest"), F.col("free_ord").alias("asked"), F.col("first_ord").alias("by"))
+    own = own.join(claims, ["rest", "asked"], "left")
+    open_ = F.col("rest") & ~F.coalesce(F.col("by") < F.col("ord"), F.lit(False))
+    outcome = F.when(F.col("matched"), "cat_no").when(F.col("chosen"), "fingerprint").when(F.col("several"), "fingerprint_collision").when(open_, "cat_no_match_fingerprint_mismatch").otherwise("no_fingerprint_match")
+    found = F.when(F.col("matched"), F.col("candidate")).when(F.col("chosen"), F.col("free_ord")).when(open_, F.col("candidate"))
+    return own.select(F.col("ord").alias("old_ord"), outcome.alias("outcome"), found.alias("new_ord"))
 
 
 FIELDS = {"title": "raw_title", "artist_name": "raw_artist", "medium": "raw_medium", "price_text": "raw_price", "edition_total": "raw_edition"}
 
 
 def state_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(old_ord, new_ord): k-th with k-th of equal content, then k-th with k-th of equal number."""
-    a = with_fingerprint(old).select("ord", "number", "print")
-    b = with_fingerprint(new).select("ord", "number", "print")
+    """(old_ord, new_ord): k-th with k-th of equal content, then k-th with k-th of equal number; one of them null where nothing is left to pair."""
 
-    def paired(x: DataFrame, y: DataFrame, key: str) -> DataFrame:
-        left = numbered(x.where(F.col(key).isNotNull()), [key]).select(key, "rank", F.col("ord").alias("old_ord"))
-        right = numbered(y.where(F.col(key).isNotNull()), [key]).select(key, "rank", F.col("ord").alias("new_ord"))
-        return left.join(right, [key, "rank"]).select("old_ord", "new_ord")
+    def paired(rows: DataFrame, group: str, *others: str) -> DataFrame:
+        ends = [F.max(F.when(F.col("old"), F.col(c))).alias(f"old_{c}") for c in ("ord", *others)] + [F.max(F.when(~F.col("old"), F.col(c))).alias(f"new_{c}") for c in ("ord", *others)]
+        return numbered(rows, [group, "old"]).groupBy(group, "rank").agg(*ends)
 
-    first = paired(a, b, "print")
-    second = paired(a.join(first, a["ord"] == first["old_ord"], "left_anti"), b.join(first, b["ord"] == first["new_ord"], "left_anti"), "number")
-    return first.union(second)
+    first = paired(_sides(old, new), "print", "key")
+    both = F.col("old_key").isNotNull() & F.col("new_key").isNotNull()  # of the keys, so that both uses read the same columns and share a shuffle
+    left = first.where(~both)
+    is_old = F.col("old_ord").isNotNull()
+    left = left.select(is_old.alias("old"), F.coalesce("old_ord", "new_ord").alias("ord"), F.coalesce("old_key", "new_key").alias("key"))
+    return first.where(both).select("old_ord", "new_ord").union(paired(left, "key").select("old_ord", "new_ord"))
 
 
 def _moved(n: str) -> Column:
@@ -75,9 +94,10 @@ def _moved(n: str) -> Column:
 def _changes(old: DataFrame, new: DataFrame, names: list[str], changes: list[Column]) -> DataFrame:
     """(old_ord, new_ord, field, cause): changes of paired works, and rows with field 'added' or 'removed'."""
     pairs = state_pairs(old, new)
+    pairs = pairs.select("old_ord", "new_ord", F.coalesce("old_ord", "new_ord").alias("o_key"), F.coalesce("new_ord", "old_ord").alias("n_key"))  # no null, so what is unpaired spreads
     left = old.select(*(F.col(n).alias(f"o_{n}") for n in names))
     right = new.select(*(F.col(n).alias(f"n_{n}") for n in names))
-    joined = pairs.join(left, F.col("old_ord") == F.col("o_ord"), "right").join(right, F.col("new_ord") == F.col("n_ord"), "full")
+    joined = pairs.join(left, (F.col("o_key") == F.col("o_ord")) & F.col("old_ord").isNotNull(), "left").join(right, (F.col("n_key") == F.col("n_ord")) & F.col("new_ord").isNotNull(), "left")
     row = lambda field: F.struct(F.lit(field).alias("field"), F.lit(None).cast("string").alias("cause"))
     found = F.when(F.col("n_ord").isNull(), F.array(row("removed"))).when(F.col("o_ord").isNull(), F.array(row("added"))).otherwise(F.filter(F.array(*changes), lambda x: x.isNotNull()))
     return joined.select(F.col("o_ord").alias("old_ord"), F.col("n_ord").alias("new_ord"), F.explode(found).alias("c")).select("old_ord", "new_ord", "c.field", "c.cause")

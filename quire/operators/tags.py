@@ -6,12 +6,13 @@ Files may have the long tags (a paragraph ends at a carriage return) or the shor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Layout
 from ..functions import text as T
 from ..functions.unicode import normalised
+from .ordering import carried
 
 _PARAGRAPH = r"^\s*<(?:ParaStyle|pstyle):([^>]*)>"
 _SPAN = r"(?s)<(?:CharStyle|cstyle):([^>]+)>(.*?)<(?:CharStyle|cstyle):>"
@@ -98,15 +99,17 @@ def parsed_entries(found: DataFrame, layout: Layout = Layout(), document: str =
     """(document, ord, section, cat_no and the recoverable fields): entries of ``paragraphs``.
 
     The last heading before an entry is its section, "" before the first.  Entries without a
-    number, and paragraphs of other styles, are left out.  Texts are in NFC.
+    number, and paragraphs of other styles, are left out; where no style tells the number,
+    there are no entries.  Texts are in NFC.  A document may be one of many, or a file that fills
+    the cluster: headings are carried over stretches of it.
     """
     styles = [layout.section_style, *layout.other_section_styles]
     own = found.where(F.col("style").isin(*styles, layout.entry_style))
     named = own.withColumn("section_name", F.when(F.col("style").isin(*styles), heading(F.col("body"))))
-    order = Window.partitionBy(document).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    carried = named.withColumn("section", F.coalesce(F.last("section_name", ignorenulls=True).over(order), F.lit("")))
-    entries = carried.where((F.col("style") == layout.entry_style) & F.col("section_name").isNull()).withColumn("spans", spans(F.col("body")))
-    fields = assigned(F.col("spans"), layout)
+    placed = carried(named, [document], "section_name", "section")
+    entries = placed.where((F.col("style") == layout.entry_style) & F.col("section_name").isNull()).withColumn("spans", spans(F.col("body")))
+    entries = entries.withColumn("section", F.coalesce("section", F.lit("")))
+    fields = {"work_number": F.lit(None).cast("string")} | assigned(F.col("spans"), layout)
     entries = entries.select(document, "ord", "section", *(c.alias(f) for f, c in fields.items()))
     texts = {c: normalised(F.col(c), "NFC") for c in ("section", *fields)}
     out = entries.withColumns(texts)

@@ -137,7 +137,7 @@ _HEAD = f"'<ParaStyle:SectionTitle>' || {_E.format('section')}"
 _XML = lambda c: f"replace(replace(replace(coalesce({c}::VARCHAR, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _CSV = lambda c: f"CASE WHEN regexp_matches(coalesce({c}::VARCHAR, ''), '[\",\\r\\n]') THEN '\"' || replace({c}::VARCHAR, '\"', '\"\"') || '\"' ELSE coalesce({c}::VARCHAR, '') END"
 _VALUES = {c: c for c in export.COLUMNS} | {"artwork": "NULL"}
-_JSON = "to_json({'number': number, 'artist': artist, 'honorifics': honorifics, 'title': title, 'title_cased': NULL, 'price_numeric': price_numeric, 'price_text': price_text, 'edition_total': edition_total, 'edition_price_numeric': edition_price_numeric, 'artwork': NULL, 'medium': medium})::VARCHAR"
+_JSON = "to_json({'number': number, 'artist': artist, 'honorifics': honorifics, 'title': title, 'title_cased': '', 'price_numeric': price_numeric, 'price_text': price_text, 'edition_total': edition_total, 'edition_price_numeric': edition_price_numeric, 'artwork': NULL, 'medium': medium})::VARCHAR"
 _PARTS = [f"'<ParaStyle:Number>' || {_CS('CatNo', 'number')} || ' ' || {_CS('WorkTitle', 'title')}", f"CASE WHEN {_ARTIST} <> '' THEN '<ParaStyle:Artist>' || {_ARTIST} END", f"CASE WHEN edition <> '' THEN '<ParaStyle:Edition>' || {_CS('Edition', 'edition')} END", f"'<ParaStyle:Price>' || {_CS('Price', 'price')}"]
 _FIELDS = ("artist", "honorifics", "title", "edition", "price", "medium")
 _LOW = lambda c: rf"trim(regexp_replace(replace(replace(translate(coalesce({c}, ''), '‘’‚‛′“”„″', '''''''''''\"\"\"\"'), chr(13), ''), chr(10), ''), '\s+', ' ', 'g'))"

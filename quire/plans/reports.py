@@ -322,7 +322,7 @@ ORACLES = {
     "index_resolved": with_views(f"{_RESOLVED} SELECT row_number, first_name, last_name, quals, company, is_company, a2l AS artist2_last_name, index_name FROM resolved", *_IV),
     "index_courtesy_groups": with_views(f"SELECT row_number, courtesy, array_to_string(list_sort({_NUMBERS}), ',') AS numbers FROM index_source WHERE len({_NUMBERS}) > 0", "index_source"),
     "index_letter": with_views(f"{_RESOLVED} SELECT row_number, index_name FROM resolved WHERE include_in_export AND len({_NUMBERS}) > 0 AND upper(left(strip_accents(lower(coalesce(last_name, first_name))), 1)) = 'B'", *_IV),
-    "index_lines": with_views(f"{_INDEX_LINES} SELECT letter, 1::BIGINT AS place, line FROM li UNION ALL SELECT letter, -1::BIGINT, '' FROM (SELECT letter, min(sk) AS m FROM li GROUP BY letter) WHERE (m, letter) <> (SELECT min((sk, letter)) FROM li)", *_IV),
+    "index_lines": with_views(f"{_INDEX_LINES} SELECT letter, 1::BIGINT AS place, line FROM li UNION ALL SELECT letter, -1::BIGINT, '' FROM (SELECT letter, min(sk) AS m FROM li GROUP BY letter) WHERE (m, letter) <> (SELECT min((sk, letter)) FROM li) UNION ALL SELECT NULL, 0::BIGINT, '<ASCII-MAC>'", *_IV),
     "index_reimport": with_views(f"{_AGAIN} SELECT row_number, CASE WHEN m THEN 'matched' ELSE 'added' END AS outcome, CASE WHEN m THEN inc ELSE true END AS include_in_export, CASE WHEN m THEN old_row END AS old_row FROM plan", "index_source"),
     "index_reimport_counts": with_views(f"{_AGAIN} SELECT count(*) FILTER (m) AS matched, count(*) FILTER (NOT m) AS added, (SELECT count(*) FROM k WHERE key NOT IN (SELECT key FROM plan WHERE m)) AS removed, count(*) FILTER (m AND old_row IN (SELECT row_number FROM index_edits)) AS overrides_preserved FROM plan", "index_source", "index_edits"),
     "index_unmerged": with_views(f"WITH {_MERGED}, p AS (SELECT row_number, coalesce(source_row, row_number) AS source_row, array_to_string(list(cat_no ORDER BY cat_no), ',') AS numbers FROM m GROUP BY 1, 2) SELECT row_number, source_row, numbers, source_row = arg_min(source_row, (source_row <> row_number, source_row)) OVER (PARTITION BY row_number) AS keeps FROM p QUALIFY count(*) OVER (PARTITION BY row_number) > 1", "index_source"),
