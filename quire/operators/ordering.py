@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bits of the order column that a stretch spans, and of stretches that are scanned together.
@@ -28,22 +28,17 @@ def numbered(rows: DataFrame, keys: list[str], name: str = "rank", order: str =
     return within.join(starts, same).select(*rows.columns, (F.col("_place") + F.col("_start")).alias(name))
 
 
-def _same(a: DataFrame, b: DataFrame, names: dict[str, str]) -> Column:
-    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[other]) for k, other in names.items()))
-
-
-def _carried_before(ends: DataFrame, keys: list[str], bits: int) -> DataFrame:
-    """Adds ``_before``: the last value of the stretches before each; ``bits`` is what is left of the order column."""
-    before = lambda group: F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, *group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+def _before(ends: DataFrame, bits: int) -> DataFrame:
+    """(_g, _before) from (_g struct<k, at>, _value): the last value of the places of k before ``at``, which has ``bits`` bits."""
+    at = F.col("_g.at")
+    window = lambda group: F.last("_value", ignorenulls=True).over(Window.partitionBy(group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
     if bits <= SCAN_BITS:
-        return ends.withColumn("_before", before([]))
-    wide = ends.withColumn("_wide", F.shiftright("_stretch", SCAN_BITS))
-    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_stretch")))
-    upper = _carried_before(wide.groupBy(*keys, F.col("_wide").alias("_stretch")).agg(last.alias("_value")), keys, bits - SCAN_BITS)
-    names = {k: f"_u{i}" for i, k in enumerate([*keys, "_wide"])}
-    upper = upper.select(*(F.col(k).alias(names[k]) for k in keys), F.col("_stretch").alias(names["_wide"]), F.col("_before").alias("_upper"))
-    inside = wide.withColumn("_inside", before(["_wide"]))
-    return inside.join(upper, _same(inside, upper, names)).select(*ends.columns, F.coalesce("_inside", "_upper").alias("_before"))
+        return ends.select("_g", window(F.col("_g.k")).alias("_before"))
+    wide = ends.withColumn("_w", F.struct(F.col("_g.k").alias("k"), F.shiftright(at, SCAN_BITS).alias("at")))
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), at))
+    upper = _before(wide.groupBy(F.col("_w").alias("_g")).agg(last.alias("_value")), bits - SCAN_BITS)
+    inside = wide.withColumn("_inside", window(F.col("_w")))
+    return inside.join(upper.select(F.col("_g").alias("_u"), F.col("_before").alias("_upper")), F.col("_w") == F.col("_u")).select("_g", F.coalesce("_inside", "_upper").alias("_before"))
 
 
 def carried(rows: DataFrame, keys: list[str], value: str, name: str, order: str = "ord") -> DataFrame:
@@ -51,13 +46,12 @@ def carried(rows: DataFrame, keys: list[str], value: str, name: str, order: str
 
     Each stretch of ``order`` is scanned by itself, and its last value is carried over to the
     next ones by the same scan over stretches.  So one group, as long as it may be, spreads over
-    tasks: none sorts more of it than STRETCH rows, or 2**SCAN_BITS stretches.
+    tasks: none sorts more of it than STRETCH values of ``order``, or 2**SCAN_BITS stretches.  Null keys are
+    a group.
     """
-    placed = rows.withColumn("_stretch", F.shiftright(F.col(order).cast("long"), STRETCH_BITS))
-    ends = placed.groupBy(*keys, "_stretch").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_value"))
-    starts = _carried_before(ends, keys, 63 - STRETCH_BITS)
-    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_stretch"])}
-    starts = starts.select(*(F.col(k).alias(n) for k, n in names.items()), "_before")
-    inside = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    within = placed.withColumn("_inside", inside)
-    return within.join(starts, _same(within, starts, names)).select(*rows.columns, F.coalesce("_inside", "_before").alias(name))
+    at = F.shiftright(F.col(order).cast("long"), STRETCH_BITS)
+    placed = rows.withColumn("_g", F.struct(F.struct(F.lit(0), *keys).alias("k"), at.alias("at")))  # structs are equal where their nulls are
+    ends = placed.groupBy("_g").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_value"))
+    starts = _before(ends, 63 - STRETCH_BITS).withColumnRenamed("_g", "_s")
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_inside", inside).join(starts, F.col("_g") == F.col("_s")).select(*rows.columns, F.coalesce("_inside", "_before").alias(name))
