@@ -42,7 +42,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-LEFT_OUT = frozenset("head nav footer aside form script style textarea title xmp iframe noembed noframes noscript template svg math canvas object audio video select button dialog menu".split())
+LEFT_OUT = frozenset("head nav footer aside form script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml canvas object audio video select button dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -53,9 +53,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SELF_CLOSING = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table tr", "th": "table tr", "option": "select"}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 #: Words for parts that aren't the article: a class or id name says so if it has one of them
-#: and otherwise only words of layout, and a class name also by a first word of ``FIRST``.
+#: and otherwise only words of layout, and a class name also by a first word of ``FIRST`` and a known last one.
 PARTS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus respond replies newsletter subscribe subscription signup social share sharing related recommended popup modal overlay toolbar pagination pager widget widgets footer masthead login".split()
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments disqus respond replies newsletter subscribe subscription signup social share sharing related recommended popup modal overlay toolbar pagination pager widget widgets footer masthead login".split()
 )
 FIRST = frozenset("ad ads advert advertisement adsense adsbygoogle cookie cookies consent gdpr navbar breadcrumb breadcrumbs disqus newsletter pagination masthead sidebar".split())
 LAYOUT = frozenset(
@@ -65,6 +65,8 @@ LAYOUT = frozenset(
 ID_INSIDE = frozenset("div ul ol".split())
 WHOLE_NAMES = frozenset("header site-header page-header top-header global-header siteheader pageheader".split())
 STATES = frozenset("no has with without is".split())
+#: Words for what an article's own header says of the article, beside its headings.
+STANDFIRST = frozenset("standfirst lede lead intro introduction summary subtitle subheading subhead dek deck abstract excerpt strapline".split())
 KNOWN, SIZE = PARTS | LAYOUT, re.compile(r"\d+(?:x\d+)?")
 
 
@@ -83,7 +85,7 @@ def _left_out(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     by_id = name in ID_INSIDE and "section" not in classes if in_article else name in BLOCKS - HEADINGS - {"p"}
     for k, own in enumerate(classes + (attributes.get("id", "").lower().split() if by_id else [])):
         words = [x for x in re.split(r"[^a-z0-9]+", own) if x and not SIZE.fullmatch(x)]
-        if own in WHOLE_NAMES or k < len(classes) and words and words[0] in FIRST:
+        if own in WHOLE_NAMES or k < len(classes) and words and words[0] in FIRST and words[-1] in KNOWN:
             return True
         if words and words[0] not in STATES and not PARTS.isdisjoint(words) and KNOWN.issuperset(words):
             return True
@@ -163,7 +165,7 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, int, int]], bool, list[i
             if now and name in BLOCKS:
                 flush()
             if article and stack and any(x[0] == "header" for x in stack) and name not in HEADINGS and name in BLOCKS - {"div", "hgroup", "header"}:
-                now = True
+                now = now or STANDFIRST.isdisjoint(re.split(r"[^a-z0-9]+", attributes.get("class", "").lower()))
             out = now
         if not article and (name in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop") == "articleBody"):
             article = articles = articles + 1

@@ -31,8 +31,9 @@ from .rolling import BYTE_CODE, U, mix, prefix_sums, sampled_owners, slices, spa
 _SALT = U(0xA0761D6478BD642F)
 #: Windows in a part of a block.
 PART = 8
-#: ``span`` packs a block: first start << 24 | (windows - 1) << 12 | units from there to the owner.
-WINDOWS_MOST = 4096
+#: ``span`` packs a block: first start << 32 | (windows - 1) << 16 | units from there to the owner.  Both
+#: numbers are at most the width less the seed.
+START, COUNT, LOW = 32, 16, (1 << 16) - 1
 
 ANCHORS = "rid long, id long, span long, seed long, block long, n int"
 
@@ -72,7 +73,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], units: Callable, width: int, see
                 [
                     batch.column(0).slice(a, b - a).take(pa.array(text)),
                     batch.column(1).slice(a, b - a).take(pa.array(text)),
-                    pa.array((lo - first[text]) << 24 | (hi - lo) << 12 | place - lo),
+                    pa.array((lo - first[text]) << START | (hi - lo) << COUNT | place - lo),
                     pa.array(order[place].view(np.int64)),
                     pa.array(block.view(np.int64)),
                     pa.array(n_each),
@@ -86,20 +87,22 @@ def anchors(base: DataFrame, units: Callable, width: int, seed: int) -> DataFram
 
     ``n`` is how often the text has the block, at its first place there, else 0.
     """
+    if not 0 < seed <= width <= LOW + seed:
+        raise ValueError(f"a window has {seed} to {LOW + seed} units, not {width}")
     return base.mapInArrow(functools.partial(_anchors, units=units, width=width, seed=seed), ANCHORS)
 
 
 def span_start(span: Column) -> Column:
-    return F.shiftright(span, 24)
+    return F.shiftright(span, START)
 
 
 def span_end(span: Column, width: int) -> Column:
     """The place after the last unit of the block's windows."""
-    return F.shiftright(span, 24) + F.shiftright(span, 12).bitwiseAND(4095) + width
+    return F.shiftright(span, START) + F.shiftright(span, COUNT).bitwiseAND(LOW) + width
 
 
 def _unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return span >> 24, (span >> 12 & 4095) + 1, span & 4095
+    return span >> START, (span >> COUNT & LOW) + 1, span & LOW
 
 
 def _windows(batches: Iterator[pa.RecordBatch], units: Callable, width: int, once: bool) -> Iterator[pa.RecordBatch]:
@@ -170,7 +173,7 @@ def _snippets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 ids.append(id_)
                 spans.append(span)
                 weights.append(weight)
-                parts.append(data[span >> 24 : (span >> 24) + (span >> 12 & 4095) + width])
+                parts.append(data[span >> START : (span >> START) + (span >> COUNT & LOW) + width])
                 held += len(parts[-1])
             if held > 1 << 23:
                 yield rows()
@@ -216,7 +219,7 @@ def _parts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
                 ranks.append(pa.array(mix(pair + part.astype(np.int64).view(U)).view(np.int64)))
             outer = mix(span_hash(sums, at + first, at + last + width) ^ ((place[row] - first).astype(U) * _SALT))
             beside = [batch.column(k).slice(a, b - a).take(pa.array(row)) for k in (0, 1, 2, 3)]
-            own = pa.array((start[row] + first) << 24 | (last - first) << 12 | place[row] - first)
+            own = pa.array((start[row] + first) << START | (last - first) << COUNT | place[row] - first)
             yield pa.RecordBatch.from_arrays([*beside[:3], own, *ranks, pa.array(outer.view(np.int64)), beside[3]], ["rid", "id", "block_span", "span", "rank", "seed", "block", "n"])
 
 

@@ -200,3 +200,24 @@ def test_embedding_links_across_intervals(spark, dim):
     assert got == {i: (int(near[i].sum()), part[i]) for i in range(900)}
     low = np.array([[0.0, 0], [1, 0], [5, 0]])
     assert set(recursive_pairs(low, low + 0.5, low, low + 0.5, 0.6, True)) == {(0, 0), (0, 1), (1, 1), (2, 2)}
+
+
+def test_wide_windows(spark):
+    """Windows above what 12 bits hold are exact, and those above the packing are refused."""
+    rng = random.Random(8)
+    shared = "".join(rng.choices("abcdefgh ", k=9000))
+    texts = [shared, "x" + shared[1000:8200] + "y", "".join(rng.choices("abcdefgh ", k=9000)), shared[:5999], None]
+    width = 6000
+    starts = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t or "") - width + 1):
+            starts.setdefault(t[k : k + width], []).append((i, k))
+    gone = [set() for _ in texts]
+    for places in starts.values():
+        if len(places) > 1:
+            for i, k in places:
+                gone[i].update(range(k, k + width))
+    got = {r.doc_id: r.n_removed for r in remove_repeated_bytes(frame(spark, list(enumerate(texts))), width=width).collect()}
+    assert got == {i: len(g) for i, g in enumerate(gone)} and got[0] == 7200
+    with pytest.raises(ValueError):
+        remove_repeated_bytes(frame(spark, list(enumerate(texts))), width=70_000)

@@ -101,6 +101,9 @@ PAGES = [
     ("<article><div class=ad><p>unclosed advert</article><p>after", ""),
     ("<article><p>1 < 2 and <3</p><p hidden>no</p><p style='display:none'>no</p><table><tr><td>c1<td>c2</table></article>", "1 < 2 and <3\nc1\nc2"),
     ("", ""),
+    ("<article><header><h1>H</h1><p class='article-standfirst'>What it is about.</p><p class='byline'>by me</p></header><p>text</p></article>", "H\nWhat it is about.\ntext"),
+    ("<article><p>Let <math><mi>x</mi><annotation encoding='tex'>no</annotation></math> be</p></article>", "Let x be"),
+    ("<article><p>one</p><section class='cookie-recipes'><p>two</p></section><div class='ad-hoc-queries'><p>three</p></div><div class='cookie-banner'>no</div><div class='ad-slot-2'>no</div></article>", "one\ntwo\nthree"),
     ("plain words without any markup, but enough of them to be taken for an article here", "plain words without any markup, but enough of them to be taken for an article here"),
     (None, ""),
     ("<p", ""),
