@@ -16,6 +16,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..config import CLOSING, NO_BREAK_AFTER, OPENING, Component, Layout
 from ..functions import text as T
+from ..functions.unicode import mac_roman
+from ..sources.files import encoded_bytes
 from .ordering import numbered
 
 #: Position of what ends a section.
@@ -232,9 +234,10 @@ def csv_lines(rows: DataFrame) -> DataFrame:
     return _document(rows, None, line, None, ",".join(("section", *COLUMNS)))
 
 
-def write_lines(lines: DataFrame, path: str, end: str = "\n") -> None:
-    """Writes a document as text files whose names are in its order."""
-    lines.orderBy("section_position", "position").select("line").write.option("lineSep", end).text(path)
+def write_lines(lines: DataFrame, path: str, end: str = "\n", encoding: str = "utf-8") -> None:
+    """Writes a document as text files whose names are in its order; in ``mac_roman``, other characters are escaped."""
+    line = encoded_bytes(mac_roman("line")) if encoding == "mac_roman" else F.col("line")
+    lines.orderBy("section_position", "position").select(line.alias("line")).write.option("lineSep", end).text(path)
 
 
 def preview(works: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Component, Layout
 from ..functions import text as T
 from ..operators import export, reconcile, reimport, tags, works
+from ..sources import files
 from ..sources.views import view, with_views
 from .oracles import _EFFECTIVE, _MONEY, _normal
 
@@ -83,6 +84,13 @@ def parsed_list(spark: SparkSession, sf: str) -> DataFrame:
     return _printed(spark, sf).drop("document", "ord")
 
 
+def parsed_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries read back from files of the list's tagged text, in Mac Roman, each file in splits."""
+    path = files.scratch_path(spark, "tagged")
+    export.write_lines(export_tagged(spark, sf), path, files.LONG, "mac_roman")
+    return tags.parsed_entries(tags.styles_of(files.read_document(spark, path))).drop("document", "ord")
+
+
 def reconcile_findings(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.in_catalogue_order(reconcile.reconcile(_printed(spark, sf), reconcile.display_fields(_new(spark, sf))))
 
@@ -163,7 +171,7 @@ _N = _normal("works", "n")
 
 QUERIES = {f.__name__: f for f in (
     export_order, export_tagged, export_paragraphs, export_wrapped, export_json, export_xml, export_csv, export_section, export_names, works_preview,
-    parsed_list, reconcile_findings, reconcile_counts, reconcile_works, parse_coverage, export_snapshot_diff,
+    parsed_list, parsed_file, reconcile_findings, reconcile_counts, reconcile_works, parse_coverage, export_snapshot_diff,
 )}
 
 ORACLES = {
@@ -177,6 +185,7 @@ ORACLES = {
     "export_names": with_views("SELECT work_id, coalesce(nullif(regexp_replace(regexp_replace(raw_title, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'export') || '.txt' AS file_name FROM works", "works"),
     "works_preview": with_views(f"WITH {_N} SELECT work_id, cat_no, concat_ws(' ', artist_name, artist_honorifics) AS artist, title, coalesce({_MONEY('price_numeric')}, nullif(price_text, '')) AS price, CASE WHEN edition_total <> 0 THEN '(edition of ' || edition_total || coalesce(' at ' || {_MONEY('edition_price')}, '') || ')' END AS edition, medium FROM n", "works"),
     "parsed_list": with_views(f"{_COLLECTED} SELECT section, number AS cat_no, {', '.join(f'''nullif({f}, '') AS {f}''' for f in _FIELDS)} FROM p WHERE number IS NOT NULL", "works", "overrides"),
+    "parsed_file": with_views(f"{_COLLECTED} SELECT section, number AS cat_no, {', '.join(f'''nullif({f}, '') AS {f}''' for f in _FIELDS)} FROM p WHERE number IS NOT NULL", "works", "overrides"),
     "reconcile_findings": with_views(f"{_RECONCILE} SELECT * FROM f", *_VS),
     "reconcile_counts": with_views(f"{_RECONCILE} SELECT severity, fix_channel, count(*) AS n FROM f GROUP BY ALL", *_VS),
     "reconcile_works": with_views(f"{_RECONCILE}, w AS (SELECT cat_no, arg_min(work_id, ord) AS work_id FROM works WHERE cat_no IS NOT NULL GROUP BY cat_no) SELECT kind, f.cat_no, section, work_id FROM f LEFT JOIN w ON w.cat_no = f.cat_no WHERE kind <> 'field_change'", *_VS),

@@ -1,7 +1,7 @@
 """Spreadsheets and tagged text as DataFrames.
 
-Files are read whole in one task each (a workbook is a zip archive and can't be split);
-many files spread over the cluster.
+A workbook is a zip archive and can't be split, so each is one task's; many spread over the
+cluster.  Tagged text is read in splits: one file of any size spreads, too.
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 import difflib
 import io
 import re
+import tempfile
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -133,12 +135,63 @@ def header_problems(headers: list[str], expected: dict[str, bool]) -> tuple[list
     return missing, optional
 
 
-def read_tagged_text(spark: SparkSession, path: str, encoding: str = "mac_roman") -> DataFrame:
-    """(path, ord, paragraph): paragraphs of tagged text files, split at carriage returns."""
+_HIGH = bytes(range(128, 256))
+_LATIN, _MAC = _HIGH.decode("latin-1"), _HIGH.decode("mac_roman")
+#: What ends a paragraph of the long tags, and what begins one of the short ones.
+LONG, SHORT = "\r", "<pstyle:"
 
-    @F.pandas_udf("string")
-    def decoded(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: bytes(b).decode(encoding))
 
-    files = spark.read.format("binaryFile").load(path).select("path", decoded("content").alias("text"))
-    return files.select("path", F.posexplode(F.split("text", "\r\n?|\n")).alias("ord", "paragraph"))
+def decoded_bytes(raw: Column, encoding: str = "mac_roman") -> Column:
+    """Text from the bytes of a string column, without Python: Mac Roman, Latin-1 or UTF-8."""
+    if encoding == "utf-8":
+        return raw
+    latin = F.decode(raw.cast("binary"), "ISO-8859-1")
+    return F.translate(latin, _LATIN, _MAC) if encoding == "mac_roman" else latin
+
+
+def encoded_bytes(text: Column) -> Column:
+    """A string column whose bytes are the text in Mac Roman; it must have no other characters (see ``unicode.mac_roman``)."""
+    return F.encode(F.translate(text, _MAC, _LATIN), "ISO-8859-1").cast("string")
+
+
+def read_tagged_text(spark: SparkSession, path: str, encoding: str = "mac_roman", short: bool = False) -> DataFrame:
+    """(path, ord, paragraph): paragraphs of tagged text files, which Spark reads in splits.
+
+    Paragraphs of the long tags end at a carriage return, those of the ``short`` ones begin at
+    their tag, and the reader splits files there; ``tagged_dialects`` tells which files have.
+    ``ord`` grows along a file without being dense: where a split starts, and the row in its task.
+    A task's rows are never more than its bytes and a file's full splits have tasks of their
+    own, so no split's rows reach the next one's start.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = spark.read.option("lineSep", SHORT if short else LONG).text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + row).alias("ord"), decoded_bytes(F.col("value"), encoding).alias("paragraph"))
+    if short:  # what is before the first tag is the file's heading
+        headed = F.col("paragraph").rlike(r"^\s*(?:<[A-Z0-9]+-[A-Z]+>\s*)?$")
+        return rows.withColumn("paragraph", F.when(headed, F.col("paragraph")).otherwise(F.concat(F.lit(SHORT), "paragraph")))
+    return rows.withColumn("paragraph", F.regexp_replace("paragraph", r"^\n|\n$", ""))
+
+
+def tagged_dialects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, short): which tagged text files have the short tags."""
+    lines = spark.read.option("lineSep", LONG).text(path)
+    return lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.max(F.col("value").rlike("<(?:pstyle|cstyle):")).alias("short"))
+
+
+def read_document(spark: SparkSession, path: str, encoding: str = "mac_roman", short: bool = False) -> DataFrame:
+    """(document, ord, paragraph): the files below a path as one document, in order of their names."""
+    rows = read_tagged_text(spark, path, encoding, short)
+    files = rows.select("path").distinct()
+    places = files.select(F.col("path").alias("_path"), F.row_number().over(Window.orderBy("path")).cast("long").alias("_place"))  # one row a file
+    return rows.join(places, F.col("path") == F.col("_path")).select(F.lit(path).alias("document"), (F.col("_place") * F.lit(1 << 42) + F.col("ord")).alias("ord"), "paragraph")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; where it is unset and Spark runs on this machine alone, in one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="quire-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,8 @@
 
 import zipfile
 
-from quire.sources.files import WORKS_HEADERS, header_problems, read_tagged_text, read_workbooks
+from quire.operators.export import write_lines
+from quire.sources.files import LONG, WORKS_HEADERS, header_problems, read_document, read_tagged_text, read_workbooks, tagged_dialects
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
@@ -32,3 +33,39 @@ def test_headers():
 def test_tagged_text(spark, tmp_path):
     (tmp_path / "t.txt").write_bytes("<pstyle:a>é\r<pstyle:b>x".encode("mac_roman"))
     assert [r.paragraph for r in read_tagged_text(spark, str(tmp_path / "t.txt")).orderBy("ord").collect()] == ["<pstyle:a>é", "<pstyle:b>x"]
+    (tmp_path / "u.txt").write_bytes(b"<ParaStyle:a>1\r\n<ParaStyle:b>2\r\n")
+    assert [r.paragraph for r in read_tagged_text(spark, str(tmp_path / "u.txt")).orderBy("ord").collect()] == ["<ParaStyle:a>1", "<ParaStyle:b>2", ""]
+
+
+def test_tagged_text_in_splits(spark, tmp_path):
+    """One file over many tasks, in both dialects: paragraphs in order, none lost or cut."""
+    special = bytes(range(128, 256)).decode("mac_roman")
+    paragraphs = [f"{i} {special[i % 128]} " + "x" * (i * 7 % 90) for i in range(400)]
+    (tmp_path / "long").mkdir()
+    (tmp_path / "short").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "long" / f"{name}.txt").write_bytes("\r".join(f"<ParaStyle:S>{name}{p}" for p in paragraphs).encode("mac_roman"))
+        (tmp_path / "short" / f"{name}.txt").write_bytes(("<ASCII-MAC>\r" + "".join(f"<pstyle:S>{name}{p}\r" for p in paragraphs)).encode("mac_roman"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "500")
+    try:
+        for short, head, end in ((False, "<ParaStyle:S>", ""), (True, "<pstyle:S>", "\r")):
+            folder = str(tmp_path / ("short" if short else "long"))
+            rows = read_document(spark, folder, short=short)
+            assert rows.rdd.getNumPartitions() > 4 or read_tagged_text(spark, folder, short=short).rdd.getNumPartitions() > 4
+            got = [r.paragraph for r in rows.orderBy("ord").collect()]
+            lead = ["<ASCII-MAC>\r"] if short else []
+            assert got == [x for name in "ab" for x in [*lead, *(f"{head}{name}{p}{end}" for p in paragraphs)]]
+            assert {r.short for r in tagged_dialects(spark, folder).collect()} == {short}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_written_lines_are_mac_roman(spark, tmp_path):
+    text = "a£…é" + bytes(range(128, 256)).decode("mac_roman") + "Ł日"
+    df = spark.createDataFrame([(1, 1, text), (1, 0, "head")], "section_position int, position long, line string")
+    write_lines(df, str(tmp_path / "out"), LONG, "mac_roman")
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert data.decode("mac_roman") == "head\r" + text.replace("Ł", "<0x0141>").replace("日", "<0x65E5>") + "\r"
