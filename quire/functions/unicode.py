@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..config import ROMAN, ROMAN_EXCLUDED, TITLE_CASE_EXCEPTIONS
+from .titles import title_case_text
 
 
 def normalised(c: Column, form: str = "NFKC") -> Column:
@@ -41,37 +40,6 @@ def mac_roman(text: pd.Series) -> pd.Series:
     return text.map(encode, na_action="ignore")
 
 
-SMALL_WORDS = frozenset("a an and as at but by en for if in of on or the to v v. via vs vs.".split())
-_EXCEPTIONS = {x.upper(): x for x in TITLE_CASE_EXCEPTIONS}
-_ROMAN = re.compile(ROMAN, re.I)
-
-
-def title_case_text(text: str) -> str:
-    """Title case: small words stay lower inside, exceptions and Roman numerals keep their form."""
-    shouted = text == text.upper()
-
-    def word(w: str, edge: bool) -> str:
-        head, core, tail = re.match(r"^([^0-9A-Za-zÀ-ÿ]*)(.*?)([^0-9A-Za-zÀ-ÿ]*)$", w, re.S).groups()
-        if not core:
-            return w
-        if core.upper() in _EXCEPTIONS:
-            return head + _EXCEPTIONS[core.upper()] + tail
-        if len(core) > 1 and _ROMAN.fullmatch(core) and core.lower() not in ROMAN_EXCLUDED:
-            return head + core.upper() + tail
-        if core.lower() in SMALL_WORDS and not edge:
-            return head + core.lower() + tail
-        if not shouted and re.search(r"[a-z][A-Z]|\.[a-z]", core):
-            return w
-        return head + "-".join(p[:1].upper() + (p[1:].lower() if shouted else p[1:]) for p in core.split("-")) + tail
-
-    parts = re.split(r"(\s+)", text)
-    own = [i for i, p in enumerate(parts) if p.strip()]
-    for i in own:
-        edge = i in (own[0], own[-1]) or bool(re.search(r"[:.;?!]$", parts[i - 2] if i >= 2 else ""))
-        parts[i] = word(parts[i], edge)
-    return "".join(parts)
-
-
 @F.pandas_udf(StringType())
 def title_case(text: pd.Series) -> pd.Series:
     return text.map(title_case_text, na_action="ignore")

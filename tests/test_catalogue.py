@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.config import Catalogue, Normalisation
 from quire.functions import text as T
-from quire.functions.unicode import sort_key, title_case_text
+from quire.functions.titles import title_case_text
+from quire.functions.unicode import sort_key, title_case
 from quire.operators import compare, index, match, works
 from quire.plans.queries import ORACLES, QUERIES
 from quire.sources.views import with_views
@@ -47,6 +48,27 @@ def test_fingerprint(spark):
     assert got[0] == got[1] and tuple(got[2]) == ("", "", "")
 
 
+TITLES = [
+    ("WHAT DO ANIMALS DREAM OF?", "What Do Animals Dream Of?"), ("THE POSSIBILITY OF AN ISLAND", "The Possibility of an Island"), ("UNTITLED VIII", "Untitled VIII"), ("STUDY XIV", "Study XIV"), ("THE MIX", "The Mix"),
+    ("PORTRAIT FOR THE USA", "Portrait for the USA"), ("HOMAGE TO RA", "Homage to RA"), ("the iPhone diaries", "The iPhone Diaries"), ("", ""), (" ", " "),
+    ("word/word", "Word/Word"), ("dance with me/let’s face the music and dance", "Dance With Me/Let’s Face the Music and Dance"), ("X-RAY OF A HAND", "X-Ray of a Hand"), ("mccay-mcbut-mcdo mcdonalds/mcby", "McCay-McBut-McDo McDonalds/McBy"),
+    ("34th 3rd 2nd", "34th 3rd 2nd"), ("FOO BAR 5TH ST", "Foo Bar 5th St"), ("Q&A with steve jones: 'that's what happens'", "Q&A With Steve Jones: 'That's What Happens'"), ("this v. that vs them", "This v. That vs Them"),
+    ("'by the Way, small word at the start but within quotes.'", "'By the Way, Small Word at the Start but Within Quotes.'"), ("nothing to be afraid of", "Nothing to Be Afraid Of"), ('"nothing to be afraid of?"', '"Nothing to Be Afraid Of?"'),
+    ("Starting a phrase with a small word: a trick, perhaps?", "Starting a Phrase With a Small Word: A Trick, Perhaps?"), ("one - the other", "One - The Other"), ("a thing", "A Thing"), ("2lmc spool: 'gruber on OmniFocus and vapo(u)rware'", "2lmc Spool: 'Gruber on OmniFocus and Vapo(u)rware'"),
+    ("this is just an example.com", "This Is Just an example.com"), ("listed on del.icio.us", "Listed on del.icio.us"), ("this is http://foo.com", "This Is http://foo.com"), ("WASHINGTON, D.C. SHOULD BE FIXED", "Washington, D.C. Should Be Fixed"),
+    ("my name is o'reilly", "My Name Is O'Reilly"), ("l'grange L'grange d'artagnan", "l'Grange l'Grange d'Artagnan"), ("mr McTavish went to mcdonald's", "Mr McTavish Went to McDonald's"), ("this shouldn't\r\nget mangled", "This Shouldn't\nGet Mangled"),
+    ("the\ttab  two", "The\tTab  Two"), ("THE NTH RHYTHM OF BBC", "The NTH Rhythm of BBC"), ("«the» ÉTUDE", "«the» ÉTUDE"),
+]
+
+
+def test_titles(spark):
+    for given, expected in TITLES:
+        assert title_case_text(given) == expected
+    assert title_case_text("MADE IN THE ACME WORKSHOP", ["ACME"]) == "Made in the ACME Workshop" and title_case_text("bbc", []) == "BBC" and title_case_text("USA", []) == "Usa"
+    df = spark.createDataFrame([(t,) for t, _ in TITLES] + [(None,)], "t string").select(title_case("t").alias("t"))
+    assert [r.t for r in df.collect()] == [e for _, e in TITLES] + [None]
+
+
 def test_title_case():
     assert title_case_text("the LORD OF the rings") == "The LORD of the Rings"
     assert title_case_text("HENRY IV IN THE UK") == "Henry IV in the UK"
