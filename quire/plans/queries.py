@@ -12,7 +12,7 @@ from ..functions import unicode as N
 from ..operators import compare, index, match, tags, works
 from ..sources.views import view
 from ..streaming import audit
-from . import exports, oracles, reports
+from . import exports, oracles, reports, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,6 +187,6 @@ QUERIES: dict[str, Query] = {
         name_comparison, effective_artists, index_names, artist_flags, merged_artists, letter_groups, linked_entries, tag_round_trip, audit_latest,
         audit_windows, artist_sort_keys, document_sort_keys, sort_keys, title_cased, mac_roman_titles,
     )
-} | exports.QUERIES | reports.QUERIES
+} | exports.QUERIES | reports.QUERIES | stores.QUERIES
 
-ORACLES = oracles.ORACLES | exports.ORACLES | reports.ORACLES
+ORACLES = oracles.ORACLES | exports.ORACLES | reports.ORACLES | stores.ORACLES
