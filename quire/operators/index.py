@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordering import numbered
 
 
 def known_rule(artists: DataFrame, known: DataFrame) -> DataFrame:
@@ -40,10 +41,32 @@ def sort_name(artist: DataFrame) -> Column:
     return F.when(text("last_name").isNull(), F.coalesce(text("first_name"), F.lit(""))).otherwise(F.concat(text("last_name"), F.lit(" "), F.coalesce(text("first_name"), F.lit(""))))
 
 
-def merged_artists(artists: DataFrame) -> DataFrame:
-    """Rows of one name merged, numbers in row order; rows with a courtesy stay apart."""
+def name_key() -> Column:
+    """By which rows of one artist are found: the folded parts of the name."""
     fold = lambda c: F.coalesce(F.lower(T.strip(F.col(c))), F.lit(""))
-    key = F.concat_ws("|", *(fold(c) for c in ("title", "first_name", "last_name", "quals")))
+    return F.concat_ws("|", *(fold(c) for c in ("title", "first_name", "last_name", "quals")))
+
+
+def merged_numbers(artists: DataFrame, size: int = 4096) -> DataFrame:
+    """(key, chunk, numbers): the numbers of rows of one name, in row order, in chunks of ``size``.
+
+    For names of any number of rows: numbers get their places without one task a name
+    (``ordering.numbered``), and no array is longer than a chunk.  Rows with a courtesy are left out,
+    as ``merged_artists`` keeps them apart; a row has less than 2**20 numbers.
+    """
+    plain = artists.where("courtesy is null or trim(courtesy) = ''").select(name_key().alias("key"), F.col("row_number").cast("long").alias("row"), F.posexplode(T.catalogue_numbers(F.col("cat_nos"))).alias("at", "number"))
+    placed = numbered(plain.withColumn("ord", F.col("row") * F.lit(1 << 20) + F.col("at")), ["key"], "place")
+    chunks = placed.groupBy("key", F.floor((F.col("place") - 1) / size).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("place", "number"))).alias("n"))
+    return chunks.select("key", "chunk", F.array_join(F.transform("n", lambda x: x["number"].cast("string")), ",").alias("numbers"))
+
+
+def merged_artists(artists: DataFrame) -> DataFrame:
+    """Rows of one name merged, numbers in row order; rows with a courtesy stay apart.
+
+    An artist is one row with all its numbers; where a name may have more rows than a task
+    should hold, ``merged_numbers`` has them in chunks.
+    """
+    key = name_key()
     numbers = artists.withColumns({"key": key, "numbers": T.catalogue_numbers(F.col("cat_nos"))})
     plain = numbers.where("courtesy is null or trim(courtesy) = ''").groupBy("key").agg(F.min("row_number").alias("row_number"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_number", "numbers"))), lambda x: x["numbers"])).alias("numbers"), F.count("*").alias("rows"))
     apart = numbers.where("not (courtesy is null or trim(courtesy) = '')").select("key", "row_number", "numbers", F.lit(1).cast("long").alias("rows"))

@@ -114,6 +114,44 @@ def work_changes(normalised: DataFrame) -> DataFrame:
     return normalised.select("work_id", F.array_join(found, "; ").alias("reasons"))
 
 
+def index_changes(parsed: DataFrame) -> DataFrame:
+    """(row_number, reasons): why fields of parsed index rows differ from the raw ones, for display."""
+    c = lambda x: F.coalesce(F.col(x), F.lit(""))
+    labels = {"title": "Title", "last_name": "Last Name", "first_name": "First Name", "quals": "Quals", "company": "Company"}
+    spaced = {f: (c(f"raw_{f}") != c(f)) & (T.strip(c(f"raw_{f}")) == T.strip(c(f))) for f in labels}
+    moved = {f: T.strip(c(f"raw_{f}")) != T.strip(c(f)) for f in labels}
+    named = lambda which: T.blank_to_null(F.concat_ws(", ", *(F.when(case, F.lit(labels[f])) for f, case in which.items())))
+    second = F.col("artist2_first_name").isNotNull() | F.col("artist2_last_name").isNotNull()
+    reasons = [
+        F.concat(F.lit("Whitespace trimmed: "), named(spaced)), F.concat(F.lit("Values changed: "), named(moved)), F.when(F.col("is_company"), "Auto-detected as company (no first name)"),
+        F.when(second & F.lower(T.strip(c("raw_last_name"))).rlike("^(?:and|&) "), "Multi-artist entry parsed (second artist extracted from Last Name)"),
+    ]
+    return parsed.select("row_number", F.concat_ws("; ", *reasons).alias("reasons"))
+
+
+def in_key_order(diff: DataFrame) -> DataFrame:
+    """A keyed diff by its keys' bytes."""
+    return diff.orderBy("key")
+
+
+def in_time_order(rows: DataFrame, at: str = "created_at") -> DataFrame:
+    """Rows by the time they came, the oldest first; rows of one time by all they have."""
+    return rows.orderBy(at, *(x for x in rows.columns if x != at))
+
+
+def diff_summary(diffs: DataFrame, snapshots: DataFrame, series: DataFrame) -> DataFrame:
+    """(series, state, added, removed, changed) of each of ``series``: no_previous_export where it has no snapshot, else changed or unchanged.
+
+    ``diffs`` are rows of keyed diffs with their series.
+    """
+    kinds = ("added", "removed", "changed")
+    counts = diffs.groupBy("series").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds))
+    own = series.join(snapshots.select("series", F.lit(True).alias("there")).distinct(), "series", "left").join(counts, "series", "left")
+    known = [F.when(F.col("there"), F.coalesce(k, F.lit(0))).otherwise(0).cast("long").alias(k) for k in kinds]
+    state = F.when(F.col("there").isNull(), "no_previous_export").when(F.coalesce(sum((F.col(k) for k in kinds), F.lit(0)), F.lit(0)) > 0, "changed").otherwise("unchanged")
+    return own.select("series", state.alias("state"), *known)
+
+
 def title_reasons(normalised: DataFrame, exceptions: tuple[str, ...]) -> DataFrame:
     """(work_id, token, reason): words of titles that title case leaves alone; an exception goes before a Roman numeral, each word once."""
     tokens = F.array_distinct(F.transform(T.title_tokens(F.col("title")), F.upper))

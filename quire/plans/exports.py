@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Component, Layout
 from ..functions import text as T
-from ..operators import export, reconcile, reimport, tags, works
+from ..operators import export, reconcile, reimport, report, tags, works
 from ..sources import files
 from ..sources.views import view, with_views
 from .oracles import _EFFECTIVE, _MONEY, _normal
@@ -116,7 +116,16 @@ def export_snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     at = F.lit("2025-01-01").cast("timestamp_ntz")
     snapshot = reimport.snapshot_rows(reimport.export_keys(_collected(spark, sf)), "list", None, at)
     old = reimport.latest_snapshots(snapshot).select("row.*")
-    return reimport.keyed_diff(old, reimport.export_keys(_new(spark, sf)), EXPORT_FIELDS)
+    return report.in_key_order(reimport.keyed_diff(old, reimport.export_keys(_new(spark, sf)), EXPORT_FIELDS))
+
+
+def export_diff_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What an export changes for a list with a snapshot, one whose snapshot is the same, and one without any."""
+    name = lambda df, series: df.withColumn("series", F.lit(series))
+    rows = reimport.export_keys(_new(spark, sf))
+    diffs = name(export_snapshot_diff(spark, sf), "list").union(name(reimport.keyed_diff(rows, rows, EXPORT_FIELDS), "same")).union(name(reimport.keyed_diff(rows.limit(0), rows, EXPORT_FIELDS), "new"))
+    known = spark.range(2).select(F.when(F.col("id") == 0, "list").otherwise("same").alias("series"))
+    return report.diff_summary(diffs, known, known.union(known.select(F.lit("new"))).distinct())
 
 
 _E = r"replace(replace(replace({0}, '\', '\\'), '<', '\<'), '>', '\>')"
@@ -171,7 +180,7 @@ _N = _normal("works", "n")
 
 QUERIES = {f.__name__: f for f in (
     export_order, export_tagged, export_paragraphs, export_wrapped, export_json, export_xml, export_csv, export_section, export_names, works_preview,
-    parsed_list, parsed_file, reconcile_findings, reconcile_counts, reconcile_works, parse_coverage, export_snapshot_diff,
+    parsed_list, parsed_file, reconcile_findings, reconcile_counts, reconcile_works, parse_coverage, export_snapshot_diff, export_diff_states,
 )}
 
 ORACLES = {
@@ -191,4 +200,5 @@ ORACLES = {
     "reconcile_works": with_views(f"{_RECONCILE}, w AS (SELECT cat_no, arg_min(work_id, ord) AS work_id FROM works WHERE cat_no IS NOT NULL GROUP BY cat_no) SELECT kind, f.cat_no, section, work_id FROM f LEFT JOIN w ON w.cat_no = f.cat_no WHERE kind <> 'field_change'", *_VS),
     "parse_coverage": with_views(f"{_RECONCILE}, z AS (SELECT (SELECT count(*) FROM p WHERE number IS NOT NULL) AS printed, (SELECT count(*) FROM p2 WHERE number IS NOT NULL) AS in_data) SELECT *, in_data > 0 AND 2 * printed < in_data AS suspicious FROM z", *_VS),
     "export_snapshot_diff": with_views(f"{_SNAPSHOT} SELECT key, kind, CASE WHEN kind = 'changed' THEN c END AS changed FROM d WHERE kind <> 'changed' OR c <> ''", *_VS),
+    "export_diff_states": with_views(f"{_SNAPSHOT}, moved AS (SELECT kind FROM d WHERE kind <> 'changed' OR c <> '') SELECT 'list' AS series, CASE WHEN count(*) > 0 THEN 'changed' ELSE 'unchanged' END AS state, count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'changed') AS changed FROM moved UNION ALL SELECT 'same', 'unchanged', 0, 0, 0 UNION ALL SELECT 'new', 'no_previous_export', 0, 0, 0", *_VS),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..config import ROMAN, ROMAN_EXCLUDED, TITLE_CASE_EXCEPTIONS
 from ..sources.views import with_views
 
 _TRIM = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
@@ -29,8 +30,12 @@ def _normal(source: str, name: str) -> str:
 
 
 _N = _normal("works", "n")
+_TITLE_TOKENS = r"list_filter(list_transform(regexp_split_to_array(coalesce(title, ''), '\s+'), lambda x: upper(regexp_replace(x, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g'))), lambda x: x <> '')"
+_EXCEPTED = f"x IN ({', '.join(repr(x.upper()) for x in TITLE_CASE_EXCEPTIONS)})"
+_IS_ROMAN = f"len(x) > 1 AND x NOT IN ({', '.join(repr(x.upper()) for x in ROMAN_EXCLUDED)}) AND regexp_full_match(x, '{ROMAN.upper()}')"
 _WARN = rf"""WITH {_N}, w AS (
   SELECT work_id, unnest(list_filter([
+    CASE WHEN len(list_filter({_TITLE_TOKENS}, lambda x: {_EXCEPTED})) > 0 THEN 'title_case_exception' END, CASE WHEN len(list_filter({_TITLE_TOKENS}, lambda x: {_IS_ROMAN} AND NOT {_EXCEPTED})) > 0 THEN 'title_case_roman' END,
     CASE WHEN coalesce(raw_title <> {_TRIM("raw_title")}, false) OR coalesce(raw_artist <> {_TRIM("raw_artist")}, false) OR coalesce(raw_medium <> {_TRIM("raw_medium")}, false) THEN 'whitespace_trimmed' END,
     CASE WHEN coalesce(title, '') = '' THEN 'missing_title' END, CASE WHEN coalesce(artist_name, '') = '' THEN 'missing_artist' END,
     CASE WHEN price_numeric IS NULL AND price_text = '*' THEN 'missing_price' END, CASE WHEN price_numeric IS NULL AND price_text NOT IN ('*', 'NFS') THEN 'unrecognised_price' END,
@@ -116,8 +121,12 @@ pairs AS (SELECT coalesce(l.number, i.number) AS number, l IS NULL AS no_low, i
 {_COMPARE}, entries AS (SELECT number AS cat_no, CASE WHEN no_low OR no_index THEN 'none' ELSE level END AS level, CASE WHEN no_index THEN 'missing_in_index' WHEN no_low THEN 'missing_in_low' ELSE differences END AS differences FROM compared)"""
 _LEVELS = ("exact", "equivalent", "partial_title", "partial_honorific", "partial_ra", "partial_name", "none")
 
+_NAMESAKES = "SELECT * REPLACE (regexp_replace(first_name, '[0-9]+$', '') AS first_name, regexp_replace(last_name, '[0-9]+$', '') AS last_name) FROM index_artists"
+
 ORACLES = {
     "normalise_works": with_views(f"WITH {_N} SELECT work_id, title, artist_name, artist_honorifics, price_numeric, price_text, edition_total, edition_price FROM n", "works"),
+    "all_work_warnings": with_views(f"{_WARN} SELECT * FROM w", "works"),
+    "all_warning_counts": with_views(f"{_WARN} SELECT type, count(*) AS n FROM w GROUP BY type", "works"),
     "work_warnings": with_views(f"{_WARN} SELECT * FROM w", "works"),
     "warning_counts": with_views(f"{_WARN} SELECT type, count(*) AS n FROM w GROUP BY type", "works"),
     "effective_works": with_views(f"{_EFFECTIVE} SELECT * EXCLUDE (ord) FROM x", "works", "overrides"),
@@ -155,5 +164,12 @@ ORACLES = {
     "tag_round_trip": with_views(f"{_EFFECTIVE} SELECT ord, cat_no, nullif(title, '') AS title, nullif(artist_name, '') AS artist_name, price_display, medium FROM x WHERE cat_no <> ''", "works", "overrides"),
     "audit_latest": "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id",
     "audit_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "sort_keys": r"SELECT doc_id, strip_accents(lower(regexp_split_to_array(text, '\s+')[1])) AS sort_key FROM documents",
+    "sort_keys": r"SELECT doc_id, strip_accents(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS sort_key FROM documents",
+    "document_sort_keys": r"SELECT doc_id, strip_accents(lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS sort_key FROM documents",
+    "artist_sort_keys": with_views("SELECT artist_id, strip_accents(lower(trim(CASE WHEN coalesce(last_name, '') = '' THEN coalesce(first_name, '') ELSE last_name || ' ' || coalesce(first_name, '') END))) AS sort_key FROM index_artists", "index_artists"),
+    "merged_index_warnings": with_views(f"""WITH namesakes AS ({_NAMESAKES}), a AS (SELECT row_number, {" || '|' || ".join(f"lower(trim(coalesce({c}, '')))" for c in ("title", "first_name", "last_name", "quals"))} AS key FROM namesakes WHERE courtesy IS NULL)
+      SELECT min(row_number) AS row_number, 'duplicate_name_merged' AS type, 'Merged from ' || count(*) || ' rows: ' || arg_min(name, row_number) AS message FROM (SELECT a.*, concat_ws(', ', last_name, first_name) AS name FROM a JOIN namesakes i ON i.row_number = a.row_number) GROUP BY key HAVING count(*) > 1""", "index_artists"),
+    "merged_number_chunks": with_views(f"""WITH namesakes AS ({_NAMESAKES}), a AS (SELECT row_number, {" || '|' || ".join(f"lower(trim(coalesce({c}, '')))" for c in ("title", "first_name", "last_name", "quals"))} AS key, {_NUMBERS} AS x FROM namesakes WHERE courtesy IS NULL),
+      e AS (SELECT key, row_number, unnest(x) AS n, unnest(range(1, len(x) + 1)) AS i FROM a), p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY row_number, i) AS place FROM e)
+      SELECT key, ((place - 1) // 3)::BIGINT AS chunk, string_agg(n::VARCHAR, ',' ORDER BY place) AS numbers FROM p GROUP BY ALL""", "index_artists"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import unicode as N
-from ..operators import compare, index, match, tags, works
+from ..operators import artists, compare, index, match, tags, works
 from ..sources.views import view
 from ..streaming import audit
 from . import exports, oracles, reports, stores
@@ -35,8 +35,7 @@ def all_warning_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def work_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    """The warnings whose types the SQL has: all but those of title case, which ``all_work_warnings`` has too."""
-    return all_work_warnings(spark, sf).where(~F.col("type").isin("title_case_roman", "title_case_exception"))
+    return all_work_warnings(spark, sf)
 
 
 def warning_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,8 +120,8 @@ def effective_artists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_names(spark: SparkSession, sf: str) -> DataFrame:
-    artists = view(spark, sf, "index_artists")
-    return artists.select("artist_id", index.index_name(artists).alias("index_name"))
+    rows = view(spark, sf, "index_artists")
+    return rows.select("artist_id", index.index_name(rows).alias("index_name"))
 
 
 def artist_flags(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,6 +134,21 @@ def merged_artists(spark: SparkSession, sf: str) -> DataFrame:
     return index.merged_artists(view(spark, sf, "index_artists"))
 
 
+def _namesakes(spark: SparkSession, sf: str) -> DataFrame:
+    """Index rows whose names have lost their numbers, so that many are alike."""
+    plain = {c: F.regexp_replace(c, "[0-9]+$", "") for c in ("first_name", "last_name")}
+    return view(spark, sf, "index_artists").withColumns(plain)
+
+
+def merged_index_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    return artists.merged_row_warnings(_namesakes(spark, sf))
+
+
+def merged_number_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of merged artists in chunks of three."""
+    return index.merged_numbers(_namesakes(spark, sf), 3)
+
+
 def letter_groups(spark: SparkSession, sf: str) -> DataFrame:
     return index.letter_groups(view(spark, sf, "index_artists"))
 
@@ -156,8 +170,8 @@ def audit_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def artist_sort_keys(spark: SparkSession, sf: str) -> DataFrame:
-    artists = view(spark, sf, "index_artists")
-    return artists.select("artist_id", N.sort_key(index.sort_name(artists)).alias("sort_key"))
+    rows = view(spark, sf, "index_artists")
+    return rows.select("artist_id", N.sort_key(index.sort_name(rows)).alias("sort_key"))
 
 
 def document_sort_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,9 +180,7 @@ def document_sort_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sort_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """The sort keys of what stands before the first white space of each text, as the SQL has it."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return docs.select("doc_id", N.sort_key(F.get(F.split("text", r"\s+"), F.lit(0))).alias("sort_key"))
+    return document_sort_keys(spark, sf)
 
 
 def title_cased(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +196,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         effective_works, normalise_works, all_work_warnings, all_warning_counts, work_warnings, warning_counts, section_positions, gallery_summary, override_stats, without_override, search_works,
         match_plan, match_counts, cross_gallery_moves, state_diff, state_diff_counts, export_diff, section_alignment, compare_entries, compare_summary,
-        name_comparison, effective_artists, index_names, artist_flags, merged_artists, letter_groups, linked_entries, tag_round_trip, audit_latest,
+        name_comparison, effective_artists, index_names, artist_flags, merged_artists, merged_index_warnings, merged_number_chunks, letter_groups, linked_entries, tag_round_trip, audit_latest,
         audit_windows, artist_sort_keys, document_sort_keys, sort_keys, title_cased, mac_roman_titles,
     )
 } | exports.QUERIES | reports.QUERIES | stores.QUERIES

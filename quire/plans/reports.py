@@ -38,6 +38,20 @@ def index_warnings(spark: SparkSession, sf: str) -> DataFrame:
     return artists.warnings(_parsed(spark, sf))
 
 
+def index_messages(spark: SparkSession, sf: str) -> DataFrame:
+    return artists.warning_messages(_parsed(spark, sf))
+
+
+def index_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return report.index_changes(_parsed(spark, sf))
+
+
+def warnings_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Warnings in the order of the works they came with."""
+    rows = _warnings(spark, sf).join(view(spark, sf, "works").select("work_id", F.col("ord").alias("created_at")), "work_id")
+    return report.in_time_order(rows.select("created_at", "work_id", "type"))
+
+
 def name_qualifications(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "index_source").select("row_number", T.qualification_in(F.col("raw_first_name"), F.col("raw_last_name")).alias("found"))
 
@@ -118,8 +132,7 @@ def artist_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _warnings(spark: SparkSession, sf: str) -> DataFrame:
-    found = works.warnings(works.normalise_works(view(spark, sf, "works")))
-    return found.where(~F.col("type").isin("title_case_roman", "title_case_exception"))
+    return works.warnings(works.normalise_works(view(spark, sf, "works")))
 
 
 def warnings_with_works(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,8 +212,7 @@ def template_listing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def warning_messages(spark: SparkSession, sf: str) -> DataFrame:
-    found = works.warning_messages(works.normalise_works(view(spark, sf, "works")))
-    return found.where(F.col("type").isin("unrecognised_price", "edition_anomaly", "missing_title", "non_ascii_characters"))
+    return works.warning_messages(works.normalise_works(view(spark, sf, "works")))
 
 
 def seed_actions(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +235,7 @@ def scoped_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def applied_reimport(spark: SparkSession, sf: str) -> DataFrame:
-    return reimport.apply_reimport(view(spark, sf, "works"), view(spark, sf, "works_new"), view(spark, sf, "overrides"), SCOPE).drop("position")
+    return reimport.apply_reimport(view(spark, sf, "works"), view(spark, sf, "works_new"), view(spark, sf, "overrides"), SCOPE)
 
 
 def restored_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,6 +288,7 @@ _INDEX_WARNINGS = rf"""WITH {_PARSED} SELECT row_number, unnest(list_filter([
   CASE WHEN is_company THEN 'possible_company' END, CASE WHEN {_MULTI("first_name")} OR {_MULTI("last_name")} THEN 'multi_artist_name_suspected' END,
   CASE WHEN artist2_last_name IS NOT NULL AND is_ra_member AND NOT artist2_ra_styled THEN 'ra_styling_ambiguous' END, CASE WHEN coalesce({_IN_NAME("first_name", "last_name")}, {_IN_NAME("artist2_first_name", "artist2_last_name")}) IS NOT NULL THEN 'quals_in_name_field' END,
   CASE WHEN {_FOREIGN} THEN 'non_ascii_characters' END], lambda x: x IS NOT NULL)) AS type FROM parsed"""
+_LABELS = (("title", "Title"), ("last_name", "Last Name"), ("first_name", "First Name"), ("quals", "Quals"), ("company", "Company"))
 _LAYER = lambda f: f"CASE WHEN {f}_override IS NOT NULL THEN nullif({f}_override, '')"
 _RESOLVED = f"""WITH {_PARSED}, k AS (SELECT * FROM index_rules QUALIFY row_number() OVER (PARTITION BY match_first_name, match_last_name, match_quals ORDER BY is_seeded, rule_id) = 1),
 r AS (SELECT p.*, CASE WHEN x.rule_id IS NOT NULL THEN x ELSE w END AS k, o.* EXCLUDE (row_number) FROM parsed p LEFT JOIN k x ON x.match_quals <> '' AND x.match_first_name = coalesce(first_name, '') AND x.match_last_name = coalesce(last_name, '') AND x.match_quals = coalesce(quals, '')
@@ -308,7 +321,7 @@ _SCOPED = _MATCH.replace("FROM works)", f"FROM works WHERE gallery IN ({', '.joi
 _G = f"({', '.join(repr(g) for g in SCOPE)})"
 
 QUERIES = {f.__name__: f for f in (
-    index_parsed, index_warnings, name_qualifications, index_resolved, index_listing, index_courtesy_groups, index_lines, index_lines_with_headings, index_letter, index_diff, index_reimport,
+    index_parsed, index_warnings, index_messages, index_changes, warnings_in_order, name_qualifications, index_resolved, index_listing, index_courtesy_groups, index_lines, index_lines_with_headings, index_letter, index_diff, index_reimport,
     index_reimport_counts, index_unmerged, merged_from_rows, list_stats, artist_counts, warnings_with_works, warning_summary, shown_warnings, warnings_with_artists, audit_joined, audit_newest,
     audit_by_import, compare_buckets, orphaned_uploads, storage_stats, duplicate_uploads, work_changes, title_reasons, newest_settings, rule_export, template_listing, warning_messages, seed_actions, detail_tree, scoped_plan,
     applied_reimport, restored_list, override_edits, include_toggles, effective_diff,
@@ -318,6 +331,13 @@ _SECTION = "SELECT gallery, row_number() OVER (ORDER BY min(ord))::INT AS sectio
 ORACLES = {
     "index_parsed": with_views(f"WITH {_PARSED} SELECT row_number, title, first_name, last_name, quals, company, artist2_first_name, artist2_last_name, artist2_quals, is_ra_member, is_company, artist2_ra_styled FROM parsed", "index_source"),
     "index_warnings": with_views(_INDEX_WARNINGS, "index_source"),
+    "index_messages": with_views(f"""{_INDEX_WARNINGS.replace("SELECT row_number, unnest(", "SELECT *, unnest(", 1).replace(f"WITH {_PARSED} ", f"WITH {_PARSED}, y AS (", 1)}), z AS (SELECT *, concat_ws(', ', last_name, first_name) AS name, concat_ws(' ', artist2_first_name, artist2_last_name) AS other FROM y)
+      SELECT row_number, type, CASE type WHEN 'whitespace_trimmed' THEN 'White space trimmed from ' || concat_ws(', ', {", ".join(f"CASE WHEN {_TRIMMED(c)} THEN '{c}' END" for c in artists.TEXTS)}) WHEN 'multi_artist_name_changed' THEN 'Two artists in a row: ' || name || ' and ' || other
+      WHEN 'quals_extracted' THEN 'Qualifications taken from the name: ' || quals WHEN 'ra_member_detected' THEN 'A member by qualifications: ' || quals WHEN 'missing_cat_nos' THEN 'No catalogue numbers for ' || name WHEN 'possible_company' THEN 'Perhaps a company: ' || last_name
+      WHEN 'multi_artist_name_suspected' THEN 'Perhaps several artists: ' || name WHEN 'ra_styling_ambiguous' THEN 'A member with another artist: ' || name || ' and ' || other WHEN 'quals_in_name_field' THEN 'Qualifications in the name ' || name ELSE 'Characters beyond ASCII in ' || name END AS message FROM z""", "index_source"),
+    "index_changes": with_views(f"""WITH {_PARSED} SELECT row_number, concat_ws('; ', 'Whitespace trimmed: ' || nullif(concat_ws(', ', {", ".join(f"CASE WHEN coalesce(raw_{c}, '') <> coalesce({c}, '') AND trim(coalesce(raw_{c}, '')) = trim(coalesce({c}, '')) THEN '{label}' END" for c, label in _LABELS)}), ''),
+      'Values changed: ' || nullif(concat_ws(', ', {", ".join(f"CASE WHEN trim(coalesce(raw_{c}, '')) <> trim(coalesce({c}, '')) THEN '{label}' END" for c, label in _LABELS)}), ''), CASE WHEN is_company THEN 'Auto-detected as company (no first name)' END,
+      CASE WHEN artist2_last_name IS NOT NULL AND regexp_matches(lower(trim(raw_last_name)), '^(and|&) ') THEN 'Multi-artist entry parsed (second artist extracted from Last Name)' END) AS reasons FROM parsed""", "index_source"),
     "name_qualifications": with_views(f"SELECT row_number, {_IN_NAME('raw_first_name', 'raw_last_name')} AS found FROM index_source", "index_source"),
     "index_resolved": with_views(f"{_RESOLVED} SELECT row_number, first_name, last_name, quals, company, is_company, a2l AS artist2_last_name, index_name FROM resolved", *_IV),
     "index_courtesy_groups": with_views(f"SELECT row_number, courtesy, array_to_string(list_sort({_NUMBERS}), ',') AS numbers FROM index_source WHERE len({_NUMBERS}) > 0", "index_source"),
@@ -331,6 +351,7 @@ ORACLES = {
     "artist_counts": with_views("SELECT i.import_id, count(s.artist_id) AS artists FROM imports i LEFT JOIN index_source s ON (s.artist_id % 25)::VARCHAR = i.import_id GROUP BY 1", "imports", "index_source"),
     "warnings_with_works": with_views(f"{_WARN} SELECT w.work_id, w.type, cat_no, gallery FROM w LEFT JOIN works ON works.work_id = w.work_id", "works"),
     "warning_summary": with_views(f"{_WARN} SELECT type, type IN {report.SEVERE} AS severe, count(*) AS n FROM w GROUP BY type", "works"),
+    "warnings_in_order": with_views(f"{_WARN} SELECT ord AS created_at, w.work_id, w.type FROM w JOIN works ON works.work_id = w.work_id", "works"),
     "shown_warnings": with_views(f"{_WARN} SELECT * FROM w WHERE type IN ('missing_title', 'edition_anomaly')", "works"),
     "warnings_with_artists": with_views("SELECT work_id, CASE WHEN ord % 4 <> 0 THEN ord END AS row, artist_id FROM works LEFT JOIN (SELECT * FROM index_source WHERE row_number % 3 <> 0) a ON a.row_number = CASE WHEN ord % 4 <> 0 THEN ord END", "works", "index_source"),
     "audit_joined": with_views("SELECT event_id, action, a.work_id, cat_no, a.artist_id, raw_last_name AS last_name, CASE template_id WHEN 1 THEN 'List' WHEN 2 THEN 'Index' END AS template FROM audit a LEFT JOIN works w ON w.work_id = a.work_id LEFT JOIN index_source s ON s.artist_id = a.artist_id", "audit", "works", "index_source"),
@@ -345,15 +366,18 @@ ORACLES = {
     "newest_settings": with_views("SELECT (ord % 9)::VARCHAR AS kind, arg_max(ord % 13, ord) AS threshold, max(ord) AS \"at\" FROM works WHERE ord % 13 <= 10 GROUP BY 1", "works"),
     "rule_export": with_views("""SELECT rule_id, '{"match_last_name":"' || match_last_name || '","match_first_name":"' || match_first_name || '","rule_id":' || rule_id || coalesce(',"resolved_first_name":"' || resolved_first_name || '"', '') || coalesce(',"resolved_last_name":"' || resolved_last_name || '"', '') || '}' AS json FROM index_rules""", "index_rules"),
     "template_listing": with_views("SELECT template_id, name, builtin FROM templates WHERE kind = 'list' AND NOT archived", "templates"),
-    "warning_messages": with_views(f"""{_WARN} SELECT work_id, type, CASE type WHEN 'unrecognised_price' THEN concat('The price ', chr(39), raw_price, chr(39), ' can', chr(39), 't be read') WHEN 'edition_anomaly' THEN concat('The edition ', chr(39), raw_edition, chr(39), ' can', chr(39), 't be read')
-      WHEN 'missing_title' THEN 'The work has no title' ELSE 'Characters beyond ASCII in title: … (U+2026)' END AS message FROM w JOIN n USING (work_id) WHERE type IN ('unrecognised_price', 'edition_anomaly', 'missing_title', 'non_ascii_characters')""", "works"),
+    "warning_messages": with_views(rf"""{_WARN} SELECT work_id, type, CASE type WHEN 'unrecognised_price' THEN concat('The price ', chr(39), raw_price, chr(39), ' can', chr(39), 't be read') WHEN 'edition_anomaly' THEN concat('The edition ', chr(39), raw_edition, chr(39), ' can', chr(39), 't be read')
+      WHEN 'missing_title' THEN 'The work has no title' WHEN 'missing_artist' THEN 'The work has no artist' WHEN 'missing_price' THEN 'The work has no price' WHEN 'zero_edition_suppressed' THEN concat('The edition ', chr(39), raw_edition, chr(39), ' is of none and left out')
+      WHEN 'whitespace_trimmed' THEN 'White space trimmed from ' || concat_ws(', ', {", ".join(rf"CASE WHEN raw_{f} <> regexp_replace(raw_{f}, '^\s+|\s+$', '', 'g') THEN '{f}' END" for f in ("title", "artist", "medium"))})
+      WHEN 'title_case_roman' THEN concat('Roman numerals in ', chr(39), title, chr(39), ' keep their case') WHEN 'title_case_exception' THEN concat('Exceptions in ', chr(39), title, chr(39), ' keep their case')
+      ELSE 'Characters beyond ASCII in title: … (U+2026)' END AS message FROM w JOIN n USING (work_id)""", "works"),
     "seed_actions": with_views("SELECT rule_id, CASE WHEN rule_id % 7 = 0 THEN 'delete' WHEN rule_id % 5 = 0 THEN 'update' ELSE 'keep' END AS action FROM index_rules UNION ALL SELECT rule_id + 1000000, 'insert' FROM index_rules WHERE rule_id % 11 = 0", "index_rules"),
     "detail_tree": with_views(f"WITH s AS ({_SECTION}) SELECT s.gallery, section_position, w.work_id, cat_no, CASE WHEN o.work_id IS NOT NULL THEN concat_ws(',', {', '.join(f'''CASE WHEN {c}_override IS NOT NULL THEN '{c}' END''' for c in ('title', 'artist_name', 'artist_honorifics', 'price_numeric', 'price_text', 'edition_total', 'medium'))}) END AS overridden FROM s JOIN works w ON w.gallery = s.gallery LEFT JOIN overrides o ON o.work_id = w.work_id", "works", "overrides"),
     "scoped_plan": with_views(f"{_SCOPED} SELECT * FROM plan", "works", "works_new"),
     "applied_reimport": with_views(f"""{_SCOPED}, s AS ({_SECTION}), g AS (SELECT gallery, min(ord) AS first FROM works_new WHERE gallery IN {_G} GROUP BY 1), places AS (SELECT g.gallery, coalesce(s.section_position, (SELECT max(section_position) FROM s) + sum(CASE WHEN s.gallery IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY first))::INT AS section_position FROM g LEFT JOIN s ON s.gallery = g.gallery),
       q AS (SELECT new_ord, w.work_id, w.include_in_export, o.work_id AS own FROM plan JOIN works w ON w.ord = old_ord LEFT JOIN overrides o ON o.work_id = w.work_id WHERE outcome IN ('cat_no', 'fingerprint'))
-      SELECT n.ord, n.gallery, section_position, CASE WHEN new_ord IS NULL THEN 'added' ELSE 'matched' END AS origin, own AS old_work, coalesce(q.include_in_export, n.include_in_export) AS include_in_export FROM works_new n JOIN places ON places.gallery = n.gallery LEFT JOIN q ON new_ord = n.ord
-      UNION ALL SELECT ord, w.gallery, section_position, 'kept', o.work_id, include_in_export FROM works w JOIN s ON s.gallery = w.gallery LEFT JOIN overrides o ON o.work_id = w.work_id WHERE w.gallery NOT IN {_G}""", "works", "works_new", "overrides"),
+      SELECT n.ord, n.gallery, section_position, CASE WHEN new_ord IS NULL THEN 'added' ELSE 'matched' END AS origin, own AS old_work, coalesce(q.include_in_export, n.include_in_export) AS include_in_export, row_number() OVER (PARTITION BY n.gallery ORDER BY n.ord) AS position FROM works_new n JOIN places ON places.gallery = n.gallery LEFT JOIN q ON new_ord = n.ord
+      UNION ALL SELECT ord, w.gallery, section_position, 'kept', o.work_id, include_in_export, row_number() OVER (PARTITION BY w.gallery ORDER BY ord) FROM works w JOIN s ON s.gallery = w.gallery LEFT JOIN overrides o ON o.work_id = w.work_id WHERE w.gallery NOT IN {_G}""", "works", "works_new", "overrides"),
     "restored_list": with_views("SELECT work_id, raw_title FROM works WHERE work_id % 3 = 0", "works"),
     "override_edits": with_views(" UNION ALL ".join(f"SELECT coalesce(a.work_id, b.work_id) AS work_id, CASE WHEN b.work_id IS NULL THEN 'override_deleted' ELSE 'override_set' END AS action, '{f}_override' AS field, a.{f}_override AS old_value, b.{f}_override AS new_value FROM overrides a FULL JOIN overrides_new b ON a.work_id = b.work_id WHERE a.{f}_override IS DISTINCT FROM b.{f}_override" for f in _EDITS), "overrides", "overrides_new"),
     "include_toggles": with_views("SELECT work_id, 'excluded' AS action FROM works WHERE include_in_export AND work_id % 9 = 0", "works"),
