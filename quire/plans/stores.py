@@ -11,6 +11,7 @@ from ..operators import report
 from ..sources.files import scratch_path
 from ..sources.store import FileStore, ImportTable, StateStore, seeded_table
 from ..sources.views import view, with_views
+from ..sources.workbooks import register, write_workbooks
 
 
 def restored_from_store(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,11 +82,22 @@ def seeded_rules(spark: SparkSession, sf: str) -> DataFrame:
     return seeded_table(rules, seeds.select("rule_id", "content"), ["rule_id"], ["content"])
 
 
-QUERIES = {f.__name__: f for f in (restored_from_store, stored_snapshots, works_of_imports, listed_imports, stored_files, stored_file_stats, seeded_rules)}
+def workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The list's rows read back from workbooks that tasks wrote."""
+    path = scratch_path(spark, "books")
+    columns = {"Cat No": "cat_no", "Gallery": "gallery", "Title": "raw_title", "Artist": "raw_artist", "Price": "raw_price", "Edition": "raw_edition", "Medium": "raw_medium"}
+    write_workbooks(view(spark, sf, "works").select("ord", *(F.col(c).alias(h) for h, c in columns.items())), path, most=500).write.format("noop").mode("overwrite").save()
+    register(spark)
+    rows = spark.read.format("workbook").option("layout", "works").load(path)
+    return rows.select(*(F.col(h).alias(c) for h, c in columns.items()))
+
+
+QUERIES = {f.__name__: f for f in (restored_from_store, stored_snapshots, works_of_imports, listed_imports, stored_files, stored_file_stats, seeded_rules, workbook_rows)}
 
 _STORED = "SELECT * FROM listed_works WHERE import_id <> '3' OR work_id % 2 = 0"
 _FILES = "SELECT split_part(path, '/', -1) AS key, size, CASE WHEN size % 2 = 0 THEN name || '!' ELSE name END AS content FROM uploads"
 ORACLES = {
+    "workbook_rows": with_views("SELECT cat_no, gallery, raw_title, raw_artist, raw_price, raw_edition, raw_medium FROM works", "works"),
     "restored_from_store": with_views("SELECT work_id, raw_title, raw_price FROM works WHERE work_id % 3 = 0", "works"),
     "stored_snapshots": with_views("SELECT NULL::VARCHAR AS template, TIMESTAMP '2025-01-01' AS \"at\", count(*) AS n FROM works WHERE work_id % 2 = 0 UNION ALL SELECT NULL, TIMESTAMP '2025-01-02', count(*) FROM works WHERE work_id % 3 = 0 UNION ALL SELECT 'pre_restore', TIMESTAMP '2025-01-04', count(*) FROM works", "works"),
     "works_of_imports": with_views(f"WITH s AS ({_STORED}) SELECT work_id, gallery, import_id FROM s WHERE import_id IN ('3', '11')", "listed_works"),

@@ -2,8 +2,11 @@
 
 import zipfile
 
+import pytest
+
 from quire.operators.export import write_lines
 from quire.sources.files import LONG, WORKS_HEADERS, header_problems, read_document, read_tagged_text, read_workbooks, tagged_dialects
+from quire.sources.workbooks import register, write_workbooks
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 
@@ -69,3 +72,26 @@ def test_written_lines_are_mac_roman(spark, tmp_path):
     write_lines(df, str(tmp_path / "out"), LONG, "mac_roman")
     data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
     assert data.decode("mac_roman") == "head\r" + text.replace("Ł", "<0x0141>").replace("日", "<0x65E5>") + "\r"
+
+
+def test_workbook_source(spark, tmp_path):
+    register(spark)
+    source = lambda **options: spark.read.format("workbook").options(**options)
+    (tmp_path / "none").mkdir()
+    assert source(layout="works").load(str(tmp_path / "none")).count() == 0
+    rows = [(i, str(i), f" t<{i}>&\n" if i % 3 else None, "" if i % 2 else "A é") for i in range(25)]
+    df = spark.createDataFrame(rows, "ord long, `Cat No` string, Title string, Artist string")
+    for _ in range(2):  # written again, the files are the same
+        names = write_workbooks(df, str(tmp_path / "b"), most=10).collect()
+    assert sorted((r.name, r.rows) for r in names) == [("000000000000.xlsx", 10), ("000000000001.xlsx", 10), ("000000000002.xlsx", 5)]
+    read = source(layout="works").load(str(tmp_path / "b"))
+    assert read.rdd.getNumPartitions() == 3 and read.columns == ["path", "row_number", *WORKS_HEADERS]
+    got = sorted(((int(r["Cat No"]), r.Title, r.Artist, r.Price, r.row_number) for r in read.collect()), key=lambda r: r[0])
+    assert got == [(i, t, a, None, i % 10 + 2) for i, _, t, a in rows]
+    pruned = source().schema("Title string, Nothing string").load(str(tmp_path / "b"))
+    assert sorted(map(tuple, pruned.collect()), key=str) == sorted(((t, None) for _, _, t, _ in rows), key=str)
+    assert source(layout="works", skipBlank="true").load(str(tmp_path / "b")).count() == 25
+    write_workbooks(df.drop("Artist"), str(tmp_path / "bad")).collect()
+    with pytest.raises(Exception, match="lacks Artist"):
+        source(layout="works").load(str(tmp_path / "bad")).collect()
+    assert [r.cells for r in read_workbooks(spark, str(tmp_path / "bad")).limit(1).collect()] == [{"Cat No": "0", "Title": None}]
