@@ -32,6 +32,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 #: Bytes of records in one archive, of the records its dictionary is built from, and of the dictionary.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 32 << 20, 2 << 20, 64 << 10
+#: Tasks that archives are read back in, at most.
+READ_TASKS = 10_000
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, sha1: bytes, refers_to: int | None) -> bytes:
@@ -168,4 +170,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     tables = Tables(pages.sparkSession)
     root = tables.root if "://" in tables.root or tables.root.startswith("file:") else f"file://{tables.root}"
     written = tables.keep(write_archives(pages, f"{root}/archives"), "listing")
-    return read_archives(written.repartition(written.count() or 1, "path"))
+    return read_archives(written.repartition(min(written.count() or 1, READ_TASKS), "path"))
