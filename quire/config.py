@@ -117,7 +117,7 @@ class Catalogue:
 
 
 # fixed values
-RA_MEMBER_TOKENS = ("RA ELECT", "EX OFFICIO", "HON RA", "HONRA", "PPRA", "PRA", "RA")
+RA_MEMBER_TOKENS = ("RA", "PRA", "PPRA", "HON RA", "HONRA", "RA ELECT", "EX OFFICIO")
 RA_WORDS = ("ra", "pra", "ppra", "honra")
 QUALIFICATION_TOKENS = (
     "RA", "PRA", "PPRA", "HON RA", "HONRA", "RA ELECT", "EX OFFICIO", "OBE", "CBE", "MBE", "DBE", "KBE", "GBE", "CH", "KCVO",
@@ -128,4 +128,4 @@ TITLE_CASE_EXCEPTIONS = ("RA", "PRA", "PPRA", "RWS", "RE", "NEAC", "OBE", "MBE",
 # fixed values
 OPENING, CLOSING, NO_BREAK_AFTER = "'\"‘“([", "'\",;:.!?)]’”", "–—"
 SINGLE_QUOTES, DOUBLE_QUOTES = "‘’‚‛′", "“”„″"
-ROMAN = "m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})"
+ROMAN = "M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})"

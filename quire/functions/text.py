@@ -68,8 +68,7 @@ def substituted(c: Column, rules: tuple[Substitution, ...], field: str) -> Colum
 
 
 def looks_roman(word: Column) -> Column:
-    low = F.lower(word)
-    return (F.length(word) > 1) & low.rlike(f"^{ROMAN}$") & ~low.isin(*ROMAN_EXCLUDED)
+    return (F.length(word) > 1) & F.upper(word).rlike(f"^{ROMAN}$") & ~F.lower(word).isin(*ROMAN_EXCLUDED)
 
 
 def title_tokens(title: Column) -> Column:
@@ -84,7 +83,7 @@ def catalogue_numbers(raw: Column) -> Column:
 
 def is_member(quals: Column) -> Column:
     """Whether a membership token stands in the text as whole words, in any case."""
-    return F.coalesce(quals.rlike(rf"(?i)\b(?:{'|'.join(RA_MEMBER_TOKENS)})\b"), F.lit(False))
+    return F.coalesce(quals.rlike(rf"(?i)\b(?:{'|'.join(sorted(RA_MEMBER_TOKENS, key=len, reverse=True))})\b"), F.lit(False))
 
 
 def is_company_name(first: Column, last: Column, quals: Column) -> Column:

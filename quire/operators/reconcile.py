@@ -53,7 +53,7 @@ def reconcile(printed: DataFrame, data: DataFrame, layout: Layout = Layout(), po
     both = _last(data, "d").join(_last(printed, "p"), "cat_no", "full")
     aligned = aligned_sections(both.where("d is not null and p is not null").select(F.col("d.section").alias("section"), F.col("p.section").alias("other"), F.col("p.ord").alias("ord")))
     small = aligned.select(F.col("section").alias("_s"), "aligned")  # one row a section
-    rows = both.join(F.broadcast(small), F.col("d.section") == F.col("_s"), "left")
+    rows = both.join(small, F.col("d.section") == F.col("_s"), "left")
     none = F.lit(None).cast("string")
 
     def candidate(kind: str, field: Column, old: Column, new: Column, section: Column, plain: Column = none) -> Column:

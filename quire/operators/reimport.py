@@ -45,14 +45,14 @@ def apply_reimport(old: DataFrame, new: DataFrame, overrides: DataFrame, galleri
     plan = match_plan(scoped_old, scoped_new).where("outcome in ('cat_no', 'fingerprint')").select("old_ord", "new_ord")
     kept = scoped_old.select(F.col("ord").alias("old_ord"), F.col("include_in_export").alias("old_include"), "work_id").join(overrides.select("work_id", F.lit(True).alias("overridden")), "work_id", "left")
     paired = plan.join(kept, "old_ord")
-    rows = scoped_new.select("ord", uncategorised, "include_in_export").join(paired, F.col("ord") == F.col("new_ord"), "left").join(F.broadcast(places), "gallery")
+    rows = scoped_new.select("ord", uncategorised, "include_in_export").join(paired, F.col("ord") == F.col("new_ord"), "left").join(places, "gallery")
     out = numbered(rows, ["gallery"], "position").select(
         "ord", "gallery", "section_position", "position", F.when(F.col("old_ord").isNotNull(), "matched").otherwise("added").alias("origin"),
         F.when(F.col("overridden"), F.col("work_id")).alias("old_work"), F.coalesce("old_include", "include_in_export").alias("include_in_export"),
     )
     if galleries is None:
         return out
-    rest = numbered(out_of_scope(old, galleries).select("ord", "work_id", uncategorised, "include_in_export").join(F.broadcast(sections), "gallery"), ["gallery"], "position").join(overrides.select("work_id", F.lit(True).alias("overridden")), "work_id", "left")
+    rest = numbered(out_of_scope(old, galleries).select("ord", "work_id", uncategorised, "include_in_export").join(sections, "gallery"), ["gallery"], "position").join(overrides.select("work_id", F.lit(True).alias("overridden")), "work_id", "left")
     return out.unionByName(rest.select("ord", "gallery", "section_position", "position", F.lit("kept").alias("origin"), F.when(F.col("overridden"), F.col("work_id")).alias("old_work"), "include_in_export"))
 
 
@@ -65,7 +65,7 @@ def latest_snapshots(snapshots: DataFrame, keys: tuple[str, ...] = ("import_id",
     """All rows of the newest snapshot of each import and template, null being a template."""
     newest = snapshots.groupBy(*keys).agg(F.max(at).alias("_newest")).withColumnsRenamed({k: f"_{k}" for k in keys})  # one row a snapshot series
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.col(at) == F.col("_newest"))
-    return snapshots.join(F.broadcast(newest), same).select(*snapshots.columns)
+    return snapshots.join(newest, same).select(*snapshots.columns)
 
 
 def restored(current: DataFrame, snapshots: DataFrame, import_id: str, at: Column) -> tuple[DataFrame, DataFrame]:

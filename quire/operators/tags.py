@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..functions.unicode import normalised
 from .ordering import carried
 
+# fixed values: the forms of both dialects
 _PARAGRAPH = r"^\s*<(?:ParaStyle|pstyle):([^>]*)>"
 _SPAN = r"(?s)<(?:CharStyle|cstyle):([^>]+)>(.*?)<(?:CharStyle|cstyle):>"
 _TOKEN = r"(?s)\\.|<[^>]*>|."

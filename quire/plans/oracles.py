@@ -32,7 +32,7 @@ def _normal(source: str, name: str) -> str:
 _N = _normal("works", "n")
 _TITLE_TOKENS = r"list_filter(list_transform(regexp_split_to_array(coalesce(title, ''), '\s+'), lambda x: upper(regexp_replace(x, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g'))), lambda x: x <> '')"
 _EXCEPTED = f"x IN ({', '.join(repr(x.upper()) for x in TITLE_CASE_EXCEPTIONS)})"
-_IS_ROMAN = f"len(x) > 1 AND x NOT IN ({', '.join(repr(x.upper()) for x in ROMAN_EXCLUDED)}) AND regexp_full_match(x, '{ROMAN.upper()}')"
+_IS_ROMAN = f"len(x) > 1 AND x NOT IN ({', '.join(repr(x.upper()) for x in ROMAN_EXCLUDED)}) AND regexp_full_match(x, '{ROMAN}')"
 _WARN = rf"""WITH {_N}, w AS (
   SELECT work_id, unnest(list_filter([
     CASE WHEN len(list_filter({_TITLE_TOKENS}, lambda x: {_EXCEPTED})) > 0 THEN 'title_case_exception' END, CASE WHEN len(list_filter({_TITLE_TOKENS}, lambda x: {_IS_ROMAN} AND NOT {_EXCEPTED})) > 0 THEN 'title_case_roman' END,
