@@ -161,8 +161,11 @@ def read_tagged_text(spark: SparkSession, path: str, encoding: str = "mac_roman"
     their tag, and the reader splits files there; ``tagged_dialects`` tells which files have.
     ``ord`` grows along a file without being dense: where a split starts, and the row in its task.
     A task's rows are never more than its bytes and a file's full splits have tasks of their
-    own, so no split's rows reach the next one's start.
+    own, so no split's rows reach the next one's start.  ``spark.sql.files.maxPartitionNum``, which packs full
+    splits together, must be unset for that.
     """
+    if spark.conf.get("spark.sql.files.maxPartitionNum", None):
+        raise ValueError("spark.sql.files.maxPartitionNum must be unset: places in files count on it")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     lines = spark.read.option("lineSep", SHORT if short else LONG).text(path)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + row).alias("ord"), decoded_bytes(F.col("value"), encoding).alias("paragraph"))

@@ -66,6 +66,15 @@ def test_tagged_text_in_splits(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_packed_splits_are_refused(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionNum", "3")
+    try:
+        with pytest.raises(ValueError):
+            read_tagged_text(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
+
+
 def test_written_lines_are_mac_roman(spark, tmp_path):
     text = "a£…é" + bytes(range(128, 256)).decode("mac_roman") + "Ł日"
     df = spark.createDataFrame([(1, 1, text), (1, 0, "head")], "section_position int, position long, line string")
