@@ -185,3 +185,15 @@ def detail_tree(works: DataFrame, overrides: DataFrame, sections: DataFrame) ->
 def template_listing(templates: DataFrame, kind: str) -> DataFrame:
     """Templates of a kind that aren't archived, built-in ones first, then by name."""
     return templates.where((F.col("kind") == kind) & ~F.col("archived")).orderBy(F.desc("builtin"), "name").select("template_id", "name", "builtin")
+
+
+def template_export(templates: DataFrame) -> DataFrame:
+    """(template_id, file_name, json) of templates that aren't archived: the name as ``_name`` before the settings of ``config``, a JSON object.
+
+    Files are named after the slug, or the name where there is none.  A null or empty config has no settings.
+    """
+    quoted = F.regexp_replace(F.to_json(F.struct(F.col("name").alias("s"))), r'(?s)^\{"s":(.*)\}$', "$1")
+    inner = F.regexp_extract(F.trim(F.coalesce("config", F.lit(""))), r"(?s)^\{\s*(.*?)\s*\}$", 1)
+    body = F.concat(F.lit('{"_name":'), F.when(F.col("name").isNull(), "null").otherwise(quoted), F.when(inner != "", F.concat(F.lit(","), inner)).otherwise(""), F.lit("}"))
+    named = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return templates.where("not archived").select("template_id", F.concat(F.coalesce(T.blank_to_null(F.col("slug")), named), F.lit(".json")).alias("file_name"), body.alias("json"))

@@ -211,6 +211,13 @@ def template_listing(spark: SparkSession, sf: str) -> DataFrame:
     return report.template_listing(view(spark, sf, "templates"), "list")
 
 
+def template_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Templates as files of JSON, with the kind and whether they are built in as their settings."""
+    rows = view(spark, sf, "templates")
+    slug = F.when(F.col("template_id") % 2 == 0, F.concat(F.lit("t"), F.col("template_id").cast("string")))
+    return report.template_export(rows.select("template_id", "name", "archived", slug.alias("slug"), F.to_json(F.struct("kind", "builtin")).alias("config")))
+
+
 def warning_messages(spark: SparkSession, sf: str) -> DataFrame:
     return works.warning_messages(works.normalise_works(view(spark, sf, "works")))
 
@@ -323,7 +330,7 @@ _G = f"({', '.join(repr(g) for g in SCOPE)})"
 QUERIES = {f.__name__: f for f in (
     index_parsed, index_warnings, index_messages, index_changes, warnings_in_order, name_qualifications, index_resolved, index_listing, index_courtesy_groups, index_lines, index_lines_with_headings, index_letter, index_diff, index_reimport,
     index_reimport_counts, index_unmerged, merged_from_rows, list_stats, artist_counts, warnings_with_works, warning_summary, shown_warnings, warnings_with_artists, audit_joined, audit_newest,
-    audit_by_import, compare_buckets, orphaned_uploads, storage_stats, duplicate_uploads, work_changes, title_reasons, newest_settings, rule_export, template_listing, warning_messages, seed_actions, detail_tree, scoped_plan,
+    audit_by_import, compare_buckets, orphaned_uploads, storage_stats, duplicate_uploads, work_changes, title_reasons, newest_settings, rule_export, template_listing, template_export, warning_messages, seed_actions, detail_tree, scoped_plan,
     applied_reimport, restored_list, override_edits, include_toggles, effective_diff,
 )}
 
@@ -366,6 +373,8 @@ ORACLES = {
     "newest_settings": with_views("SELECT (ord % 9)::VARCHAR AS kind, arg_max(ord % 13, ord) AS threshold, max(ord) AS \"at\" FROM works WHERE ord % 13 <= 10 GROUP BY 1", "works"),
     "rule_export": with_views("""SELECT rule_id, '{"match_last_name":"' || match_last_name || '","match_first_name":"' || match_first_name || '","rule_id":' || rule_id || coalesce(',"resolved_first_name":"' || resolved_first_name || '"', '') || coalesce(',"resolved_last_name":"' || resolved_last_name || '"', '') || '}' AS json FROM index_rules""", "index_rules"),
     "template_listing": with_views("SELECT template_id, name, builtin FROM templates WHERE kind = 'list' AND NOT archived", "templates"),
+    "template_export": with_views("""SELECT template_id, CASE WHEN template_id % 2 = 0 THEN 't' || template_id ELSE trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') END || '.json' AS file_name,
+      '{"_name":"' || name || '","kind":"' || kind || '","builtin":' || builtin || '}' AS json FROM templates WHERE NOT archived""", "templates"),
     "warning_messages": with_views(rf"""{_WARN} SELECT work_id, type, CASE type WHEN 'unrecognised_price' THEN concat('The price ', chr(39), raw_price, chr(39), ' can', chr(39), 't be read') WHEN 'edition_anomaly' THEN concat('The edition ', chr(39), raw_edition, chr(39), ' can', chr(39), 't be read')
       WHEN 'missing_title' THEN 'The work has no title' WHEN 'missing_artist' THEN 'The work has no artist' WHEN 'missing_price' THEN 'The work has no price' WHEN 'zero_edition_suppressed' THEN concat('The edition ', chr(39), raw_edition, chr(39), ' is of none and left out')
       WHEN 'whitespace_trimmed' THEN 'White space trimmed from ' || concat_ws(', ', {", ".join(rf"CASE WHEN raw_{f} <> regexp_replace(raw_{f}, '^\s+|\s+$', '', 'g') THEN '{f}' END" for f in ("title", "artist", "medium"))})

@@ -1,5 +1,6 @@
 """Export, tagged text, reconcile, the artist index and re-imports on literal rows."""
 
+import json
 import random
 from dataclasses import replace
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.config import Component, IndexLayout, Layout, Reconcile
-from quire.operators import artists, export, match, ordering, reconcile, reimport, tags, works
+from quire.operators import artists, export, match, ordering, reconcile, reimport, report, tags, works
 from quire.plans.queries import QUERIES
 from quire.sources.files import header_report, read_workbooks
 from quire.sources.views import view
@@ -238,6 +239,12 @@ def test_snapshots(spark):
     assert [r.v for r in back.collect()] == ["b"] and before.first().template == "pre_restore" and before.first().row.v == "now"
 
 
+def test_template_export(spark):
+    rows = [(1, 'A "b" é!', False, None, '{"x": [1, {"y": null}]}'), (2, None, False, "s", None), (3, "gone", True, "g", "{}"), (4, "c", False, "", " { } ")]
+    got = {r.template_id: (r.file_name, json.loads(r.json)) for r in report.template_export(spark.createDataFrame(rows, "template_id int, name string, archived boolean, slug string, config string")).collect()}
+    assert got == {1: ("a-b.json", {"_name": 'A "b" é!', "x": [1, {"y": None}]}), 2: ("s.json", {"_name": None}), 4: ("c.json", {"_name": "c"})}
+
+
 def test_lines_without_sql(spark):
     """Queries that SQL can't express give rows whose parts agree with other queries."""
     wrapped, plain = QUERIES["export_wrapped"](spark, SF), QUERIES["export_tagged"](spark, SF)
