@@ -42,7 +42,7 @@ def apply_reimport(old: DataFrame, new: DataFrame, overrides: DataFrame, galleri
         known = fresh.where("section_position is not null").select("gallery", "section_position")
         added = fresh.where("section_position is null").withColumn("k", F.row_number().over(Window.orderBy("first")))
         places = known.union(added.select("gallery", (F.col("k") + last).cast("int")))
-    plan = match_plan(scoped_old, scoped_new).where("outcome in ('cat_no', 'fingerprint')").select("old_ord", "new_ord")
+    plan = match_plan(scoped_old, scoped_new).where("outcome in ('cat_no', 'fingerprint')").groupBy("new_ord").agg(F.max("old_ord").alias("old_ord"))  # of repeats in the old list, the last
     kept = scoped_old.select(F.col("ord").alias("old_ord"), F.col("include_in_export").alias("old_include"), "work_id").join(overrides.select("work_id", F.lit(True).alias("overridden")), "work_id", "left")
     paired = plan.join(kept, "old_ord")
     rows = scoped_new.select("ord", uncategorised, "include_in_export").join(paired, F.col("ord") == F.col("new_ord"), "left").join(places, "gallery")

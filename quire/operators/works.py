@@ -36,8 +36,8 @@ def with_title_case(normalised: DataFrame) -> DataFrame:
     return normalised.withColumn("title_cased", title_case("title"))
 
 
-def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
-    """(work_id, type): one row for each warning of each normalised work."""
+def _warning_cases(settings: Catalogue) -> dict[str, Column]:
+    """When a normalised work has each type of warning."""
     c, limit = F.col, settings.normalisation.edition_suppress_max
     raw_edition, edition = T.blank_to_null(T.strip(c("raw_edition"))), T.edition(c("raw_edition"), -1)
     stated = edition["total"]
@@ -48,7 +48,7 @@ def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFr
     in_title = lambda test: F.coalesce(F.exists(T.title_tokens(c("title")), test), F.lit(False))
     odd_space = lambda raw: raw != T.strip(raw)
     foreign = lambda x: F.coalesce(x.rlike(r"[^\x00-\x7F]"), F.lit(False))
-    cases: dict[str, Column] = {
+    return {
         "whitespace_trimmed": F.coalesce(odd_space(c("raw_title")), F.lit(False)) | F.coalesce(odd_space(c("raw_artist")), F.lit(False)) | F.coalesce(odd_space(c("raw_medium")), F.lit(False)),
         "missing_title": F.coalesce(c("title") == "", F.lit(True)),
         "missing_artist": F.coalesce(c("artist_name") == "", F.lit(True)),
@@ -62,12 +62,10 @@ def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFr
         "title_case_roman": in_title(lambda w: T.looks_roman(w) & ~excepted(w)),
         "title_case_exception": in_title(excepted),
     }
-    found = F.filter(F.array(*(F.when(case, F.lit(name)) for name, case in cases.items())), lambda x: x.isNotNull())
-    return normalised.select("work_id", F.explode(found).alias("type"))
 
 
-def warning_messages(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
-    """(work_id, type, message): the warnings, each with a sentence that has the texts it is about."""
+def _warning_texts() -> dict[str, Column]:
+    """The sentence of each type of warning, with the texts it is about."""
     c = lambda x: F.concat(F.lit("'"), F.coalesce(F.col(x).cast("string"), F.lit("")), F.lit("'"))
     said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
@@ -78,27 +76,43 @@ def warning_messages(normalised: DataFrame, settings: Catalogue = Catalogue()) -
         return F.concat_ws("; ", *(F.when(F.size(odd(f)) > 0, F.concat(F.lit(f"{f}: "), F.array_join(F.transform(odd(f), code), ", "))) for f in ("title", "artist_name", "artist_honorifics", "medium")))
 
     trimmed = F.concat_ws(", ", *(F.when(F.col(f"raw_{f}") != T.strip(F.col(f"raw_{f}")), F.lit(f)) for f in ("title", "artist", "medium")))
-    texts = {
+    return {
         "whitespace_trimmed": said("White space trimmed from ", trimmed), "missing_title": F.lit("The work has no title"), "missing_artist": F.lit("The work has no artist"), "missing_price": F.lit("The work has no price"),
         "unrecognised_price": said("The price ", c("raw_price"), " can't be read"), "edition_anomaly": said("The edition ", c("raw_edition"), " can't be read"), "zero_edition_suppressed": said("The edition ", c("raw_edition"), " is of none and left out"),
         "edition_suppressed_no_price": said("The edition ", c("raw_edition"), " is left out, and with it the only price"), "edition_suppressed": said("The edition ", c("raw_edition"), " is left out"),
         "non_ascii_characters": said("Characters beyond ASCII in ", characters()), "title_case_roman": said("Roman numerals in ", c("title"), " keep their case"), "title_case_exception": said("Exceptions in ", c("title"), " keep their case"),
     }
-    found = warnings(normalised, settings).select(F.col("work_id").alias("_work"), "type")
-    joined = found.join(normalised, F.col("_work") == F.col("work_id"))
-    message = F.lit(None).cast("string")
-    for name, text in texts.items():
-        message = F.when(F.col("type") == name, text).otherwise(message)
-    return joined.select("work_id", "type", message.alias("message"))
 
 
-def effective_works(normalised: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Each work with its overrides applied; a price text that isn't empty displaces the numeric price."""
+def found_warnings(settings: Catalogue = Catalogue()) -> Column:
+    """All warnings of a normalised work as an array of (type, message)."""
+    texts = _warning_texts()
+    found = (F.when(case, F.struct(F.lit(name).alias("type"), texts[name].alias("message"))) for name, case in _warning_cases(settings).items())
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
+    """(work_id, type): one row for each warning of each normalised work."""
+    found = F.filter(F.array(*(F.when(case, F.lit(name)) for name, case in _warning_cases(settings).items())), lambda x: x.isNotNull())
+    return normalised.select("work_id", F.explode(found).alias("type"))
+
+
+def warning_messages(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
+    """(work_id, type, message): the warnings, each with a sentence that has the texts it is about."""
+    return normalised.select("work_id", F.inline(found_warnings(settings)))
+
+
+def with_overrides(joined: DataFrame) -> DataFrame:
+    """Normalised works beside their ``*_override`` columns, with the fields these override; a price text that isn't empty displaces the numeric price."""
     fields = ("title", "title_cased", "artist_name", "artist_honorifics", "price_text", "edition_total", "edition_price", "artwork", "medium")
-    joined = normalised.join(overrides, "work_id", "left")
     numeric = F.when(F.coalesce(F.col("price_text_override") != "", F.lit(False)), F.lit(None)).otherwise(F.coalesce("price_numeric_override", "price_numeric"))
-    resolved = {f: F.coalesce(f"{f}_override", f) for f in fields if f"{f}_override" in overrides.columns and f in normalised.columns}
-    return joined.withColumns(resolved | {"price_numeric": numeric.cast("decimal(12,2)")}).select(*normalised.columns)
+    resolved = {f: F.coalesce(f"{f}_override", f) for f in fields if f"{f}_override" in joined.columns and f in joined.columns}
+    return joined.withColumns(resolved | {"price_numeric": numeric.cast("decimal(12,2)")})
+
+
+def effective_works(normalised: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Each work with its overrides applied."""
+    return with_overrides(normalised.join(overrides, "work_id", "left")).select(*normalised.columns)
 
 
 def export_rows(works: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import unicode as N
 from ..operators import artists, compare, index, match, tags, works
 from ..sources.views import view
 from ..streaming import audit
-from . import exports, oracles, reports, stores
+from . import exports, lists, oracles, reports, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -199,6 +199,6 @@ QUERIES: dict[str, Query] = {
         name_comparison, effective_artists, index_names, artist_flags, merged_artists, merged_index_warnings, merged_number_chunks, letter_groups, linked_entries, tag_round_trip, audit_latest,
         audit_windows, artist_sort_keys, document_sort_keys, sort_keys, title_cased, mac_roman_titles,
     )
-} | exports.QUERIES | reports.QUERIES | stores.QUERIES
+} | exports.QUERIES | reports.QUERIES | stores.QUERIES | lists.QUERIES
 
-ORACLES = oracles.ORACLES | exports.ORACLES | reports.ORACLES | stores.ORACLES
+ORACLES = oracles.ORACLES | exports.ORACLES | reports.ORACLES | stores.ORACLES | lists.ORACLES

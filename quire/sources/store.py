@@ -8,6 +8,9 @@ entry and nothing else.  Frames of the entry that were read before are to be rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,10 +44,14 @@ class Log:
         for name, own in (("data", self.schema), ("manifest", self.manifest)):
             spark.createDataFrame([], own).write.mode("ignore").parquet(f"{self.path}/{name}/{'/'.join(f'{k}=' + '__HIVE_DEFAULT_PARTITION__' for k in (self.parts if name == 'data' else ('entry',)))}")
 
-    def append(self, rows: DataFrame, entry: str, **values) -> None:
-        """Adds an entry; one that is there is replaced."""
+    def append(self, rows: DataFrame, entry: str, after: Callable[[DataFrame], dict] | None = None, **values) -> None:
+        """Adds an entry; one that is there is replaced.  ``after`` gives more values, of the rows as they were written."""
+        own = {k: entry if k == "entry" else values[k] for k in self.parts}
+        _write(rows.withColumns({k: F.lit(v) for k, v in own.items()}).select(*self.schema.names), f"{self.path}/data", *self.parts)
+        if after is not None:
+            written = self.spark.read.schema(self.schema).parquet(f"{self.path}/data")
+            values |= after(reduce(lambda df, k: df.where(F.col(k).eqNullSafe(F.lit(own[k]))), self.parts, written))
         row = self.spark.createDataFrame([tuple({**values, "entry": entry}[f.name] for f in self.manifest)], self.manifest)
-        _write(rows.withColumns({k: F.lit(entry if k == "entry" else values[k]) for k in self.parts}).select(*self.schema.names), f"{self.path}/data", *self.parts)
         _write(row, f"{self.path}/manifest", "entry")
 
     def entries(self) -> DataFrame:
