@@ -118,6 +118,36 @@ def override_edits(before: DataFrame, after: DataFrame, key: str = "work_id") ->
     return both.select(key, action.alias("action"), F.explode(F.filter(F.array(*moved), lambda x: x.isNotNull())).alias("e")).select(key, "action", "e.*")
 
 
+def edit_audit(before: DataFrame, after: DataFrame, key: str = "row_number") -> DataFrame:
+    """(key, action, field, old_value, new_value): the audit rows of edits of index overrides.
+
+    A row that is new or moved gives "override_set" for each field that isn't as before, one that is gone a
+    single "override_deleted" without a field.  Booleans are written True and False.
+    """
+    fields = [c for c in after.columns if c != key and c in before.columns]
+    kinds = dict(after.dtypes)
+    text = lambda side, f: F.initcap(F.col(f"{side}.{f}").cast("string")) if kinds[f] == "boolean" else F.col(f"{side}.{f}").cast("string")
+    row = lambda action, field, old, new: F.struct(F.lit(action).alias("action"), F.lit(field).cast("string").alias("field"), old.alias("old_value"), new.alias("new_value"))
+    both = before.select(key, F.struct(F.lit(True).alias("there"), *fields).alias("a")).join(after.select(key, F.struct(F.lit(True).alias("there"), *fields).alias("b")), key, "full")
+    moved = F.filter(F.array(*(F.when(~text("a", f).eqNullSafe(text("b", f)), row("override_set", f, text("a", f), text("b", f))) for f in fields)), lambda x: x.isNotNull())
+    none = F.lit(None).cast("string")
+    return both.select(key, F.inline(F.when(F.col("b").isNull(), F.array(row("override_deleted", None, none, none))).otherwise(moved)))
+
+
+def toggle_audit(artists: DataFrame, edits: DataFrame, toggles: DataFrame, key: str = "row_number") -> DataFrame:
+    """(key, action, field, old_value, new_value) of the toggles (key, exclude, is_company) that change something; null asks for nothing.
+
+    Whether an artist is a company is so far what its edit says, or else what its row does.
+    """
+    now = artists.select(key, F.coalesce("include_in_export", F.lit(False)).alias("_shown"), F.coalesce("is_company", F.lit(False)).alias("_auto")).join(edits.select(key, F.col("is_company_override").alias("_edit")), key, "left")
+    asked = now.join(toggles.select(key, "exclude", F.col("is_company").alias("_company")), key).withColumn("_is", F.coalesce("_edit", "_auto"))
+    said = lambda c: F.initcap(c.cast("string"))
+    row = lambda test, action, field, old, new: F.when(test, F.struct(action.alias("action"), F.lit(field).alias("field"), said(old).alias("old_value"), said(new).alias("new_value")))
+    shown = row(F.col("exclude") == F.col("_shown"), F.when(F.col("exclude"), "index_artist_excluded").otherwise("index_artist_included"), "include_in_export", F.col("_shown"), ~F.col("exclude"))
+    company = row(F.col("_company") != F.col("_is"), F.when(F.col("_company"), "index_artist_company_set").otherwise("index_artist_company_unset"), "is_company_override", F.col("_is"), F.col("_company"))
+    return asked.select(key, F.inline(F.filter(F.array(shown, company), lambda x: x.isNotNull())))
+
+
 def include_toggles(before: DataFrame, after: DataFrame) -> DataFrame:
     """(work_id, action): works that were put in or left out."""
     both = before.select("work_id", F.col("include_in_export").alias("old")).join(after.select("work_id", F.col("include_in_export").alias("new")), "work_id").where("old <> new")

@@ -197,3 +197,15 @@ def template_export(templates: DataFrame) -> DataFrame:
     body = F.concat(F.lit('{"_name":'), F.when(F.col("name").isNull(), "null").otherwise(quoted), F.when(inner != "", F.concat(F.lit(","), inner)).otherwise(""), F.lit("}"))
     named = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return templates.where("not archived").select("template_id", F.concat(F.coalesce(T.blank_to_null(F.col("slug")), named), F.lit(".json")).alias("file_name"), body.alias("json"))
+
+
+def template_import(files: DataFrame) -> DataFrame:
+    """(slug, name, config) of files of JSON (path, value): ``_name`` is the name, all other settings the config, as they are written.
+
+    The slug is the file's name without its ending.  A file without a name takes its slug; one that isn't an object has no config.
+    """
+    slug = F.regexp_extract("path", r"([^/\\]*?)(?:\.json)?$", 1)
+    held = F.try_variant_get(F.try_parse_json("value"), "$._name", "string")
+    rest = F.regexp_replace(F.trim("value"), r'(?s)^\{\s*"_name"\s*:\s*(?:null|"(?:[^"\\]|\\.)*")\s*,?\s*', "{")
+    config = F.when(F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"(?s)^\s*\{"), F.regexp_replace(rest, r"\s+$", ""))
+    return files.select(slug.alias("slug"), F.coalesce(held, slug).alias("name"), config.alias("config"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import QUALIFICATION_TOKENS, TITLE_CASE_EXCEPTIONS, IndexLayout
 from ..functions import text as T
 from ..operators import artists, compare, match, reimport, report, works
+from ..sources.files import scratch_path
 from ..sources.views import view, with_views
 from .oracles import _ENTRIES, _MATCH, _WARN, _normal
 
@@ -218,6 +219,14 @@ def template_export(spark: SparkSession, sf: str) -> DataFrame:
     return report.template_export(rows.select("template_id", "name", "archived", slug.alias("slug"), F.to_json(F.struct("kind", "builtin")).alias("config")))
 
 
+def templates_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Templates after their files of JSON were written and read again."""
+    path = scratch_path(spark, "templates")
+    template_export(spark, sf).select("json", F.regexp_replace("file_name", r"\.json$", "").alias("slug")).write.partitionBy("slug").text(path)
+    files = spark.read.text(path, wholetext=True).select(F.concat("slug", F.lit(".json")).alias("path"), "value")
+    return report.template_import(files)
+
+
 def warning_messages(spark: SparkSession, sf: str) -> DataFrame:
     return works.warning_messages(works.normalise_works(view(spark, sf, "works")))
 
@@ -258,6 +267,23 @@ def override_edits(spark: SparkSession, sf: str) -> DataFrame:
     return reimport.override_edits(view(spark, sf, "overrides").select(*columns), view(spark, sf, "overrides_new").select(*columns))
 
 
+def _later_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """Index edits of which some are gone, some moved and some are new."""
+    edits, n = view(spark, sf, "index_edits"), F.col("row_number")
+    kept = edits.where(n % 3 != 0).withColumn("quals_override", F.when(n % 4 == 0, "OM").otherwise(F.col("quals_override"))).withColumn("is_company_override", F.when(n % 7 == 0, False).otherwise(F.col("is_company_override")))
+    return kept.union(edits.where(n % 15 == 0).withColumn("row_number", n + 1_000_000))
+
+
+def index_edit_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return reimport.edit_audit(view(spark, sf, "index_edits"), _later_edits(spark, sf))
+
+
+def index_toggle_audit(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("row_number")
+    toggles = view(spark, sf, "index_source").select("row_number", F.when(n % 2 == 0, n % 4 == 0).alias("exclude"), F.when(n % 5 < 2, n % 3 == 0).alias("is_company"))
+    return reimport.toggle_audit(_parsed(spark, sf), view(spark, sf, "index_edits"), toggles)
+
+
 def include_toggles(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("work_id")
     return reimport.include_toggles(view(spark, sf, "works"), view(spark, sf, "works").withColumn("include_in_export", (n % 17 != 0) & (n % 9 != 0)))
@@ -324,6 +350,8 @@ _N = _normal("works", "n")
 _REASONS = rf"""CASE WHEN coalesce(raw_title <> trim(raw_title), false) THEN 'title trimmed' END, CASE WHEN trim(raw_title) IS DISTINCT FROM title THEN 'title substituted' END, CASE WHEN coalesce(raw_artist <> trim(raw_artist), false) THEN 'artist trimmed' END,
   CASE WHEN artist_honorifics IS NOT NULL THEN 'honorifics extracted' END, CASE WHEN coalesce(raw_medium <> trim(raw_medium), false) THEN 'medium trimmed' END, CASE WHEN coalesce(regexp_matches(raw_edition, '^Edition of [0-9]'), false) AND edition_total IS NULL THEN 'edition suppressed' END"""
 _EDITS = ("title", "artist_name", "artist_honorifics", "price_text", "medium")
+_INDEX_EDITS = ("first_name_override", "quals_override", "is_company_override", "artist2_shared_surname_override", "company_override")
+_SAID = lambda c: f"CASE {c}::VARCHAR WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE {c}::VARCHAR END"
 _SCOPED = _MATCH.replace("FROM works)", f"FROM works WHERE gallery IN ({', '.join(repr(g) for g in SCOPE)}))").replace("FROM works_new)", f"FROM works_new WHERE gallery IN ({', '.join(repr(g) for g in SCOPE)}))")
 _G = f"({', '.join(repr(g) for g in SCOPE)})"
 
@@ -331,7 +359,7 @@ QUERIES = {f.__name__: f for f in (
     index_parsed, index_warnings, index_messages, index_changes, warnings_in_order, name_qualifications, index_resolved, index_listing, index_courtesy_groups, index_lines, index_lines_with_headings, index_letter, index_diff, index_reimport,
     index_reimport_counts, index_unmerged, merged_from_rows, list_stats, artist_counts, warnings_with_works, warning_summary, shown_warnings, warnings_with_artists, audit_joined, audit_newest,
     audit_by_import, compare_buckets, orphaned_uploads, storage_stats, duplicate_uploads, work_changes, title_reasons, newest_settings, rule_export, template_listing, template_export, warning_messages, seed_actions, detail_tree, scoped_plan,
-    applied_reimport, restored_list, override_edits, include_toggles, effective_diff,
+    applied_reimport, restored_list, override_edits, include_toggles, effective_diff, index_edit_audit, index_toggle_audit, templates_read_back,
 )}
 
 _SECTION = "SELECT gallery, row_number() OVER (ORDER BY min(ord))::INT AS section_position FROM works GROUP BY gallery"
@@ -389,5 +417,12 @@ ORACLES = {
       UNION ALL SELECT ord, w.gallery, section_position, 'kept', o.work_id, include_in_export, row_number() OVER (PARTITION BY w.gallery ORDER BY ord) FROM works w JOIN s ON s.gallery = w.gallery LEFT JOIN overrides o ON o.work_id = w.work_id WHERE w.gallery NOT IN {_G}""", "works", "works_new", "overrides"),
     "restored_list": with_views("SELECT work_id, raw_title FROM works WHERE work_id % 3 = 0", "works"),
     "override_edits": with_views(" UNION ALL ".join(f"SELECT coalesce(a.work_id, b.work_id) AS work_id, CASE WHEN b.work_id IS NULL THEN 'override_deleted' ELSE 'override_set' END AS action, '{f}_override' AS field, a.{f}_override AS old_value, b.{f}_override AS new_value FROM overrides a FULL JOIN overrides_new b ON a.work_id = b.work_id WHERE a.{f}_override IS DISTINCT FROM b.{f}_override" for f in _EDITS), "overrides", "overrides_new"),
+    "index_edit_audit": with_views(f"""WITH b AS (SELECT * REPLACE (CASE WHEN row_number % 4 = 0 THEN 'OM' ELSE quals_override END AS quals_override, CASE WHEN row_number % 7 = 0 THEN false ELSE is_company_override END AS is_company_override) FROM index_edits WHERE row_number % 3 <> 0
+      UNION ALL SELECT * REPLACE (row_number + 1000000 AS row_number) FROM index_edits WHERE row_number % 15 = 0) SELECT row_number, 'override_deleted' AS action, NULL::VARCHAR AS field, NULL::VARCHAR AS old_value, NULL::VARCHAR AS new_value FROM index_edits WHERE row_number % 3 = 0 UNION ALL
+      {" UNION ALL ".join(f"SELECT b.row_number, 'override_set', '{f}', {_SAID(f'a.{f}')}, {_SAID(f'b.{f}')} FROM b LEFT JOIN index_edits a ON a.row_number = b.row_number WHERE a.{f} IS DISTINCT FROM b.{f}" for f in _INDEX_EDITS)}""", "index_edits"),
+    "index_toggle_audit": with_views(f"""WITH {_PARSED}, asked AS (SELECT p.row_number, include_in_export AS shown, coalesce(is_company_override, is_company) AS company, p.row_number % 4 = 0 AS exclude, p.row_number % 3 = 0 AS wanted FROM parsed p LEFT JOIN index_edits e ON e.row_number = p.row_number)
+      SELECT row_number, CASE WHEN exclude THEN 'index_artist_excluded' ELSE 'index_artist_included' END AS action, 'include_in_export' AS field, {_SAID("shown")} AS old_value, {_SAID("NOT exclude")} AS new_value FROM asked WHERE row_number % 2 = 0 AND exclude = shown
+      UNION ALL SELECT row_number, CASE WHEN wanted THEN 'index_artist_company_set' ELSE 'index_artist_company_unset' END, 'is_company_override', {_SAID("company")}, {_SAID("wanted")} FROM asked WHERE row_number % 5 < 2 AND wanted <> company""", "index_source", "index_edits"),
+    "templates_read_back": with_views("""SELECT CASE WHEN template_id % 2 = 0 THEN 't' || template_id ELSE trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') END AS slug, name, '{"kind":"' || kind || '","builtin":' || builtin || '}' AS config FROM templates WHERE NOT archived""", "templates"),
     "include_toggles": with_views("SELECT work_id, 'excluded' AS action FROM works WHERE include_in_export AND work_id % 9 = 0", "works"),
 }

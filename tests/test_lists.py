@@ -128,3 +128,31 @@ def test_the_plan_is_made_once(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert texts[0].count("ArrowEvalPython") == texts[1].count("ArrowEvalPython") > 0
     assert "CartesianProduct" not in texts[0] and "BroadcastNestedLoopJoin" not in texts[0]
+
+
+def test_audit_of_index_edits(spark):
+    from quire.operators.reimport import edit_audit, toggle_audit
+
+    schema = "row_number long, first_name_override string, is_company_override boolean"
+    before = spark.createDataFrame([(1, "a", None), (2, "b", True), (3, "c", True), (4, None, None)], schema)
+    after = spark.createDataFrame([(1, "a", None), (2, "", None), (5, "n", False), (6, None, None)], schema)
+    assert sorted(map(tuple, edit_audit(before, after).collect()), key=str) == [
+        (2, "override_set", "first_name_override", "b", ""), (2, "override_set", "is_company_override", "True", None), (3, "override_deleted", None, None, None), (4, "override_deleted", None, None, None),
+        (5, "override_set", "first_name_override", None, "n"), (5, "override_set", "is_company_override", None, "False"),
+    ]
+    artists = spark.createDataFrame([(1, True, False), (2, True, True), (3, None, None)], "row_number long, include_in_export boolean, is_company boolean")
+    toggles = spark.createDataFrame([(1, True, True), (2, False, False), (3, False, True), (4, True, True)], "row_number long, exclude boolean, is_company boolean")
+    got = sorted(map(tuple, toggle_audit(artists, before, toggles).collect()), key=str)
+    assert got == [
+        (1, "index_artist_company_set", "is_company_override", "False", "True"), (1, "index_artist_excluded", "include_in_export", "True", "False"),
+        (2, "index_artist_company_unset", "is_company_override", "True", "False"), (3, "index_artist_included", "include_in_export", "False", "True"),
+    ]
+    assert edit_audit(before.limit(0), after.limit(0)).count() == 0 == toggle_audit(artists, before, toggles.limit(0)).count()
+
+
+def test_templates_from_files(spark):
+    from quire.operators.report import template_import
+
+    rows = [("a/t1.json", '{"_name": "Li\\"st", "x": {"_name": 1}, "y": [1, 2]}\n'), ("b.json", '{"_name":null}'), ("c", '{ "z": null }'), ("d.json", "not JSON"), ("e.json", ""), ("f.json", None)]
+    got = [tuple(r) for r in template_import(spark.createDataFrame(rows, "path string, value string")).orderBy("slug").collect()]
+    assert got == [("b", "b", "{}"), ("c", "c", '{ "z": null }'), ("d", "d", None), ("e", "e", None), ("f", "f", None), ("t1", 'Li"st', '{"x": {"_name": 1}, "y": [1, 2]}')]
