@@ -351,7 +351,7 @@ _REASONS = rf"""CASE WHEN coalesce(raw_title <> trim(raw_title), false) THEN 'ti
   CASE WHEN artist_honorifics IS NOT NULL THEN 'honorifics extracted' END, CASE WHEN coalesce(raw_medium <> trim(raw_medium), false) THEN 'medium trimmed' END, CASE WHEN coalesce(regexp_matches(raw_edition, '^Edition of [0-9]'), false) AND edition_total IS NULL THEN 'edition suppressed' END"""
 _EDITS = ("title", "artist_name", "artist_honorifics", "price_text", "medium")
 _INDEX_EDITS = ("first_name_override", "quals_override", "is_company_override", "artist2_shared_surname_override", "company_override")
-_SAID = lambda c: f"CASE {c}::VARCHAR WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE {c}::VARCHAR END"
+_SAID = lambda c: f"CASE ({c})::VARCHAR WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE ({c})::VARCHAR END"
 _SCOPED = _MATCH.replace("FROM works)", f"FROM works WHERE gallery IN ({', '.join(repr(g) for g in SCOPE)}))").replace("FROM works_new)", f"FROM works_new WHERE gallery IN ({', '.join(repr(g) for g in SCOPE)}))")
 _G = f"({', '.join(repr(g) for g in SCOPE)})"
 
