@@ -158,4 +158,11 @@ SELECT n.conv_id, n.d::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs::
 FROM n JOIN x ON x.k = n.k JOIN u ON u.k = n.k LEFT JOIN n q ON n.d > 0 AND q.k = substr(n.k, 1, 40 * (n.d - 1))
 """
 
-ORACLES = {"op13_prefix_trie": OP13, "op11_filter_audit": OP11, "op7_html_text": OP7, "op1_epsilon_grid": OP1, "op9_warc_dictionary": OP9, "op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}
+#: Of the media query, what doesn't depend on the stream's format.
+PAYLOADS = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT *, octet_length(encode(text)) AS n FROM d),
+p AS (SELECT *, greatest(192, (n + 191) // 192 * 192) AS size FROM n)
+SELECT doc_id, n::BIGINT AS n_bytes, size::BIGINT AS payload_bytes, sha256(text || repeat(' ', (size - n)::INT)) AS payload_sha256 FROM p
+"""
+
+ORACLES = {"media_payloads": PAYLOADS, "op13_prefix_trie": OP13, "op11_filter_audit": OP11, "op7_html_text": OP7, "op1_epsilon_grid": OP1, "op9_warc_dictionary": OP9, "op5_substring_dedup": OP5, "op6_minhash_dedup": OP6, "op10_suffix_dedup": OP10}

@@ -57,6 +57,11 @@ def op8_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored).withColumnRenamed("id", "doc_id")
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express: what was stored, and the digest of what was read back."""
+    return op8_transport_stream(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
 def op9_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -77,4 +82,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op2_sentencepiece_sampling, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, op9_warc_dictionary, op10_suffix_dedup, op11_filter_audit, op12_byte_pairs, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_epsilon_grid, op2_sentencepiece_sampling, op3_entropy_mixing, op4_quality_classifier, op5_substring_dedup, op6_minhash_dedup, op7_html_text, op8_transport_stream, media_payloads, op9_warc_dictionary, op10_suffix_dedup, op11_filter_audit, op12_byte_pairs, op13_prefix_trie)}

@@ -221,3 +221,22 @@ def test_wide_windows(spark):
     assert got == {i: len(g) for i, g in enumerate(gone)} and got[0] == 7200
     with pytest.raises(ValueError):
         remove_repeated_bytes(frame(spark, list(enumerate(texts))), width=70_000)
+
+
+@pytest.mark.parametrize("union", [4, 5, 8, 13, 20, 60, 200, 400])
+def test_recall_of_bands(union):
+    """Pairs of sets right at the threshold share one of 64 bands of 6, whatever the size of the sets."""
+    from quire.llm.sketches import band_keys, one_permutation
+
+    random, pairs = np.random.default_rng(union), 2000
+    shared = -(-3 * union // 4)
+    keys = random.integers(0, 2**64, (pairs, union), dtype=np.uint64)
+    alone = random.integers(0, union - shared + 1, pairs)  # of the rest, those that are only the first set's
+
+    def bands(sets):
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        return band_keys(one_permutation(np.concatenate([np.sort(x) for x in sets]), at, 64 * 6), 6)
+
+    one = bands([keys[i, : shared + alone[i]] for i in range(pairs)])
+    two = bands([np.concatenate([keys[i, :shared], keys[i, shared + alone[i] :]]) for i in range(pairs)])
+    assert (one == two).any(1).mean() >= 0.999

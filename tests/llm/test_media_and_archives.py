@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import zlib
 
 import pytest
 import zstandard
@@ -52,6 +53,65 @@ def test_media_column(spark):
     assert media_features(spark.createDataFrame([(1, 0, None)], "id long, n_bytes long, media binary")).first().payload_bytes == 0
 
 
+def walked(stream):
+    """Payload, times, access times and packets of the elementary stream, packet by packet as the standard has it."""
+    payload, times, access, packets, counter = b"", [], [], 0, {}
+    for at in range(0, len(stream), 188):
+        packet = stream[at : at + 188]
+        assert packet[0] == 0x47 and len(packet) == 188
+        pid, control, packets = (packet[1] & 31) * 256 + packet[2], packet[3] >> 4 & 3, packets + 1
+        assert control & 1 and packet[3] & 15 == counter.get(pid, 0)
+        counter[pid] = (packet[3] + 1) & 15
+        if pid != 0x100:
+            continue
+        body, entry = packet[4:], False
+        if control & 2:
+            entry, body = bool(body[0] and body[1] & 0x40), body[1 + body[0] :]
+        if packet[1] & 0x40:
+            assert body[:3] == b"\0\0\1" and body[7] >> 6 == 2
+            p = body[9:14]
+            times.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
+            access += times[-1:] if entry else []
+            body = body[9 + body[8] :]
+        payload += body
+    return payload, times, access, packets
+
+
+def test_media_query(spark, tmp_path):
+    """Every column of op8 against a walk over the stored bytes, and times and access points against their rule."""
+    from quire.llm.queries import op8_transport_stream, table
+
+    known = table(spark, "/root/testdata/sf0.001", "documents")
+    long_one = known.where("doc_id = 0").selectExpr("cast(-1 as bigint) as doc_id", "repeat(text, cast(200000 / length(text) as int) + 1) as text")  # none of the table's has more than one access point
+    known.select("doc_id", "text").union(long_one).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    media = {r.id: bytes(r.media) for r in text_to_media(docs).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.select("doc_id", "text").collect()}
+    got = op8_transport_stream(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) == len(media) and any(len(r.random_access) > 1 for r in got)
+    for r in got:
+        data, stored = texts[r.doc_id], media[r.doc_id]
+        padded = data.ljust(max(192, -(-len(data) // 192) * 192), b" ")
+        payload, times, access, packets = walked(stored)
+        units = -(-len(padded) // UNIT)
+        assert payload == padded and times == [k * 3600 for k in range(units)] == r.times and access == times[::8] == r.random_access
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == f"streams=256:6;packets={packets};bad_sync=0;continuity_errors=0;units={units};pts=0-{times[-1]};random_access={len(access)}"
+
+
+def test_payloads_in_sql(spark):
+    import duckdb
+
+    from quire.llm.oracles import ORACLES
+    from quire.llm.queries import QUERIES
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    wanted = sorted(con.execute(f"SELECT doc_id, n_bytes, payload_bytes, payload_sha256 FROM ({ORACLES['media_payloads']})").fetchall())
+    assert sorted(map(tuple, QUERIES["media_payloads"](spark, "/root/testdata/sf0.001").collect())) == wanted
+
+
 def test_archive_format():
     records = [record(i, f"http://a.example/{i}\r\nX: y", (f"<p>page {i} " + "common text " * 50).encode(), 0, hashlib.sha1(b"").digest(), None) for i in range(300)]
     packed = pack(records)
