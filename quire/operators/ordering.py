@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +17,13 @@ def numbered(rows: DataFrame, keys: list[str], name: str = "rank", order: str =
     Rows are sorted in stretches of ``order`` and the places of a stretch start behind the
     rows of those before, so a group that holds much of the table isn't one task's.
     """
-    placed = rows.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
-    within = placed.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy(order)))
-    counts = placed.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_stretch"])), F.coalesce(before, F.lit(0)).alias("_start"))
-    same = reduce(lambda a, b: a & b, (within[k].eqNullSafe(starts[f"_k{i}"]) for i, k in enumerate([*keys, "_stretch"])))
-    return within.join(starts, same).select(*rows.columns, (F.col("_place") + F.col("_start")).alias(name))
+    at = F.floor(F.col(order) / STRETCH)
+    placed = rows.withColumn("_g", F.struct(F.struct(*keys).alias("k"), at.alias("at")))  # structs are equal where their nulls are
+    within = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_g").orderBy(order)))
+    counts = placed.groupBy("_g").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g.k").orderBy("_g.at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("_g").alias("_s"), F.coalesce(before, F.lit(0)).alias("_start"))
+    return within.join(starts, F.col("_g") == F.col("_s")).select(*rows.columns, (F.col("_place") + F.col("_start")).alias(name))
 
 
 def _before(ends: DataFrame, bits: int) -> DataFrame:
