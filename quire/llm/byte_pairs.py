@@ -34,6 +34,8 @@ from .shared import bound_batches
 
 #: Matches that a stretch has, that a worker keeps, and characters of the longest one it keeps.
 STRETCH, STORE, STORED_LENGTH = 65_536, 1_000_000, 64
+#: Longest match, in bytes, whose pairs are looked through one by one.
+SHORT = 48
 _NONE = 1 << 62
 
 
@@ -100,6 +102,22 @@ class Splitter:
 _splitter = functools.lru_cache(2)(Splitter)
 
 
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As ``merge``, by looking through all pairs for the least, which is quicker while they are few."""
+    find, n = ranks.get, len(piece)
+    parts = [piece[i : i + 1] for i in range(n)]
+    pairs = [find(piece[i : i + 2], _NONE) for i in range(n - 1)]
+    while pairs and (top := min(pairs)) != _NONE:
+        i = pairs.index(top)
+        del pairs[i]
+        parts[i] = own = parts[i] + parts.pop(i + 1)
+        if i < len(pairs):
+            pairs[i] = find(own + parts[i + 1], _NONE)
+        if i:
+            pairs[i - 1] = find(parts[i - 1] + own, _NONE)
+    return [ranks[part] for part in parts]
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one match."""
     find = ranks.get
@@ -107,6 +125,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
+    if n <= SHORT:
+        return _merge_short(piece, ranks)
     bits = n.bit_length()
     low, size = (1 << bits) - 1, 1 << (n - 2).bit_length()
     tree = [0] * size + [_NONE if (rank := find(piece[i : i + 2])) is None else rank << bits | i for i in range(n - 1)] + [_NONE] * (size - n + 1)

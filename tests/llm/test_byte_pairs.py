@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import tiktoken
 
+from quire.llm import byte_pairs
 from quire.llm.byte_pairs import Encoder, decode_tokens, default_pattern, default_ranks, encode_texts, merge
 
 SCHEMA = "doc_id long, text string, id string, n_tokens int, ids string"
@@ -80,3 +81,12 @@ def test_frames(spark, library):
     assert encode_texts(docs.limit(0)).count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [255])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in decode_tokens(odd).collect()} == {1: None, 2: "", 3: library.decode([255])}
+
+
+def test_short_matches_merge_as_long_ones(monkeypatch, content):
+    """Both ways to find the least pair give the same ids, also where equal pairs overlap."""
+    rng, ranks = random.Random(12), byte_pairs._ranks(content)
+    pieces = [bytes(rng.choice(b"aab e\xc3\xa9") for _ in range(n)) for n in range(2, 90) for _ in range(4)] + [b"a" * n for n in range(2, 90)]
+    short = [byte_pairs._merge_short(p, ranks) if p not in ranks else [ranks[p]] for p in pieces]
+    monkeypatch.setattr(byte_pairs, "SHORT", 0)
+    assert short == [byte_pairs.merge(p, ranks) for p in pieces]
