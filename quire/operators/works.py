@@ -31,6 +31,14 @@ def normalise_works(works: DataFrame, settings: Catalogue = Catalogue()) -> Data
     ).drop("_a", "_p", "_e")
 
 
+def spread(works: DataFrame, key: str = "work_id") -> DataFrame:
+    """Rows over tasks by key: a small file is few splits, however many rows it has, and what each row costs would be a few tasks'.
+
+    A join by the key needs no other shuffle.
+    """
+    return works.repartition(key)
+
+
 def with_title_case(normalised: DataFrame) -> DataFrame:
     """Adds ``title_cased``, from the title with its substitutions."""
     return normalised.withColumn("title_cased", title_case("title"))
@@ -91,10 +99,10 @@ def found_warnings(settings: Catalogue = Catalogue()) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def warnings(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:
-    """(work_id, type): one row for each warning of each normalised work."""
+def warnings(normalised: DataFrame, settings: Catalogue = Catalogue(), also: tuple[str, ...] = ()) -> DataFrame:
+    """(work_id, type): one row for each warning of each normalised work, behind its columns ``also``."""
     found = F.filter(F.array(*(F.when(case, F.lit(name)) for name, case in _warning_cases(settings).items())), lambda x: x.isNotNull())
-    return normalised.select("work_id", F.explode(found).alias("type"))
+    return normalised.select(*also, "work_id", F.explode(found).alias("type"))
 
 
 def warning_messages(normalised: DataFrame, settings: Catalogue = Catalogue()) -> DataFrame:

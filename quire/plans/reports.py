@@ -49,8 +49,9 @@ def index_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def warnings_in_order(spark: SparkSession, sf: str) -> DataFrame:
     """Warnings in the order of the works they came with."""
-    rows = _warnings(spark, sf).join(view(spark, sf, "works").select("work_id", F.col("ord").alias("created_at")), "work_id")
-    return report.in_time_order(rows.select("created_at", "work_id", "type"))
+    rows = view(spark, sf, "works")
+    rows = rows.join(rows.select("work_id", F.col("ord").alias("created_at")), "work_id")
+    return report.in_time_order_of(rows, lambda own: works.warnings(works.normalise_works(own), also=("created_at",)))
 
 
 def name_qualifications(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,8 +133,12 @@ def artist_counts(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "imports").select("import_id").join(own.groupBy("import_id").agg(F.count("*").alias("n")), "import_id", "left").select("import_id", F.coalesce("n", F.lit(0)).alias("artists"))
 
 
+def _spread(spark: SparkSession, sf: str) -> DataFrame:
+    return works.normalise_works(works.spread(view(spark, sf, "works")))
+
+
 def _warnings(spark: SparkSession, sf: str) -> DataFrame:
-    return works.warnings(works.normalise_works(view(spark, sf, "works")))
+    return works.warnings(_spread(spark, sf))
 
 
 def warnings_with_works(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,11 +195,11 @@ def duplicate_uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def work_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return report.work_changes(works.normalise_works(view(spark, sf, "works")))
+    return report.work_changes(_spread(spark, sf))
 
 
 def title_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return report.title_reasons(works.normalise_works(view(spark, sf, "works")), TITLE_CASE_EXCEPTIONS)
+    return report.title_reasons(_spread(spark, sf), TITLE_CASE_EXCEPTIONS)
 
 
 def newest_settings(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,7 +233,7 @@ def templates_read_back(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def warning_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return works.warning_messages(works.normalise_works(view(spark, sf, "works")))
+    return works.warning_messages(_spread(spark, sf))
 
 
 def seed_actions(spark: SparkSession, sf: str) -> DataFrame:
