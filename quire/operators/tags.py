@@ -128,7 +128,11 @@ def render_entries(rows: DataFrame) -> DataFrame:
 
 
 def parse_entries(lines: DataFrame) -> DataFrame:
-    """(ord and the fields): what ``render_entries`` wrote; entries without a number are left out."""
+    """(ord and the fields): what ``render_entries`` wrote; entries without a number are left out.
+
+    Exploding keeps the filters here from repeating what makes the lines.
+    """
+    lines = lines.select("ord", F.explode(F.array("line")).alias("line"))
     body = F.regexp_extract("line", r"(?s)^<pstyle:entry>(.*)$", 1)
     value = lambda f: F.regexp_extract(body, rf"(?s)<cstyle:{f}>((?:\\.|[^\\<])*)<cstyle:>", 1)
     plain = lambda c: T.blank_to_null(F.regexp_replace(c, r"\\([\\<>])", "$1"))

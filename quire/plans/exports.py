@@ -21,7 +21,7 @@ WRAPPED = replace(Layout(), final_separator_from_last=True, components=(
 
 
 def _effective(spark: SparkSession, sf: str) -> DataFrame:
-    return works.effective_works(works.normalise_works(view(spark, sf, "works")), view(spark, sf, "overrides"))
+    return works.effective_works(works.normalise_works(works.spread(view(spark, sf, "works"))), view(spark, sf, "overrides"))
 
 
 def _collected(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +71,7 @@ def export_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def works_preview(spark: SparkSession, sf: str) -> DataFrame:
-    return export.preview(works.normalise_works(view(spark, sf, "works")))
+    return export.preview(works.normalise_works(works.spread(view(spark, sf, "works"))))
 
 
 def _printed(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,13 +21,17 @@ def _normalised(spark: SparkSession, sf: str, name: str = "works") -> DataFrame:
     return works.normalise_works(view(spark, sf, name))
 
 
+def _spread(spark: SparkSession, sf: str) -> DataFrame:
+    return works.normalise_works(works.spread(view(spark, sf, "works")))
+
+
 def normalise_works(spark: SparkSession, sf: str) -> DataFrame:
-    out = _normalised(spark, sf)
+    out = _spread(spark, sf)
     return out.select("work_id", "title", "artist_name", "artist_honorifics", F.col("price_numeric").cast("long").alias("price_numeric"), "price_text", "edition_total", F.col("edition_price").cast("long").alias("edition_price"))
 
 
 def all_work_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    return works.warnings(_normalised(spark, sf))
+    return works.warnings(_spread(spark, sf))
 
 
 def all_warning_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +47,7 @@ def warning_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _effective(spark: SparkSession, sf: str) -> DataFrame:
-    return works.effective_works(_normalised(spark, sf), view(spark, sf, "overrides"))
+    return works.effective_works(_spread(spark, sf), view(spark, sf, "overrides"))
 
 
 def effective_works(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,11 +188,11 @@ def sort_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def title_cased(spark: SparkSession, sf: str) -> DataFrame:
-    return _normalised(spark, sf).select("work_id", N.title_case("title").alias("title_cased"))
+    return _spread(spark, sf).select("work_id", N.title_case("title").alias("title_cased"))
 
 
 def mac_roman_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return _normalised(spark, sf).select("work_id", N.mac_roman("title").alias("encoded"))
+    return _spread(spark, sf).select("work_id", N.mac_roman("title").alias("encoded"))
 
 
 QUERIES: dict[str, Query] = {
