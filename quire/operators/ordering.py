@@ -11,15 +11,25 @@ STRETCH_BITS, SCAN_BITS = 16, 24
 STRETCH = 1 << STRETCH_BITS
 
 
-def numbered(rows: DataFrame, keys: list[str], name: str = "rank", order: str = "ord") -> DataFrame:
-    """Adds the place, from 1, of each row in its group by an integer column.
+def in_list_order(rows: DataFrame) -> DataFrame:
+    """Adds ``seq``, the place of each row in its list as it is read: of rows that share their ``ord``, the first of the list goes first."""
+    return rows.withColumn("seq", F.monotonically_increasing_id())
+
+
+def ties(rows: DataFrame) -> tuple[str, ...]:
+    """What orders rows of one ``ord``, if they have it."""
+    return ("seq",) if "seq" in rows.columns else ()
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str = "rank", order: str = "ord", then: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the place, from 1, of each row in its group by an integer column, and where that is equal by ``then``.
 
     Rows are sorted in stretches of ``order`` and the places of a stretch start behind the
     rows of those before, so a group that holds much of the table isn't one task's.
     """
     at = F.floor(F.col(order) / STRETCH)
     placed = rows.withColumn("_g", F.struct(F.struct(*keys).alias("k"), at.alias("at")))  # structs are equal where their nulls are
-    within = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_g").orderBy(order)))
+    within = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_g").orderBy(order, *then)))
     counts = placed.groupBy("_g").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_g.k").orderBy("_g.at").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col("_g").alias("_s"), F.coalesce(before, F.lit(0)).alias("_start"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import unicode as N
 from ..operators import artists, compare, index, match, tags, works
+from ..operators.ordering import in_list_order
 from ..sources.views import view
 from ..streaming import audit
 from . import exports, lists, oracles, reports, stores
@@ -95,11 +96,11 @@ def state_diff_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def export_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return match.snapshot_diff(_normalised(spark, sf), _normalised(spark, sf, "works_new"), ("title", "artist_name", "artist_honorifics", "price_text", "edition_total", "medium", "gallery"))
+    return match.snapshot_diff(_normalised(spark, sf), works.normalise_works(in_list_order(view(spark, sf, "works_new"))), ("title", "artist_name", "artist_honorifics", "price_text", "edition_total", "medium", "gallery"))
 
 
 def section_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return match.section_alignment(view(spark, sf, "works"), view(spark, sf, "works_new"))
+    return match.section_alignment(view(spark, sf, "works"), in_list_order(view(spark, sf, "works_new")))
 
 
 def compare_entries(spark: SparkSession, sf: str) -> DataFrame:
