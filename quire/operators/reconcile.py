@@ -9,6 +9,7 @@ from ..config import DOUBLE_QUOTES, SINGLE_QUOTES, Layout, Reconcile
 from ..functions import text as T
 from ..functions.unicode import normalised
 from .export import field_texts
+from .ordering import ties
 from .tags import recoverable
 
 
@@ -17,7 +18,7 @@ def display_fields(rows: DataFrame, layout: Layout = Layout()) -> DataFrame:
     honorifics = F.lower("honorifics") if layout.honorifics_lowercase else F.col("honorifics")
     texts = field_texts(layout) | {"honorifics": F.coalesce(honorifics, F.lit(""))}
     own = [texts[f].alias(f) for f in recoverable(layout) if f != "work_number"]
-    return rows.where("number is not null").select(F.col("number").alias("cat_no"), "ord", "section", *own)
+    return rows.where("number is not null").select(F.col("number").alias("cat_no"), "ord", "section", *own, *ties(rows))
 
 
 def folded(c: Column, policy: Reconcile) -> Column:
@@ -28,9 +29,9 @@ def folded(c: Column, policy: Reconcile) -> Column:
 
 
 def _last(rows: DataFrame, side: str) -> DataFrame:
-    """The last row of each number, as a struct."""
-    others = [c for c in rows.columns if c not in ("cat_no", "ord")]
-    return rows.groupBy("cat_no").agg(F.max_by(F.struct(*others, "ord"), "ord").alias(side))
+    """The last row of each number, as a struct; of rows that share the last ``ord``, the first by ``seq`` if they have it."""
+    others = [c for c in rows.columns if c not in ("cat_no", "ord", "seq")]
+    return rows.groupBy("cat_no").agg(F.max_by(F.struct(*others, "ord"), F.struct("ord", *(-F.col(c) for c in ties(rows)))).alias(side))
 
 
 def aligned_sections(matched: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .match import match_plan
-from .ordering import numbered
+from .ordering import numbered, ties
 
 
 def in_scope(works: DataFrame, galleries: list[str] | None) -> DataFrame:
@@ -29,7 +29,8 @@ def apply_reimport(old: DataFrame, new: DataFrame, overrides: DataFrame, galleri
     Works of other galleries stay as they are (origin "kept").  New rows of the galleries in
     scope replace the old ones; those that the match plan pairs take over the old work's
     include flag and override (``old_work`` names it where it has an override).  Sections keep
-    their positions, new ones follow behind the last.
+    their positions, new ones follow behind the last.  New rows of one ``ord`` are in the order of
+    ``seq``, if they have it.
     """
     uncategorised = F.coalesce(T.blank_to_null(F.col("gallery")), F.lit("Uncategorised")).alias("gallery")
     scoped_old, scoped_new = in_scope(old, galleries), in_scope(new, galleries)
@@ -45,8 +46,8 @@ def apply_reimport(old: DataFrame, new: DataFrame, overrides: DataFrame, galleri
     plan = match_plan(scoped_old, scoped_new).where("outcome in ('cat_no', 'fingerprint')").groupBy("new_ord").agg(F.max("old_ord").alias("old_ord"))  # of repeats in the old list, the last
     kept = scoped_old.select(F.col("ord").alias("old_ord"), F.col("include_in_export").alias("old_include"), "work_id").join(overrides.select("work_id", F.lit(True).alias("overridden")), "work_id", "left")
     paired = plan.join(kept, "old_ord")
-    rows = scoped_new.select("ord", uncategorised, "include_in_export").join(paired, F.col("ord") == F.col("new_ord"), "left").join(places, "gallery")
-    out = numbered(rows, ["gallery"], "position").select(
+    rows = scoped_new.select("ord", uncategorised, "include_in_export", *ties(new)).join(paired, F.col("ord") == F.col("new_ord"), "left").join(places, "gallery")
+    out = numbered(rows, ["gallery"], "position", then=ties(new)).select(
         "ord", "gallery", "section_position", "position", F.when(F.col("old_ord").isNotNull(), "matched").otherwise("added").alias("origin"),
         F.when(F.col("overridden"), F.col("work_id")).alias("old_work"), F.coalesce("old_include", "include_in_export").alias("include_in_export"),
     )
@@ -76,8 +77,8 @@ def restored(current: DataFrame, snapshots: DataFrame, import_id: str, at: Colum
 
 
 def export_keys(rows: DataFrame) -> DataFrame:
-    """Adds ``key`` to collected rows: the number, ``__unnamed_n`` without one, and the place behind it for repeats."""
-    placed = numbered(rows.where("ord is not null"), ["section_position"], "position")
+    """Adds ``key`` to collected rows: the number, ``__unnamed_n`` without one, and the place behind it for repeats (of one ``ord`` by ``seq``, if the rows have it)."""
+    placed = numbered(rows.where("ord is not null"), ["section_position"], "position", then=ties(rows))
     order = F.col("section_position").cast("long") * F.lit(1 << 40) + F.col("position")
     placed = placed.withColumns({"_order": order, "_named": F.col("number").isNotNull()})
     unnamed = numbered(placed.where("not _named"), ["_named"], "_k", "_order").withColumn("key", F.concat(F.lit("__unnamed_"), F.col("_k").cast("string"))).drop("_k")

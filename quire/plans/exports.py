@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Component, Layout
 from ..functions import text as T
 from ..operators import export, reconcile, reimport, report, tags, works
+from ..operators.ordering import in_list_order
 from ..sources import files
 from ..sources.views import view, with_views
 from .oracles import _EFFECTIVE, _MONEY, _normal
@@ -29,7 +30,7 @@ def _collected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _new(spark: SparkSession, sf: str) -> DataFrame:
-    return export.collected(works.normalise_works(view(spark, sf, "works_new")))
+    return export.collected(works.normalise_works(in_list_order(view(spark, sf, "works_new"))))
 
 
 def export_order(spark: SparkSession, sf: str) -> DataFrame:
