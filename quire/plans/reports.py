@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import QUALIFICATION_TOKENS, TITLE_CASE_EXCEPTIONS, IndexLayout
 from ..functions import text as T
 from ..operators import artists, compare, match, reimport, report, works
+from ..operators.ordering import in_list_order
 from ..sources.files import scratch_path
 from ..sources.views import view, with_views
 from .oracles import _ENTRIES, _MATCH, _WARN, _normal
@@ -256,7 +257,7 @@ def scoped_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def applied_reimport(spark: SparkSession, sf: str) -> DataFrame:
-    return reimport.apply_reimport(view(spark, sf, "works"), view(spark, sf, "works_new"), view(spark, sf, "overrides"), SCOPE)
+    return reimport.apply_reimport(view(spark, sf, "works"), in_list_order(view(spark, sf, "works_new")), view(spark, sf, "overrides"), SCOPE)
 
 
 def restored_list(spark: SparkSession, sf: str) -> DataFrame:
